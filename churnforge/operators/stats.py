@@ -73,6 +73,10 @@ def running_sum(df: DataFrame, order_col: str, value_cols: list[str], group_cols
     summed locally, and the totals of the preceding slices (a table with one
     row per slice and group) are added back through a broadcast join. No task
     holds more than one slice.
+
+    The sliced table is checkpointed to the shared checkpoint folder: range
+    bounds come from sampling, and a re-sample (recomputation, executor loss)
+    could otherwise assign a row to different slices in the two branches.
     """
     group_cols = list(group_cols)
     spark = df.sparkSession
@@ -80,7 +84,8 @@ def running_sum(df: DataFrame, order_col: str, value_cols: list[str], group_cols
         slices = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
     sliced = (df.repartitionByRange(slices, *[F.col(g) for g in group_cols], order)
-              .withColumn("_slice", F.spark_partition_id()))
+              .withColumn("_slice", F.spark_partition_id())
+              .checkpoint(eager=True))
     w_local = (Window.partitionBy("_slice", *group_cols).orderBy(order)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = sliced.select("*", *[F.sum(v).over(w_local).alias(f"_loc_{v}") for v in value_cols])
