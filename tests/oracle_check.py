@@ -30,8 +30,10 @@ def duck(sf_dir: str):
 
 
 def _norm_value(v):
-    if v is None:
+    if v is None or v is pd.NA or v is pd.NaT:
         return "<null>"
+    if isinstance(v, float) and v.is_integer() and abs(v) < 2 ** 53:
+        return str(int(v))
     if isinstance(v, float):
         if math.isnan(v):
             return "<null>"
