@@ -65,12 +65,37 @@ def pca_loadings(fit: PcaFit, top: int = 18) -> DataFrame:
 
 
 def covariance_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Sample covariance of every pair (i ≤ j) in one aggregate, long form."""
-    pairs = [(a, b) for j, b in enumerate(cols) for a in cols[:j + 1]]
-    arr = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
-                             F.covar_samp(_q(a).cast("double"), _q(b).cast("double")).alias("cov"))
-                    for a, b in pairs])
-    return df.agg(arr.alias("_c")).select(F.inline("_c"))
+    """Sample covariance of every pair (i ≤ j), long form (a, b, cov).
+
+    Two passes: column means (one aggregate), then each partition sums its
+    centred cross-products with NumPy (a d×d block per task) and a grouped sum
+    combines the blocks — the distributed Gram matrix, O(n·d²) work, d² output.
+    """
+    import pandas as pd
+
+    d = len(cols)
+    mean_row = df.agg(*[F.avg(_q(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    mu = np.array([mean_row[f"m{i}"] for i in range(d)], dtype=float)
+    iu, ju = np.triu_indices(d)
+
+    def blocks(it):
+        acc = np.zeros((d, d))
+        n = 0
+        for pdf in it:
+            x = pdf.to_numpy(dtype=float) - mu
+            acc += x.T @ x
+            n += len(x)
+        yield pd.DataFrame({"i": iu.astype("int32"), "j": ju.astype("int32"), "s": acc[iu, ju],
+                            "n": np.full(len(iu), n, dtype="int64")})
+
+    renamed = df.select(*[_q(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    parts = renamed.mapInPandas(blocks, "i int, j int, s double, n bigint")
+    summed = parts.groupBy("i", "j").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    names = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(cols)], "k int, name string")
+    a = names.select(F.col("k").alias("j"), F.col("name").alias("b"))
+    b = names.select(F.col("k").alias("i"), F.col("name").alias("a"))
+    return (summed.join(F.broadcast(b), "i").join(F.broadcast(a), "j")
+            .select("a", "b", (F.col("s") / (F.col("n") - 1)).alias("cov")))
 
 
 # ---------------------------------------------------------------------------------------

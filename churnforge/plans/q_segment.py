@@ -1 +1,130 @@
-"""Registered queries (filled in as operators land)."""
+"""Queries for segmentation (§2.8): PCA, k-means, indices, DBSCAN."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from churnforge.operators import business as B
+from churnforge.operators import dbscan as DB
+from churnforge.operators import features as FE
+from churnforge.operators import segment as SG
+from churnforge.plans.catalog import query
+from churnforge.sources import fixtures
+
+PTS = ["PC1", "PC2"]
+
+
+def _fit(spark, sf, n_init=10):
+    return SG.segment(fixtures.subscribers(spark, sf), n_init=n_init)
+
+
+def _scored_points(spark, sf):
+    """Fixed-cluster fixture: (tenure, MonthlyCharges) points labelled by the fixture's Cluster."""
+    an = B.analysis_frame(fixtures.scored(spark, sf))
+    return an.select("customerID", F.col("tenure").cast("double").alias("tenure"), "MonthlyCharges", "Cluster")
+
+
+@query("pca_2d")
+def q_pca_2d(spark, sf):
+    feats, _, cols = FE.segment_features(fixtures.subscribers(spark, sf))
+    scaled = FE.fit_scaling(feats, cols).apply(feats)
+    return SG.fit_pca(scaled, cols).project(scaled, keep=("customerID",))
+
+
+@query("covariance_matrix")
+def q_covariance(spark, sf):
+    feats, _, cols = FE.segment_features(fixtures.subscribers(spark, sf))
+    return SG.covariance_matrix(FE.fit_scaling(feats, cols).apply(feats), cols)
+
+
+@query("pca_loadings")
+def q_pca_loadings(spark, sf):
+    feats, _, cols = FE.segment_features(fixtures.subscribers(spark, sf))
+    scaled = FE.fit_scaling(feats, cols).apply(feats)
+    return SG.pca_loadings(SG.fit_pca(scaled, cols), 18)
+
+
+@query("kmeans_3")
+def q_kmeans(spark, sf):
+    return _fit(spark, sf).points
+
+
+@query("kmeans_assign")
+def q_kmeans_assign(spark, sf):
+    """One assignment step: nearest of the fixture's per-cluster centres."""
+    p = _scored_points(spark, sf)
+    rows = p.groupBy("Cluster").agg(F.avg("tenure").alias("t"), F.avg("MonthlyCharges").alias("m")) \
+        .orderBy("Cluster").collect()
+    centres = np.array([[r["t"], r["m"]] for r in rows])
+    return SG.kmeans_assign(p.drop("Cluster"), centres, ["tenure", "MonthlyCharges"], "Nearest_Centre") \
+        .select("customerID", "Nearest_Centre")
+
+
+@query("elbow")
+def q_elbow(spark, sf):
+    return SG.elbow(_fit(spark, sf, n_init=1).points, PTS)
+
+
+@query("elbow_k1")
+def q_elbow_k1(spark, sf):
+    return SG.inertia_k1(_scored_points(spark, sf), ["tenure", "MonthlyCharges"])
+
+
+@query("silhouette")
+def q_silhouette(spark, sf):
+    return SG.silhouette_squared(_scored_points(spark, sf), ["tenure", "MonthlyCharges"], "Cluster")
+
+
+@query("silhouette_kmeans")
+def q_silhouette_kmeans(spark, sf):
+    return SG.silhouette_squared(_fit(spark, sf).points, PTS, "Cluster")
+
+
+@query("davies_bouldin")
+def q_davies_bouldin(spark, sf):
+    return SG.davies_bouldin(_scored_points(spark, sf), ["tenure", "MonthlyCharges"], "Cluster")
+
+
+@query("calinski_harabasz")
+def q_calinski_harabasz(spark, sf):
+    return SG.calinski_harabasz(_scored_points(spark, sf), ["tenure", "MonthlyCharges"], "Cluster")
+
+
+@query("cluster_metrics_guard")
+def q_guard(spark, sf):
+    return SG.label_guard(_scored_points(spark, sf), "Cluster")
+
+
+@query("cluster_count")
+def q_cluster_count(spark, sf):
+    return _scored_points(spark, sf).agg(F.count_distinct("Cluster").alias("Number_of_Clusters"))
+
+
+@query("dbscan")
+def q_dbscan(spark, sf):
+    return DB.dbscan(_fit(spark, sf, n_init=1).points)
+
+
+@query("dbscan_silhouette")
+def q_dbscan_silhouette(spark, sf):
+    return SG.silhouette_squared(DB.dbscan(_fit(spark, sf, n_init=1).points), PTS, "DBSCAN_Cluster")
+
+
+@query("pca_points")
+def q_pca_points(spark, sf):
+    return _fit(spark, sf).points.select("customerID", "PC1", "PC2", F.col("Cluster").cast("string").alias("Cluster"))
+
+
+@query("segmentation_metrics")
+def q_segmentation_metrics(spark, sf):
+    fit = _fit(spark, sf)
+    pts = fit.points
+    db_pts = DB.dbscan(pts)
+    out = (SG.label_guard(pts, "Cluster").select("Number_of_Clusters")
+           .crossJoin(SG.silhouette_squared(pts, PTS, "Cluster"))
+           .crossJoin(SG.davies_bouldin(pts, PTS, "Cluster"))
+           .crossJoin(SG.calinski_harabasz(pts, PTS, "Cluster"))
+           .crossJoin(SG.silhouette_squared(db_pts, PTS, "DBSCAN_Cluster")
+                      .withColumnRenamed("Silhouette_Squared_Euclidean", "DBSCAN_Silhouette_Squared_Euclidean")))
+    return out
