@@ -129,8 +129,11 @@ class ChurnEncoding:
 
 
 def churn_features(df: DataFrame, encoding: ChurnEncoding | None = None, key: str = "customerID",
-                   target: str = "Churn") -> tuple[DataFrame, ChurnEncoding]:
-    """(key, features..., target) as doubles/ints; the vocabulary is fitted unless given."""
+                   target: str = "Churn", passthrough: tuple = ()) -> tuple[DataFrame, ChurnEncoding]:
+    """(key, features..., target) as doubles/ints; the vocabulary is fitted unless given.
+
+    ``passthrough`` columns are carried unchanged (no join needed to re-attach them).
+    """
     missing = [c for c in [target, "MonthlyCharges", "TotalCharges", "tenure"] if c not in df.columns]
     if missing:
         raise ValueError(f"Dataset is missing required columns: {', '.join(missing)}")
@@ -145,7 +148,7 @@ def churn_features(df: DataFrame, encoding: ChurnEncoding | None = None, key: st
     if encoding is None:
         encoding = ChurnEncoding(fit_vocabulary(out, K.CHURN_DUMMY_COLUMNS))
     out = one_hot(out, encoding.vocabulary, drop_first=True)
-    keep = tuple(c for c in (key, target) if c in out.columns)
+    keep = tuple(c for c in (key, target, *passthrough) if c in out.columns)
     out = coerce_all_numeric(out, keep)
     feats = [c for c in out.columns if c not in keep]
     if encoding.feature_columns:

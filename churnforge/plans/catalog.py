@@ -30,5 +30,6 @@ def query(key: str):
 
 def all_queries() -> dict[str, QueryFn]:
     # importing the modules registers their queries
-    from churnforge.plans import q_business, q_clean, q_profile, q_features, q_models, q_segment  # noqa: F401
+    from churnforge.plans import (q_business, q_clean, q_features, q_models, q_pipeline,  # noqa: F401
+                                  q_profile, q_segment)
     return dict(_REGISTRY)

@@ -192,4 +192,6 @@ ORACLE = {
     "quality_score": BL_CTES + detector_sql("bl", RAW_KINDS, MONEY, "Churn") + ", " + _score("issues", "sc")
     + "\nSELECT score AS Quality_Score, CAST(n_issues AS INT) AS Issues FROM sc",
     "quality_issues_clean_table": SUB_BL_CTES + detector_sql("sbl", SUB_KINDS, MONEY, "Churn") + f"SELECT {ISSUE_COLS} FROM issues",
+    "scan_csv": RAW_CTES + f"SELECT {rnd(['MonthlyCharges'])} FROM raw",
+    "na_tokens": RAW_CTES + f"SELECT {rnd(['MonthlyCharges'])} FROM raw",
 }
