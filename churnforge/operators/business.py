@@ -266,7 +266,7 @@ def format_kpis(df: DataFrame, currency: str = "USD", rate: float = K.USD_TO_SAR
         elif any(t in label for t in K.PERCENT_NAME_TERMS):
             text = X.format_percent(c.cast("double"))
         elif types[name] in ("double", "float"):
-            text = F.format_number(c, 2)
+            text = F.format_number(X.round_half_up(c, 2), 2)
         elif types[name] in ("int", "bigint"):
             text = F.format_number(c, 0)
         else:

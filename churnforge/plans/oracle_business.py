@@ -263,3 +263,29 @@ ORACLE["risk_factors"] = SUBSCRIBERS_CTES + """
         CASE WHEN tenure <= 12 THEN 'Short tenure' END,
         CASE WHEN PaymentMethod = 'Electronic check' THEN 'Electronic check payment method' END], lambda x: x IS NOT NULL) AS l FROM f)
     SELECT customerID, CASE WHEN len(l) > 0 THEN array_to_string(l, '; ') ELSE 'Balanced customer profile' END AS Top_Factors FROM rf"""
+
+
+ORACLE["sink_csv"] = AN_CTES + "SELECT customerID, Cluster, Cluster_Name FROM an"
+ORACLE["report_tables"] = ORACLE["risk_summary"]
+
+
+def _fmt_kpi(label: str, expr: str, kind: str) -> str:
+    if kind == "money":
+        return f"SELECT '{label}' AS Metric, {money0(expr + ' * 3.75')} AS Value FROM kpi"
+    if kind == "pct":
+        return f"SELECT '{label}' AS Metric, {pct1(expr)} AS Value FROM kpi"
+    if kind == "double":
+        return f"SELECT '{label}' AS Metric, format('{{:,.2f}}', floor({expr} * 100 + 0.5) / 100) AS Value FROM kpi"
+    if kind == "int":
+        return f"SELECT '{label}' AS Metric, format('{{:,}}', {expr}) AS Value FROM kpi"
+    return f"SELECT '{label}' AS Metric, CAST({expr} AS VARCHAR) AS Value FROM kpi"
+
+
+_KPI_KINDS = [("Total_Customers", "int"), ("Actual_Churned_Customers", "int"), ("Predicted_Churn_Customers", "int"),
+              ("Churn_Rate", "pct"), ("Revenue_at_Risk", "money"), ("High_Risk_Customers", "int"),
+              ("Number_of_Customer_Segments", "int"), ("Average_Customer_Lifetime", "double"),
+              ("Average_Monthly_Charges", "money"), ("Average_Customer_Value", "money"), ("Retention_Rate", "pct"),
+              ("Annual_Revenue_Loss", "money"), ("Revenue_Risk_Ratio", "money"), ("Business_Health_Score", "int"),
+              ("Business_Health_Label", "text")]
+ORACLE["format_money_percent"] = AN_CTES + KPI_SQL + " UNION ALL ".join(
+    _fmt_kpi(c.replace("_", " "), c, k) for c, k in _KPI_KINDS)

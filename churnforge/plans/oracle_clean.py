@@ -194,4 +194,8 @@ ORACLE = {
     "quality_issues_clean_table": SUB_BL_CTES + detector_sql("sbl", SUB_KINDS, MONEY, "Churn") + f"SELECT {ISSUE_COLS} FROM issues",
     "scan_csv": RAW_CTES + f"SELECT {rnd(['MonthlyCharges'])} FROM raw",
     "na_tokens": RAW_CTES + f"SELECT {rnd(['MonthlyCharges'])} FROM raw",
+    "quality_issues_orders": "WITH od AS (SELECT * FROM orders) " + detector_sql(
+        "od", [("o_orderkey", "int"), ("o_custkey", "int"), ("o_orderstatus", "text"), ("o_totalprice", "double"),
+               ("o_orderdate", "other"), ("o_orderpriority", "text")], [], None) + f"SELECT {ISSUE_COLS} FROM issues",
+    "dedup_exact_lineitem": "SELECT DISTINCT l_orderkey, l_returnflag, l_linestatus FROM lineitem",
 }

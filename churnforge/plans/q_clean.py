@@ -101,3 +101,16 @@ def q_quality_score(spark, sf):
 def q_quality_issues_clean(spark, sf):
     """The detector on the clean subscriber table (no missing/duplicate rows)."""
     return Q.quality_issues(fixtures.subscribers(spark, sf))
+
+
+@query("quality_issues_orders")
+def q_quality_issues_orders(spark, sf):
+    """The detector on a generic table (orders: ids, text, money, a timestamp; no target)."""
+    from churnforge.sources.tables import read_table
+    return Q.quality_issues(read_table(spark, sf, "orders"), target="Churn")
+
+
+@query("dedup_exact_lineitem")
+def q_dedup_lineitem(spark, sf):
+    from churnforge.sources.tables import read_table
+    return C.dedup_exact(read_table(spark, sf, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus"))
