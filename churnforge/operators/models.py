@@ -139,14 +139,20 @@ def compare_models(data: TrainingData, specs: list[ModelSpec]) -> ComparisonResu
 
     A failed fit is reported as a row with its error text, not silently skipped.
     """
+    from churnforge.plans.concurrency import parallel_map
     res = ComparisonResult()
     preds = []
-    for spec in specs:
+
+    def run(spec):
         try:
-            model, secs = fit_model(data, spec)
+            return spec, fit_model(data, spec), None
         except Exception as exc:  # reported in the table
-            res.errors[spec.name] = f"{type(exc).__name__}: {exc}"[:300]
+            return spec, None, f"{type(exc).__name__}: {exc}"[:300]
+    for spec, fitted, err in parallel_map(run, specs):
+        if err is not None:
+            res.errors[spec.name] = err
             continue
+        model, secs = fitted
         res.models[spec.name], res.times[spec.name] = model, secs
         preds.append(predict(model, data.test, spec.name))
     spark = data.train.sparkSession

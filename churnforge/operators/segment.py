@@ -140,15 +140,16 @@ def fit_kmeans(points: DataFrame, cols: list[str], k: int = 3, n_init: int = 10,
     """Best of ``n_init`` MLlib k-means|| runs by training cost; ids relabelled by cluster size."""
     vec = VectorAssembler(inputCols=cols, outputCol="_v").transform(points.select(*[_q(c) for c in cols]))
     vec = vec.select("_v").persist()
-    best = None
+    from churnforge.plans.concurrency import parallel_map
+
+    def run(i):
+        model = KMeans(k=k, seed=seed + i, featuresCol="_v", maxIter=max_iter, tol=1e-4).fit(vec)
+        return model, model.summary.trainingCost
     try:
-        for i in range(n_init):
-            model = KMeans(k=k, seed=seed + i, featuresCol="_v", maxIter=max_iter, tol=1e-4).fit(vec)
-            cost = model.summary.trainingCost
-            if best is None or cost < best[1]:
-                best = (model, cost)
+        fits = parallel_map(run, range(n_init))
     finally:
         vec.unpersist()
+    best = min(fits, key=lambda mc: mc[1])
     centres = np.array([c for c in best[0].clusterCenters()])
     sizes = {r["c"]: r["n"] for r in points.select(assign_expr(centres, cols).alias("c"))
              .groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -162,16 +163,17 @@ def elbow(points: DataFrame, cols: list[str], ks=range(1, 10), seed: int = 42) -
     spark = SparkSession.getActiveSession()
     vec = VectorAssembler(inputCols=cols, outputCol="_v").transform(points.select(*[_q(c) for c in cols]))
     vec = vec.select("_v").persist()
-    rows = []
+    from churnforge.plans.concurrency import parallel_map
+
+    def run(k):
+        if k == 1:
+            row = points.agg(F.count(F.lit(1)).alias("n"),
+                             *[F.var_pop(_q(c)).alias(f"v{i}") for i, c in enumerate(cols)]).first()
+            return (1, float(row["n"] * sum(row[f"v{i}"] for i in range(len(cols)))))
+        model = KMeans(k=k, seed=seed, featuresCol="_v", maxIter=300, tol=1e-4).fit(vec)
+        return (k, float(model.summary.trainingCost))
     try:
-        for k in ks:
-            if k == 1:
-                row = points.agg(F.count(F.lit(1)).alias("n"),
-                                 *[F.var_pop(_q(c)).alias(f"v{i}") for i, c in enumerate(cols)]).first()
-                rows.append((1, float(row["n"] * sum(row[f"v{i}"] for i in range(len(cols))))))
-            else:
-                model = KMeans(k=k, seed=seed, featuresCol="_v", maxIter=300, tol=1e-4).fit(vec)
-                rows.append((k, float(model.summary.trainingCost)))
+        rows = parallel_map(run, list(ks))
     finally:
         vec.unpersist()
     return spark.createDataFrame(rows, "k int, Inertia double")

@@ -37,12 +37,20 @@ def materialised(fn):
         key = (spark.sparkContext.applicationId, str(sf_dir).rstrip("/"), fn.__name__)
         df = _MEMO.get(key)
         if df is None:
-            df = fn(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+            df = spread(fn(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
             _MEMO[key] = df
         return df
     return run
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a table over the default parallelism when it arrives in fewer
+    partitions (a small file read as one split); large inputs keep their scan
+    partitioning and pay no extra shuffle."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def release(spark: SparkSession | None = None) -> None:
     """Unpersist memoised fixtures (all, or those of one session)."""
     for key in list(_MEMO):
