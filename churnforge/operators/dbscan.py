@@ -6,8 +6,10 @@ mutual neighbours:
 1. identical coordinates are collapsed (weight = multiplicity);
 2. a cell holding ≥ min_samples points is all-core with no pair test; for a
    point of a sparse cell, each of the 25 surrounding cells counts in full when
-   its bounding box lies inside the eps-disc, not at all when the box is out
-   of reach, and only the remaining "partial" cells are paired point by point;
+   its bounding box lies inside the eps-disc and not at all when it is out of
+   reach; "partial" cells are refined into 8×8 sub-cells the same way, and
+   point pairs are formed only in boundary sub-cells and only while the
+   full-coverage count is still below min_samples;
 3. two core cells are linked when some pair of their core points is within eps:
    first tested on 8 extreme points per cell (min/max of x, y, x+y, x−y), then
    bounding boxes rule pairs out, and only undecided cell pairs are checked
@@ -19,7 +21,9 @@ mutual neighbours:
    points with none are noise (-1).
 
 No task ever receives all pairs of a dense region: dense cells never produce
-pairs, and pair work is limited to partial/undecided cell pairs.
+pairs, a sparse point next to a dense cell is usually settled by whole
+sub-cells, and pair work is limited to boundary sub-cells of sparse
+neighbourhoods and to cell pairs the extreme points and boxes leave undecided.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SHIFT = 4294967296  # cell id = cx · 2^32 + cy
+SUB = 8             # sub-cells per cell side (second-level grid)
 
 
 def _cell_id(cx: str = "cx", cy: str = "cy") -> F.Column:
@@ -76,6 +81,14 @@ def dbscan(df: DataFrame, x: str = "PC1", y: str = "PC2", key: str = "customerID
     cells = cells.checkpoint(eager=True)
 
     # --- 2. core points ------------------------------------------------------------------
+    # second-level grid: SUB×SUB sub-cells per cell with counts and bounding boxes
+    sub_side = side / SUB
+    subs = (uniq.withColumn("sx", F.least(F.floor((F.col("x") - F.col("cx") * side) / sub_side), F.lit(SUB - 1)))
+            .withColumn("sy", F.least(F.floor((F.col("y") - F.col("cy") * side) / sub_side), F.lit(SUB - 1)))
+            .groupBy("cell", "sx", "sy").agg(F.sum("w").alias("sn"), F.min("x").alias("slox"),
+                                             F.max("x").alias("shix"), F.min("y").alias("sloy"),
+                                             F.max("y").alias("shiy")))
+    subs = subs.checkpoint(eager=True)
     sparse = uniq.join(cells.select("cell", "n").filter(F.col("n") < min_samples), "cell").drop("n")
     offs = _offsets(spark)
     nb = cells.select(F.col("cx").alias("ncx"), F.col("cy").alias("ncy"), F.col("cell").alias("ncell"),
@@ -88,14 +101,27 @@ def dbscan(df: DataFrame, x: str = "PC1", y: str = "PC2", key: str = "customerID
             .withColumn("_min", _box_min_d2(px, py, F.col("lox"), F.col("hix"), F.col("loy"), F.col("hiy"))))
     full = cand.filter(F.col("_max") <= e2).groupBy("x", "y").agg(F.sum("nn").alias("_full"))
     partial = cand.filter((F.col("_max") > e2) & (F.col("_min") <= e2)).select("x", "y", "ncell")
-    others = uniq.select(F.col("cell").alias("ncell"), F.col("x").alias("qx"), F.col("y").alias("qy"),
-                         F.col("w").alias("qw"))
-    part_cnt = (partial.join(others, "ncell")
+    # partial cells: classify their sub-cells the same way
+    sub_nb = subs.select(F.col("cell").alias("ncell"), "sx", "sy", "sn", "slox", "shix", "sloy", "shiy")
+    psub = (partial.join(sub_nb, "ncell")
+            .withColumn("_smax", _box_max_d2(px, py, F.col("slox"), F.col("shix"), F.col("sloy"), F.col("shiy")))
+            .withColumn("_smin", _box_min_d2(px, py, F.col("slox"), F.col("shix"), F.col("sloy"), F.col("shiy"))))
+    sub_full = psub.filter(F.col("_smax") <= e2).groupBy("x", "y").agg(F.sum("sn").alias("_sfull"))
+    bound = (sparse.select("x", "y", "w").join(full, ["x", "y"], "left").join(sub_full, ["x", "y"], "left")
+             .select("x", "y", (F.coalesce("_full", F.lit(0)) + F.coalesce("_sfull", F.lit(0))).alias("_lb")))
+    # exact pairs only where the full-coverage lower bound falls short of min_samples
+    short = bound.filter(F.col("_lb") < min_samples).select("x", "y")
+    open_subs = (psub.filter((F.col("_smax") > e2) & (F.col("_smin") <= e2))
+                 .join(short, ["x", "y"]).select("x", "y", "ncell", "sx", "sy"))
+    others = (uniq.withColumn("sx", F.least(F.floor((F.col("x") - F.col("cx") * side) / sub_side), F.lit(SUB - 1)))
+              .withColumn("sy", F.least(F.floor((F.col("y") - F.col("cy") * side) / sub_side), F.lit(SUB - 1)))
+              .select(F.col("cell").alias("ncell"), "sx", "sy", F.col("x").alias("qx"), F.col("y").alias("qy"),
+                      F.col("w").alias("qw")))
+    part_cnt = (open_subs.join(others, ["ncell", "sx", "sy"])
                 .filter(_d2(F.col("x"), F.col("y"), F.col("qx"), F.col("qy")) <= e2)
                 .groupBy("x", "y").agg(F.sum("qw").alias("_part")))
-    sparse_core = (sparse.select("x", "y").join(full, ["x", "y"], "left").join(part_cnt, ["x", "y"], "left")
-                   .select("x", "y", ((F.coalesce("_full", F.lit(0)) + F.coalesce("_part", F.lit(0)))
-                                      >= min_samples).alias("_sc")))
+    sparse_core = (bound.join(part_cnt, ["x", "y"], "left")
+                   .select("x", "y", ((F.col("_lb") + F.coalesce("_part", F.lit(0))) >= min_samples).alias("_sc")))
     labelled = (uniq.join(cells.select("cell", "n"), "cell")
                 .join(sparse_core, ["x", "y"], "left")
                 .withColumn("is_core", (F.col("n") >= min_samples) | F.coalesce(F.col("_sc"), F.lit(False)))
@@ -160,9 +186,22 @@ def dbscan(df: DataFrame, x: str = "PC1", y: str = "PC2", key: str = "customerID
                    (_box_min_d2(px, py, F.col("lox"), F.col("hix"), F.col("loy"), F.col("hiy")) > e2).alias("_no"))
     yes = bc.filter("_yes").select("x", "y", "comp")
     maybe = bc.filter(~F.col("_yes") & ~F.col("_no")).select("x", "y", "ncell", "comp")
-    cpts = core.select(F.col("cell").alias("ncell"), F.col("x").alias("qx"), F.col("y").alias("qy"))
-    yes2 = (maybe.join(cpts, "ncell").filter(_d2(F.col("x"), F.col("y"), F.col("qx"), F.col("qy")) <= e2)
+    # second level: a core sub-cell wholly inside the disc answers yes without pairs
+    core_sub = (core.withColumn("sx", F.least(F.floor((F.col("x") - F.col("cx") * side) / sub_side), F.lit(SUB - 1)))
+                .withColumn("sy", F.least(F.floor((F.col("y") - F.col("cy") * side) / sub_side), F.lit(SUB - 1))))
+    csub = core_sub.groupBy(F.col("cell").alias("ncell"), "sx", "sy").agg(
+        F.min("x").alias("slox"), F.max("x").alias("shix"), F.min("y").alias("sloy"), F.max("y").alias("shiy"))
+    msub = (maybe.join(csub, "ncell")
+            .withColumn("_smax", _box_max_d2(px, py, F.col("slox"), F.col("shix"), F.col("sloy"), F.col("shiy")))
+            .withColumn("_smin", _box_min_d2(px, py, F.col("slox"), F.col("shix"), F.col("sloy"), F.col("shiy"))))
+    yes_sub = msub.filter(F.col("_smax") <= e2).select("x", "y", "ncell", "comp").distinct()
+    undecided = (msub.filter((F.col("_smax") > e2) & (F.col("_smin") <= e2)).select("x", "y", "ncell", "sx", "sy", "comp")
+                 .join(yes_sub.select("x", "y", "ncell"), ["x", "y", "ncell"], "left_anti"))
+    cpts = core_sub.select(F.col("cell").alias("ncell"), "sx", "sy", F.col("x").alias("qx"), F.col("y").alias("qy"))
+    yes2 = (undecided.join(cpts, ["ncell", "sx", "sy"])
+            .filter(_d2(F.col("x"), F.col("y"), F.col("qx"), F.col("qy")) <= e2)
             .select("x", "y", "comp"))
+    yes2 = yes2.unionByName(yes_sub.select("x", "y", "comp"))
     border = yes.unionByName(yes2).groupBy("x", "y").agg(F.min("comp").alias("comp"))
     all_lab = core_lab.unionByName(border)
     # number components by their smallest member key (one row per component)
