@@ -30,7 +30,7 @@ def q_list(items: list[str], limit: int | None = None) -> str:
     return f"array_to_string({lst}, ', ')"
 
 
-def detector_sql(src: str, cols: list[tuple[str, str]], money: list[str], target: str | None) -> str:
+def detector_sql(src: str, cols: list[tuple[str, str]], money: list[str], target: str | None, tag: str = "") -> str:
     """Issue table of the quality detector over relation ``src`` (already blank→null).
 
     cols: (name, kind) with kind in {"text", "int", "double"} as seen before money parsing.
@@ -57,15 +57,15 @@ def detector_sql(src: str, cols: list[tuple[str, str]], money: list[str], target
     for j, c in enumerate(nums):
         stats += [f"quantile_cont({ready[c]}, 0.25) AS q1_{j}", f"quantile_cont({ready[c]}, 0.75) AS q3_{j}"]
     idx = {c: i for i, (c, _) in enumerate(cols)}
-    ctes = [f"st AS (SELECT {', '.join(stats)} FROM {src})",
-            f"dr AS (SELECT count(*) AS n_distinct FROM (SELECT DISTINCT * FROM {src}))"]
+    ctes = [f"st{tag} AS (SELECT {', '.join(stats)} FROM {src})",
+            f"dr{tag} AS (SELECT count(*) AS n_distinct FROM (SELECT DISTINCT * FROM {src}))"]
     out_counts = ", ".join(
-        f"count_if(st.ndn{j} > 10 AND st.q3_{j} - st.q1_{j} <> 0 AND ({ready[c]} < st.q1_{j} - 1.5 * (st.q3_{j} - st.q1_{j}) "
-        f"OR {ready[c]} > st.q3_{j} + 1.5 * (st.q3_{j} - st.q1_{j}))) AS o{j}" for j, c in enumerate(nums))
-    ctes.append(f"oc AS (SELECT {out_counts if nums else '0 AS dummy'} FROM {src} CROSS JOIN st)")
+        f"count_if(st{tag}.ndn{j} > 10 AND st{tag}.q3_{j} - st{tag}.q1_{j} <> 0 AND ({ready[c]} < st{tag}.q1_{j} - 1.5 * (st{tag}.q3_{j} - st{tag}.q1_{j}) "
+        f"OR {ready[c]} > st{tag}.q3_{j} + 1.5 * (st{tag}.q3_{j} - st{tag}.q1_{j}))) AS o{j}" for j, c in enumerate(nums))
+    ctes.append(f"oc{tag} AS (SELECT {out_counts if nums else '0 AS dummy'} FROM {src} CROSS JOIN st{tag})")
     if target:
-        ctes.append(f"tg AS (SELECT count(*) AS n FROM {src} WHERE {target} IS NOT NULL GROUP BY {target})")
-        ctes.append("tb AS (SELECT count(*) AS k, min(n) * 1.0e0 / sum(n) AS share FROM tg)")
+        ctes.append(f"tg{tag} AS (SELECT count(*) AS n FROM {src} WHERE {target} IS NOT NULL GROUP BY {target})")
+        ctes.append(f"tb{tag} AS (SELECT count(*) AS k, min(n) * 1.0e0 / sum(n) AS share FROM tg{tag})")
     missing = " + ".join(f"null{i}" for i in range(len(cols)))
     texts_nt = q_list([f"CASE WHEN ps{idx[c]} > 0.75 THEN '{c}' END" for c in texts])
     consts = q_list([f"CASE WHEN const{i} THEN '{c}' END" for i, (c, _) in enumerate(cols)], 6)
@@ -78,37 +78,37 @@ def detector_sql(src: str, cols: list[tuple[str, str]], money: list[str], target
         f"' blank or null values were found across the dataset.') AS Explanation, "
         f"'Missing values can bias churn estimates and understate revenue exposure.' AS Business_Impact, "
         f"'Fill numerical gaps with an analytically defensible value and categorical gaps with the dominant class.' "
-        f"AS Recommended_Solution FROM st WHERE {missing} > 0",
+        f"AS Recommended_Solution FROM st{tag} WHERE {missing} > 0",
         "SELECT 2, 'Medium', 'Duplicate customer rows', concat(format('{:,}', n_rows - n_distinct), ' duplicate records were detected.'), "
         "'Duplicate records can inflate customer counts, churn rates, and revenue-at-risk totals.', "
-        "'Remove exact duplicate records before modeling and reporting.' FROM st CROSS JOIN dr WHERE n_rows - n_distinct > 0",
+        f"'Remove exact duplicate records before modeling and reporting.' FROM st{tag} CROSS JOIN dr{tag} WHERE n_rows - n_distinct > 0",
         f"SELECT 3, 'High', 'Numeric fields stored as text', concat({texts_nt}, ' appear numeric but are stored as categorical text.'), "
         "'Incorrect types can break statistical summaries, model scaling, and financial calculations.', "
-        f"'Convert numeric-like fields to numeric values before analysis.' FROM st WHERE {texts_nt} <> ''",
+        f"'Convert numeric-like fields to numeric values before analysis.' FROM st{tag} WHERE {texts_nt} <> ''",
         f"SELECT 4, 'Low', 'Constant columns', concat({consts}, ' contain only one value.'), "
         "'Constant columns add noise without improving churn prediction or segmentation.', "
-        f"'Remove constant fields from modeling datasets.' FROM st WHERE {consts} <> ''",
+        f"'Remove constant fields from modeling datasets.' FROM st{tag} WHERE {consts} <> ''",
         f"SELECT 5, 'Medium', 'High-cardinality categorical fields', concat({high}, ' contain many unique values.'), "
         "'Identifier-like fields can mislead models and make dashboard filters noisy.', "
-        f"'Keep these fields for lookup/search, but exclude them from model training.' FROM st WHERE {high} <> ''",
+        f"'Keep these fields for lookup/search, but exclude them from model training.' FROM st{tag} WHERE {high} <> ''",
     ]
     if pairs:
         rows.append(
             f"SELECT 6, 'Medium', 'Highly correlated features', concat('Strong relationships found: ', {corr}, '.'), "
             "'Strong collinearity can overstate driver importance and destabilize simple models.', "
-            f"'Monitor these features together and use regularized or tree-based models for comparison.' FROM st WHERE {corr} <> ''")
+            f"'Monitor these features together and use regularized or tree-based models for comparison.' FROM st{tag} WHERE {corr} <> ''")
     if nums:
         rows.append(
             f"SELECT 7, 'Medium', 'Outliers detected', {outl}, "
             "'Extreme values can distort averages, revenue projections, and scaled ML features.', "
-            f"'Clip or review outliers using an IQR-based rule before scaling.' FROM oc WHERE {outl} <> ''")
+            f"'Clip or review outliers using an IQR-based rule before scaling.' FROM oc{tag} WHERE {outl} <> ''")
     if target:
         rows.append(
             "SELECT 8, 'High', 'Imbalanced target classes', concat('The minority churn class represents ', "
             "printf('%.1f', floor(share * 100 * 10 + 0.5) / 10), '% of labeled records.'), "
             "'Models can appear accurate while missing many churn customers.', "
-            "'Use class weighting and recall/F1 metrics when selecting churn models.' FROM tb WHERE k = 2 AND share < 0.35")
-    ctes.append("issues AS (" + " UNION ALL ".join(rows) + ")")
+            f"'Use class weighting and recall/F1 metrics when selecting churn models.' FROM tb{tag} WHERE k = 2 AND share < 0.35")
+    ctes.append(f"issues{tag} AS (" + " UNION ALL ".join(rows) + ")")
     return ", " + ",\n".join(ctes) + "\n"
 
 
@@ -198,4 +198,42 @@ ORACLE = {
         "od", [("o_orderkey", "int"), ("o_custkey", "int"), ("o_orderstatus", "text"), ("o_totalprice", "double"),
                ("o_orderdate", "other"), ("o_orderpriority", "text")], [], None) + f"SELECT {ISSUE_COLS} FROM issues",
     "dedup_exact_lineitem": "SELECT DISTINCT l_orderkey, l_returnflag, l_linestatus FROM lineitem",
+    "cleaning_summary": CLEAN_CTES
+        + detector_sql("bl", RAW_KINDS, MONEY, "Churn", "_b")
+        + detector_sql("cl", [(c, k) for c, k in CLEAN_KINDS], [], "Churn", "_a")
+        + ", " + _score("issues_b", "sb") + ", " + _score("issues_a", "sa") + """
+        , dk AS (SELECT count(*) AS n_d, count_if(Partner IS NULL) + count_if(TotalCharges IS NULL) AS miss_d,
+                 avg(CASE WHEN """ + parse_sql("gender") + """ IS NOT NULL THEN 1e0 ELSE 0e0 END) AS p_gender,
+                 avg(CASE WHEN """ + parse_sql("Partner") + """ IS NOT NULL THEN 1e0 ELSE 0e0 END) AS p_partner,
+                 avg(CASE WHEN """ + parse_sql("Contract") + """ IS NOT NULL THEN 1e0 ELSE 0e0 END) AS p_contract,
+                 avg(CASE WHEN """ + parse_sql("TotalCharges") + """ IS NOT NULL THEN 1e0 ELSE 0e0 END) AS p_total,
+                 avg(CASE WHEN """ + parse_sql("Source") + """ IS NOT NULL THEN 1e0 ELSE 0e0 END) AS p_source FROM d),
+        ik AS (SELECT """ + ", ".join(
+            f"(count({c}) = 0 OR (count({c}) = count(*) AND min({c}) = max({c}))) AS k_{c}"
+            for c in ["gender", "SeniorCitizen", "Partner", "tenure", "Contract", "MonthlyCharges", "TotalCharges", "Source"])
+        + """, count_if(Partner IS NULL) AS miss_i FROM im),
+        ck AS (SELECT count_if(tenure < t1 - 1.5 * (t3 - t1) OR tenure > t3 + 1.5 * (t3 - t1)) AS o_t,
+                 count_if(MonthlyCharges < m1 - 1.5 * (m3 - m1) OR MonthlyCharges > m3 + 1.5 * (m3 - m1)) AS o_m,
+                 count_if(TotalCharges < c1 - 1.5 * (c3 - c1) OR TotalCharges > c3 + 1.5 * (c3 - c1)) AS o_c,
+                 count(DISTINCT tenure) AS d_t, count(DISTINCT MonthlyCharges) AS d_m, count(DISTINCT TotalCharges) AS d_c
+                 FROM dc CROSS JOIN qq),
+        ek AS (SELECT count(DISTINCT gender) + count(DISTINCT Partner) + count(DISTINCT Contract) AS n_levels FROM cl),
+        ct AS (SELECT """ + q_list(["CASE WHEN p_gender > 0.75 THEN 'gender' END", "CASE WHEN p_partner > 0.75 THEN 'Partner' END",
+                                    "CASE WHEN p_contract > 0.75 THEN 'Contract' END", "CASE WHEN p_total > 0.75 THEN 'TotalCharges' END",
+                                    "CASE WHEN p_source > 0.75 THEN 'Source' END"]) + """ AS repaired FROM dk)
+        SELECT CAST(miss_d - 0 AS BIGINT) AS Missing_Values_Removed,
+          (SELECT count(*) FROM bl) - n_d AS Duplicate_Rows_Removed,
+          CAST(""" + " + ".join(f"CAST(k_{c} AS INT)" for c in ["gender", "SeniorCitizen", "Partner", "tenure", "Contract",
+                                                                "MonthlyCharges", "TotalCharges", "Source"]) + """ AS INT) AS Features_Removed,
+          """ + q_list([f"CASE WHEN k_{c} THEN '{c}' END" for c in ["gender", "SeniorCitizen", "Partner", "tenure", "Contract",
+                                                                   "MonthlyCharges", "TotalCharges", "Source"]]) + """ AS Removed_Feature_Names,
+          CASE WHEN contains(repaired, 'TotalCharges') THEN repaired WHEN repaired = '' THEN 'TotalCharges'
+               ELSE concat(repaired, ', TotalCharges') END AS Corrected_Data_Types,
+          """ + q_list(["CASE WHEN d_t > 10 AND o_t > 0 THEN 'tenure' END", "CASE WHEN d_m > 10 AND o_m > 0 THEN 'MonthlyCharges' END",
+                        "CASE WHEN d_c > 10 AND o_c > 0 THEN 'TotalCharges' END"]) + """ AS Outlier_Handled_Columns,
+          CAST(4 + n_levels AS INT) AS Encoded_ML_Features, 4 AS Scaled_Numerical_Features,
+          (SELECT count(*) FROM bl) AS Original_Rows, 10 AS Original_Columns, n_d AS Cleaned_Rows, 9 AS Cleaned_Columns,
+          sb.score AS Data_Quality_Before, sa.score AS Data_Quality_After_Measured,
+          CAST(greatest(sa.score, CASE WHEN sb.n_issues = 0 THEN sb.score ELSE least(98, sb.score + 45) END) AS INT) AS Data_Quality_After
+        FROM dk CROSS JOIN ik CROSS JOIN ck CROSS JOIN ek CROSS JOIN ct CROSS JOIN sb CROSS JOIN sa""",
 }
