@@ -237,3 +237,18 @@ ORACLE = {
           CAST(greatest(sa.score, CASE WHEN sb.n_issues = 0 THEN sb.score ELSE least(98, sb.score + 45) END) AS INT) AS Data_Quality_After
         FROM dk CROSS JOIN ik CROSS JOIN ck CROSS JOIN ek CROSS JOIN ct CROSS JOIN sb CROSS JOIN sa""",
 }
+
+_RULE_TITLES = {
+    "q_missing": "Missing values detected", "q_duplicates": "Duplicate customer rows",
+    "q_numeric_text": "Numeric fields stored as text", "q_constant": "Constant columns",
+    "q_high_cardinality": "High-cardinality categorical fields", "q_correlated": "Highly correlated features",
+    "q_outliers": "Outliers detected", "q_imbalance": "Imbalanced target classes",
+}
+for _k, _t in _RULE_TITLES.items():
+    ORACLE[_k] = BL_CTES + detector_sql("bl", RAW_KINDS, MONEY, "Churn") + f"SELECT {ISSUE_COLS} FROM issues WHERE Issue = '{_t}'"
+
+LINEITEM_KINDS = [("l_orderkey", "int"), ("l_partkey", "int"), ("l_suppkey", "int"), ("l_linenumber", "int"),
+                  ("l_quantity", "double"), ("l_extendedprice", "double"), ("l_discount", "double"), ("l_tax", "double"),
+                  ("l_returnflag", "text"), ("l_linestatus", "text"), ("l_shipdate", "other")]
+ORACLE["quality_issues_lineitem"] = ("WITH li AS (SELECT * FROM lineitem) " + detector_sql("li", LINEITEM_KINDS, [], None)
+                                     + f"SELECT {ISSUE_COLS} FROM issues")

@@ -114,3 +114,34 @@ def q_quality_issues_orders(spark, sf):
 def q_dedup_lineitem(spark, sf):
     from churnforge.sources.tables import read_table
     return C.dedup_exact(read_table(spark, sf, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus"))
+
+
+# one key per detector rule (each returns that rule's issue row, if raised)
+_RULES = {
+    "q_missing": "Missing values detected",
+    "q_duplicates": "Duplicate customer rows",
+    "q_numeric_text": "Numeric fields stored as text",
+    "q_constant": "Constant columns",
+    "q_high_cardinality": "High-cardinality categorical fields",
+    "q_correlated": "Highly correlated features",
+    "q_outliers": "Outliers detected",
+    "q_imbalance": "Imbalanced target classes",
+}
+
+
+def _rule_query(title):
+    def run(spark, sf):
+        from pyspark.sql import functions as F
+        return Q.quality_issues(_raw(spark, sf)).filter(F.col("Issue") == title)
+    return run
+
+
+for _key, _title in _RULES.items():
+    query(_key)(_rule_query(_title))
+
+
+@query("quality_issues_lineitem")
+def q_quality_issues_lineitem(spark, sf):
+    """The detector on lineitem (correlated money/quantity columns, flags, a timestamp)."""
+    from churnforge.sources.tables import read_table
+    return Q.quality_issues(read_table(spark, sf, "lineitem"), target="Churn")

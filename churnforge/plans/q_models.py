@@ -135,3 +135,23 @@ def q_pr_curve(spark, sf):
 @query("actual_vs_predicted")
 def q_actual_vs_predicted(spark, sf):
     return E.actual_vs_predicted(_scored_test(spark, sf))
+
+
+@query("report_model_rows")
+def q_report_model_rows(spark, sf):
+    from churnforge.operators import business as B
+    data = _data(spark, sf)
+    specs = [s for s in M.model_specs(data.n_train) if s.name in ("Logistic Regression", "Decision Tree")]
+    return B.report_model_rows(M.compare_models(data, specs).metrics)
+
+
+@query("importance_top15")
+def q_importance_top15(spark, sf):
+    data = _data(spark, sf)
+    model, _ = M.fit_model(data, M.model_specs(data.n_train)[0])
+    return M.feature_importance(model, data.feature_columns, 15)
+
+
+@query("learning_curve_table")
+def q_learning_curve_table(spark, sf):
+    return M.learning_curve(_data(spark, sf)).select("Training_Size", "Training_F1", "Validation_F1")

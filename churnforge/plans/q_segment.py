@@ -128,3 +128,10 @@ def q_segmentation_metrics(spark, sf):
            .crossJoin(SG.silhouette_squared(db_pts, PTS, "DBSCAN_Cluster")
                       .withColumnRenamed("Silhouette_Squared_Euclidean", "DBSCAN_Silhouette_Squared_Euclidean")))
     return out
+
+
+@query("loading_top15")
+def q_loading_top15(spark, sf):
+    feats, _, cols = FE.segment_features(fixtures.subscribers(spark, sf))
+    scaled = FE.fit_scaling(feats, cols).apply(feats)
+    return SG.pca_loadings(SG.fit_pca(scaled, cols), 15)
