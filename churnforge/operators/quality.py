@@ -125,13 +125,28 @@ def _detect(inspected: DataFrame, target: str) -> tuple[list[dict], int]:
     row = inspected.agg(*aggs).first()
     n_rows = row["_rows"]
 
+    # the remaining passes are independent jobs over the persisted input: run them side by side
+    from churnforge.plans.concurrency import parallel_map
+    idx = {c: i for i, c in enumerate(cols)}
+
+    def outliers_job():
+        dc_num = C.exact_small_counts(ready, {c: row[f"adn{i}"] for i, c in enumerate(nums)})
+        return outlier_counts(ready, [c for c in nums if dc_num[c] > K.OUTLIER_MIN_DISTINCT])
+    jobs = {
+        "distinct_rows": lambda: inspected.dropDuplicates().count(),
+        "dc_text": lambda: C.exact_small_counts(inspected, {c: row[f"ad{idx[c]}"] for c in texts}),
+        "outliers": outliers_job,
+        "share": lambda: minority_share(inspected, target) if target in cols else None,
+    }
+    names = list(jobs)
+    got = dict(zip(names, parallel_map(lambda k: jobs[k](), names)))
+
     missing = sum(row[f"null{i}"] for i in range(len(cols)))
     if missing:
         add("missing", n=_fmt_int(missing))
-    distinct_rows = inspected.dropDuplicates().count()
+    distinct_rows = got["distinct_rows"]
     if n_rows - distinct_rows:
         add("duplicates", n=_fmt_int(n_rows - distinct_rows))
-    idx = {c: i for i, c in enumerate(cols)}
     numeric_text = [c for c in texts if (row[f"ps{idx[c]}"] or 0.0) > K.NUMERIC_TEXT_SHARE]
     if numeric_text:
         add("numeric_text", cols=", ".join(numeric_text))
@@ -139,7 +154,7 @@ def _detect(inspected: DataFrame, target: str) -> tuple[list[dict], int]:
              or (row[f"n{idx[c]}"] == n_rows and row[f"lo{idx[c]}"] == row[f"hi{idx[c]}"])]
     if const:
         add("constant", cols=", ".join(const[:6]))
-    dc_text = C.exact_small_counts(inspected, {c: row[f"ad{idx[c]}"] for c in texts})
+    dc_text = got["dc_text"]
     limit = max(K.HIGH_CARDINALITY_MIN, n_rows * K.HIGH_CARDINALITY_SHARE)
     high = [c for c in texts if dc_text[c] > limit]
     if high:
@@ -153,14 +168,12 @@ def _detect(inspected: DataFrame, target: str) -> tuple[list[dict], int]:
                 strong.append(f"{a} / {b} ({_fmt2(abs(r))})")
     if strong:
         add("correlated", pairs=", ".join(strong[:4]))
-    dc_num = C.exact_small_counts(ready, {c: row[f"adn{i}"] for i, c in enumerate(nums)})
-    counts = outlier_counts(ready, [c for c in nums if dc_num[c] > K.OUTLIER_MIN_DISTINCT])
+    counts = got["outliers"]
     if counts:
         add("outliers", detail=", ".join(f"{k}: {_fmt_int(v)}" for k, v in list(counts.items())[:5]))
-    if target in cols:
-        share = minority_share(inspected, target)
-        if share is not None and share < K.IMBALANCE_SHARE:
-            add("imbalance", share=_fmt_pct1(share))
+    share = got["share"]
+    if share is not None and share < K.IMBALANCE_SHARE:
+        add("imbalance", share=_fmt_pct1(share))
     score = 100 - sum(K.SEVERITY_PENALTY.get(i["Severity"], 5) for i in issues)
     return issues, max(0, min(100, score))
 

@@ -109,3 +109,24 @@ def test_running_sum_many_slices(spark):
     out = S.running_sum(df, "k", ["v"], slices=13).orderBy("k").collect()
     want = np.cumsum([i % 7 for i in range(1000)])
     assert [r.cum_v for r in out] == list(want)
+
+
+def test_hot_value_third_of_rows(spark):
+    """One value holding a third of the rows: modes, quantiles, dedup and AUC stay exact."""
+    rng = np.random.default_rng(5)
+    n = 3000
+    vals = np.where(np.arange(n) < n // 3, 7.0, np.round(rng.normal(size=n) * 5, 2))
+    text = np.where(np.arange(n) < n // 3, "hot", [f"v{i % 50}" for i in range(n)])
+    df = spark.createDataFrame([(float(v), str(t), int(i % 2)) for i, (v, t) in enumerate(zip(vals, text))],
+                               "x double, t string, y int")
+    assert C.modes(df, ["t"]) == {"t": "hot"}
+    q = {r.prob: r.quantile for r in S.exact_quantiles(df, ["x"], [0.25, 0.5, 0.75]).collect()}
+    for p, v in q.items():
+        assert abs(v - np.quantile(vals, p)) < 1e-9
+    dup = spark.createDataFrame([(1, "a")] * 1000 + [(2, "b")], "k int, v string")
+    assert C.dedup_exact(dup).count() == 2
+    got = E.roc_auc(df.withColumnRenamed("y", "Churn").withColumnRenamed("x", "Churn_Probability")).first().ROC_AUC
+    y = np.array([i % 2 for i in range(n)])
+    pos, neg = vals[y == 1], vals[y == 0]
+    want = ((pos[:, None] > neg[None]).sum() + 0.5 * (pos[:, None] == neg[None]).sum()) / (len(pos) * len(neg))
+    assert abs(got - want) < 1e-12
