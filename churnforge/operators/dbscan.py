@@ -204,11 +204,12 @@ def dbscan(df: DataFrame, x: str = "PC1", y: str = "PC2", key: str = "customerID
     yes2 = yes2.unionByName(yes_sub.select("x", "y", "comp"))
     border = yes.unionByName(yes2).groupBy("x", "y").agg(F.min("comp").alias("comp"))
     all_lab = core_lab.unionByName(border)
-    # number components by their smallest member key (one row per component)
-    firsts = (labelled.join(all_lab, ["x", "y"]).groupBy("comp").agg(F.min("_rep").alias("_first")))
-    from pyspark.sql import Window
-    numbered = firsts.withColumn("_id", F.dense_rank().over(Window.orderBy("_first")) - 1)
-    final = (labelled.join(all_lab, ["x", "y"], "left").join(F.broadcast(numbered.select("comp", "_id")), "comp", "left")
+    # number components 0.. by their smallest member key, with the distributed running sum
+    from churnforge.operators.stats import running_sum
+    firsts = (labelled.join(all_lab, ["x", "y"]).groupBy("comp").agg(F.min("_rep").alias("_first"))
+              .withColumn("_one", F.lit(1)))
+    numbered = running_sum(firsts, "_first", ["_one"]).select("comp", (F.col("cum__one") - 1).alias("_id"))
+    final = (labelled.join(all_lab, ["x", "y"], "left").join(numbered, "comp", "left")
              .select("x", "y", "is_core", F.coalesce(F.col("_id"), F.lit(-1)).cast("int").alias(label)))
     return (pts.join(final, ["x", "y"])
             .select(F.col("_key").alias(key), F.col("x").alias(x), F.col("y").alias(y), label, "is_core"))
