@@ -216,8 +216,7 @@ def insights(df: DataFrame) -> DataFrame:
         (F.coalesce(F.sum(F.when(F.col("Predicted_Churn") == 1, X.dec_money("MonthlyCharges"))),
                     F.lit(0).cast("decimal(28,2)")).cast("double")
          / F.sum(X.dec_money("MonthlyCharges")).cast("double") * 100).alias("risk_pct"))
-    row = (kpi.crossJoin(F.broadcast(pick))
-           .join(F.broadcast(top_contract.drop("_all")), how="cross"))
+    row = with_params(with_params(kpi, pick), top_contract.drop("_all"))
     fmt = lambda c: X.format_fixed(F.col(c), 1)
     texts = [
         F.concat(fmt("churn_pct"), F.lit(K.INSIGHT_TEMPLATES[0].split("{churn_pct}")[1])),

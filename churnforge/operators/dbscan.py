@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SHIFT = 4294967296  # cell id = cx · 2^32 + cy
@@ -41,11 +41,20 @@ def _cell_id(cx: str = "cx", cy: str = "cy") -> F.Column:
     return F.col(cx).cast("bigint") * F.lit(SHIFT) + F.col(cy).cast("bigint")
 
 
-def _offsets(spark, half: bool = False) -> DataFrame:
+def _offsets(half: bool = False) -> Column:
+    """Neighbour-cell offsets (dx, dy) within two cells, as a literal array of structs.
+
+    Exploding it next to a point (or cell) emits its 25 (or 12) candidate
+    neighbour cells; the candidates then meet the cell table by an equi-join.
+    """
     rows = [(dx, dy) for dx in range(-2, 3) for dy in range(-2, 3)]
     if half:
         rows = [(dx, dy) for dx, dy in rows if dx > 0 or (dx == 0 and dy > 0)]
-    return spark.createDataFrame(rows, "dx int, dy int")
+    return F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in rows])
+
+
+def _with_offsets(df: DataFrame, half: bool = False) -> DataFrame:
+    return df.select("*", F.inline(_offsets(half)))
 
 
 def _d2(ax, ay, bx, by) -> F.Column:
@@ -67,7 +76,6 @@ def _box_max_d2(px, py, lox, hix, loy, hiy) -> F.Column:
 def dbscan(df: DataFrame, x: str = "PC1", y: str = "PC2", key: str = "customerID", eps: float = 0.2,
            min_samples: int = 3, label: str = "DBSCAN_Cluster") -> DataFrame:
     """(key, x, y, label, is_core) for every row; noise = -1."""
-    spark = df.sparkSession
     e2 = eps * eps
     side = eps / math.sqrt(2.0)
     pts = df.select(F.col(key).alias("_key"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
@@ -90,10 +98,9 @@ def dbscan(df: DataFrame, x: str = "PC1", y: str = "PC2", key: str = "customerID
                                              F.max("y").alias("shiy")))
     subs = subs.checkpoint(eager=True)
     sparse = uniq.join(cells.select("cell", "n").filter(F.col("n") < min_samples), "cell").drop("n")
-    offs = _offsets(spark)
     nb = cells.select(F.col("cx").alias("ncx"), F.col("cy").alias("ncy"), F.col("cell").alias("ncell"),
                       F.col("n").alias("nn"), "lox", "hix", "loy", "hiy")
-    cand = (sparse.crossJoin(F.broadcast(offs))
+    cand = (_with_offsets(sparse)
             .withColumn("ncx", F.col("cx") + F.col("dx")).withColumn("ncy", F.col("cy") + F.col("dy"))
             .join(nb, ["ncx", "ncy"]))
     px, py = F.col("x"), F.col("y")
@@ -139,7 +146,7 @@ def dbscan(df: DataFrame, x: str = "PC1", y: str = "PC2", key: str = "customerID
     ccell = ccell.checkpoint(eager=True)
     a = ccell.select(*[F.col(c).alias("a_" + c) for c in ccell.columns])
     b = ccell.select(*[F.col(c).alias("b_" + c) for c in ccell.columns])
-    pairs = (a.crossJoin(F.broadcast(_offsets(spark, half=True)))
+    pairs = (_with_offsets(a, half=True)
              .join(b, (F.col("b_cx") == F.col("a_cx") + F.col("dx")) & (F.col("b_cy") == F.col("a_cy") + F.col("dy"))))
     rep_hit = F.exists("a_reps", lambda p: F.exists("b_reps", lambda q: _d2(p["x"], p["y"], q["x"], q["y"]) <= e2))
     bdx = F.greatest(F.col("a_lox") - F.col("b_hix"), F.col("b_lox") - F.col("a_hix"), F.lit(0.0))
@@ -176,7 +183,7 @@ def dbscan(df: DataFrame, x: str = "PC1", y: str = "PC2", key: str = "customerID
     cc = ccell.join(comp.withColumnRenamed("node", "cell"), "cell").select(
         F.col("cx").alias("ncx"), F.col("cy").alias("ncy"), F.col("cell").alias("ncell"), "comp",
         "lox", "hix", "loy", "hiy", "reps")
-    bc = (noncore.crossJoin(F.broadcast(offs))
+    bc = (_with_offsets(noncore)
           .withColumn("ncx", F.col("cx") + F.col("dx")).withColumn("ncy", F.col("cy") + F.col("dy"))
           .join(cc, ["ncx", "ncy"]))
     bhit = F.exists("reps", lambda q: _d2(F.col("x"), F.col("y"), q["x"], q["y"]) <= e2)

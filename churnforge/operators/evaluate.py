@@ -101,7 +101,8 @@ def actual_vs_predicted(df: DataFrame, label: str = "Churn", pred: str = "Predic
     cells = df.groupBy(F.col(label).cast("int").alias("Actual"), F.col(pred).cast("int").alias("Predicted")) \
         .agg(F.count(F.lit(1)).alias("Customers"))
     acts = cells.select("Actual").distinct()
-    preds = cells.select("Predicted").distinct()
-    grid = acts.crossJoin(F.broadcast(preds))
+    # the observed predicted classes (class-count size) as one array, expanded per actual class
+    preds = cells.agg(F.array_sort(F.collect_set("Predicted")).alias("_p")).select("_p").scalar()
+    grid = acts.select("Actual", F.explode(preds).alias("Predicted"))
     return (grid.join(cells, ["Actual", "Predicted"], "left")
             .select("Actual", "Predicted", F.coalesce("Customers", F.lit(0)).cast("bigint").alias("Customers")))

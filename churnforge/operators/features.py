@@ -218,10 +218,9 @@ def class_counts(df: DataFrame, label: str = "Churn") -> dict[int, int]:
 def balanced_weights(df: DataFrame, label: str = "Churn", out: str = "weight") -> DataFrame:
     """w = n / (2 · n_class) attached from the ≤2-row class table (broadcast)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    total = df.agg(F.count(F.lit(1)).alias("_n"))
-    k = counts.agg(F.count(F.lit(1)).alias("_k"))
-    w = counts.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(k)).select(
-        label, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias(out))
+    n = counts.agg(F.sum("_nc")).scalar()
+    k = counts.agg(F.count(F.lit(1))).scalar()
+    w = counts.select(label, (n / (k * F.col("_nc"))).alias(out))
     return df.join(F.broadcast(w), label, "left")
 
 

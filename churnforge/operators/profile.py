@@ -170,10 +170,9 @@ def churn_rate_by_category(df: DataFrame, by: list[str] = ("Contract", "TechSupp
 def kde_by_class(df: DataFrame, column: str, target: str = "Churn", grid: int = 200, cut: float = 3.0) -> DataFrame:
     """Gaussian KDE per class (Scott bandwidth, each class normalised) on a shared grid.
 
-    Distinct (class, value) pairs are counted first, then joined with the
-    broadcast grid of ``grid`` points, so work is distinct values × grid.
+    Distinct (class, value) pairs are counted first, then expanded over the
+    ``grid`` points, so work is distinct values × grid.
     """
-    spark = df.sparkSession
     types = {f.name: f.dataType for f in df.schema.fields}
     y = X.map_target(_q(target), types[target])
     v = X.to_number(_q(column), types[column])
@@ -183,11 +182,12 @@ def kde_by_class(df: DataFrame, column: str, target: str = "Churn", grid: int =
                                  F.min("v").alias("lo"), F.max("v").alias("hi"))
     par = par.withColumn("h", F.col("sd") * F.pow(F.col("_cnt").cast("double"), F.lit(-0.2)))
     rng = par.agg(F.min(F.col("lo") - cut * F.col("h")).alias("g0"), F.max(F.col("hi") + cut * F.col("h")).alias("g1"))
-    steps = spark.range(grid).withColumnRenamed("id", "k")
-    g = with_params(steps, rng).select("k", (F.col("g0") + (F.col("g1") - F.col("g0")) * F.col("k") / (grid - 1)).alias("x"))
-    # grid (fixed size) × per-class parameters (one row per class): both broadcast
+    g0, g1 = rng.select("g0").scalar(), rng.select("g1").scalar()
+    # per-class parameters (one row per class) are broadcast; each distinct
+    # (class, value) row is expanded over the fixed ``grid`` points by a generator
     z = (counts.join(F.broadcast(par.select("cls", "_cnt", "h")), "cls")
-         .crossJoin(F.broadcast(g)))
+         .select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(grid - 1).cast("bigint"))).alias("k"))
+         .withColumn("x", g0 + (g1 - g0) * F.col("k") / (grid - 1)))
     dens = z.groupBy("cls", "k").agg(
         F.first("x").alias("x"),
         (F.sum(F.col("n") * F.exp(-0.5 * F.pow((F.col("x") - F.col("v")) / F.col("h"), 2)))

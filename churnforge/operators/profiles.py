@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from churnforge.functions import constants as K
 from churnforge.functions import exprs as X
-from churnforge.operators.stats import group_mode
+from churnforge.operators.stats import group_mode, with_params
 
 
 def cluster_profile(df: DataFrame, cluster_col: str = "Cluster") -> DataFrame:
@@ -63,7 +63,7 @@ def cluster_sizes(df: DataFrame, cluster_col: str = "Cluster") -> DataFrame:
     """Count and share (%, 2 dp) per cluster; the total is a one-row aggregate."""
     counts = df.groupBy(cluster_col).agg(F.count(F.lit(1)).alias("Customers"))
     total = df.agg(F.count(F.lit(1)).alias("_total"))
-    return (counts.crossJoin(F.broadcast(total))
+    return (with_params(counts, total)
             .withColumn("Share_Pct", F.round(F.col("Customers") * 100.0 / F.col("_total"), 2))
             .drop("_total"))
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnforge.operators import features as FE
+from churnforge.operators.stats import with_params
 
 
 def _q(c: str) -> F.Column:
@@ -223,23 +224,25 @@ def _centroids(df: DataFrame, cols: list[str], label: str) -> DataFrame:
 def davies_bouldin(df: DataFrame, cols: list[str], label: str) -> DataFrame:
     """Mean over clusters of max_j (s_i + s_j) / d(c_i, c_j); null when undefined.
 
-    Centroids are a k-row table (broadcast); the k×k step runs on that table.
+    Centroids are a k-row table (broadcast); the k×k step runs on that table as arrays.
     """
     cent = _centroids(df, cols, label)
     scat = (df.select(_q(label).alias("_l"), *[_q(c) for c in cols]).join(F.broadcast(cent), "_l")
             .groupBy("_l").agg(F.avg(_dist(cols, "c_")).alias("_s")))
     c = cent.join(scat, "_l")
-    a = c.select(*[F.col(x).alias("a" + x) for x in c.columns])
-    b = c.select(*[F.col(x).alias("b" + x) for x in c.columns])
-    d = None
-    for col in cols:
-        t = F.pow(F.col(f"ac_{col}") - F.col(f"bc_{col}"), 2)
-        d = t if d is None else d + t
-    pairs = a.join(b, F.col("a_l") != F.col("b_l"))   # k·(k−1) rows
-    ratio = F.try_divide(F.col("a_s") + F.col("b_s"), F.sqrt(d))
-    worst = pairs.groupBy("a_l").agg(F.max(ratio).alias("_r"))
+    # the k centroids (parameter-sized) as one array; each centroid row scans it for its worst partner
+    allc = c.agg(F.collect_list(F.struct(*[F.col(f"`{x}`") for x in c.columns])).alias("_all")).select("_all").scalar()
+
+    def ratio(o):
+        d = None
+        for col in cols:
+            t = F.pow(F.col(f"`c_{col}`") - o[f"c_{col}"], 2)
+            d = t if d is None else d + t
+        return F.try_divide(F.col("_s") + o["_s"], F.sqrt(d))
+    worst = c.select("*", allc.alias("_all")).select(
+        F.array_max(F.transform(F.filter("_all", lambda o: o["_l"] != F.col("_l")), ratio)).alias("_r"))
     g = label_guard(df, label)
-    return worst.agg(F.avg("_r").alias("_db")).crossJoin(g).select(
+    return with_params(worst.agg(F.avg("_r").alias("_db")), g).select(
         F.when(F.col("Defined"), F.col("_db")).alias("Davies_Bouldin_Index"))
 
 
@@ -253,12 +256,12 @@ def calinski_harabasz(df: DataFrame, cols: list[str], label: str) -> DataFrame:
     for c in cols:
         t = F.pow(F.col(f"c_{c}") - F.col(f"m_{c}"), 2)
         bd = t if bd is None else bd + t
-    between = cent.crossJoin(F.broadcast(overall)).agg(F.sum(F.col("_n") * bd).alias("_B"),
+    between = with_params(cent, overall).agg(F.sum(F.col("_n") * bd).alias("_B"),
                                                         F.count(F.lit(1)).alias("_k"), F.first("_total").alias("_total"))
     g = label_guard(df, label)
     ch = F.when(F.col("_W") == 0, F.lit(1.0)).otherwise(
         F.col("_B") * (F.col("_total") - F.col("_k")) / (F.col("_W") * (F.col("_k") - 1)))
-    return between.crossJoin(within).crossJoin(g).select(F.when(F.col("Defined"), ch).alias("Calinski_Harabasz_Score"))
+    return with_params(with_params(between, within), g).select(F.when(F.col("Defined"), ch).alias("Calinski_Harabasz_Score"))
 
 
 # ---------------------------------------------------------------------------------------

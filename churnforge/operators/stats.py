@@ -20,13 +20,19 @@ from pyspark.sql import functions as F
 
 
 def params_row(df: DataFrame, *aggs: Column) -> DataFrame:
-    """One-row aggregate, meant to be broadcast-joined back (size is 1 row)."""
+    """One-row aggregate, meant to be attached back with ``with_params``."""
     return df.agg(*aggs)
 
 
 def with_params(df: DataFrame, params: DataFrame) -> DataFrame:
-    """Attach a one-row parameter frame to every row (broadcast nested loop of 1 row)."""
-    return df.crossJoin(F.broadcast(params))
+    """Attach the columns of a one-row parameter frame to every row.
+
+    Each column becomes an uncorrelated scalar subquery: Spark runs the
+    one-row aggregate once (Catalyst merges the subqueries of one frame into
+    a single job) and inlines the values as literals, so no join is planned.
+    More than one row is an error, never a silent fan-out.
+    """
+    return df.select("*", *[params.select(F.col(f"`{c}`")).scalar().alias(c) for c in params.columns])
 
 
 def value_counts_long(df: DataFrame, cols: list[str] | None = None, keep_null: bool = True) -> DataFrame:
@@ -108,13 +114,13 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataF
     values are counted with a partial aggregate, ranked with ``running_sum``,
     and only the two neighbours of each target rank are kept.
     """
-    spark = df.sparkSession
     counts = numeric_counts_long(df, cols)
     ranked = running_sum(counts, "value", ["n"], group_cols=["column"])
     ranked = ranked.withColumn("lo_rank", F.col("cum_n") - F.col("n") + 1)
-    sizes = counts.groupBy("column").agg(F.sum("n").alias("total"))
-    prob_df = spark.createDataFrame([(float(p),) for p in probs], "prob double")
-    targets = (sizes.crossJoin(F.broadcast(prob_df))
+    # totals from the checkpointed ranking (no second pass over the input)
+    sizes = ranked.groupBy("column").agg(F.max("cum_n").alias("total"))
+    # one row per (column, prob): the parameter list is exploded, no join
+    targets = (sizes.select("*", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
                .withColumn("h", (F.col("total") - 1) * F.col("prob"))
                .withColumn("r1", F.floor("h") + 1)
                .withColumn("r2", F.ceil("h") + 1)

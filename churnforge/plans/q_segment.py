@@ -9,6 +9,7 @@ from churnforge.operators import business as B
 from churnforge.operators import dbscan as DB
 from churnforge.operators import features as FE
 from churnforge.operators import segment as SG
+from churnforge.operators.stats import with_params
 from churnforge.plans.catalog import query
 from churnforge.sources import fixtures
 
@@ -121,12 +122,12 @@ def q_segmentation_metrics(spark, sf):
     fit = _fit(spark, sf)
     pts = fit.points
     db_pts = DB.dbscan(pts)
-    out = (SG.label_guard(pts, "Cluster").select("Number_of_Clusters")
-           .crossJoin(SG.silhouette_squared(pts, PTS, "Cluster"))
-           .crossJoin(SG.davies_bouldin(pts, PTS, "Cluster"))
-           .crossJoin(SG.calinski_harabasz(pts, PTS, "Cluster"))
-           .crossJoin(SG.silhouette_squared(db_pts, PTS, "DBSCAN_Cluster")
-                      .withColumnRenamed("Silhouette_Squared_Euclidean", "DBSCAN_Silhouette_Squared_Euclidean")))
+    out = SG.label_guard(pts, "Cluster").select("Number_of_Clusters")
+    for one_row in (SG.silhouette_squared(pts, PTS, "Cluster"), SG.davies_bouldin(pts, PTS, "Cluster"),
+                    SG.calinski_harabasz(pts, PTS, "Cluster"),
+                    SG.silhouette_squared(db_pts, PTS, "DBSCAN_Cluster")
+                    .withColumnRenamed("Silhouette_Squared_Euclidean", "DBSCAN_Silhouette_Squared_Euclidean")):
+        out = with_params(out, one_row)
     return out
 
 
