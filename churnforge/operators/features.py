@@ -32,17 +32,22 @@ def _types(df: DataFrame) -> dict:
 # vocabulary
 # ---------------------------------------------------------------------------------------
 def fit_vocabulary(df: DataFrame, cols: list[str]) -> dict[str, list[str]]:
-    """Sorted distinct non-null text values per column (one value-count shuffle)."""
+    """Sorted distinct non-null text values per column.
+
+    The per-column category counts (one row per column) are checked first, so
+    at most ``len(cols) * MAX_CATEGORIES`` values ever reach the driver.
+    """
     cols = [c for c in cols if c in df.columns]
     if not cols:
         return {}
-    rows = value_counts_long(df, cols, keep_null=False).select("column", "value").collect()
+    values = value_counts_long(df, cols, keep_null=False).select("column", "value")
+    for r in values.groupBy("column").agg(F.count(F.lit(1)).alias("k")).collect():
+        if r["k"] > MAX_CATEGORIES:
+            raise ValueError(f"{r['column']} has {r['k']} categories; too many to one-hot encode")
     vocab: dict[str, list[str]] = {c: [] for c in cols}
-    for r in rows:
+    for r in values.collect():
         vocab[r["column"]].append(r["value"])
-    for c, vals in vocab.items():
-        if len(vals) > MAX_CATEGORIES:
-            raise ValueError(f"{c} has {len(vals)} categories; too many to one-hot encode")
+    for vals in vocab.values():
         vals.sort()
     return vocab
 
