@@ -30,3 +30,26 @@ def test_priority_uses_broadcast_of_one_row(spark):
                                                                "CAST(o_custkey % 72 AS INT) AS tenure"))))
     assert "CartesianProduct" not in plan
     assert "Window" not in plan
+
+
+# queries that attach one-row parameters, expand fixed grids/offsets or pair centroids
+NO_PAIR_JOIN_KEYS = ["risk_summary", "cluster_sizes", "kde_by_class", "actual_vs_predicted", "balanced_weights",
+                     "davies_bouldin", "calinski_harabasz", "insights", "box_stats", "histograms", "dbscan"]
+
+
+def test_no_cartesian_or_nested_loop_join(spark):
+    import __spark_entry__ as entry
+    qs = entry.queries()
+    for key in NO_PAIR_JOIN_KEYS:
+        plan = _plan(qs[key](spark, SF_SMALL))
+        assert "CartesianProduct" not in plan, key
+        assert "BroadcastNestedLoopJoin" not in plan, key
+
+
+def test_vocabulary_size_checked_before_collect(spark):
+    import pytest
+    from churnforge.operators import features as FE
+    df = spark.range(FE.MAX_CATEGORIES + 1).selectExpr("CAST(id AS STRING) AS code", "'a' AS kind")
+    with pytest.raises(ValueError, match="too many to one-hot encode"):
+        FE.fit_vocabulary(df, ["code", "kind"])
+    assert FE.fit_vocabulary(df.limit(3), ["kind"]) == {"kind": ["a"]}
