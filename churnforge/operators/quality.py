@@ -195,11 +195,11 @@ def outlier_counts(df: DataFrame, candidates: list[str]) -> dict[str, int]:
 
 def minority_share(df: DataFrame, target: str) -> float | None:
     """Minority class share when the (non-null) target has exactly two values."""
-    counts = df.filter(F.col(target).isNotNull()).groupBy(target).count().limit(3).collect()
-    if len(counts) != 2:
+    counts = df.filter(F.col(target).isNotNull()).groupBy(target).agg(F.count(F.lit(1)).alias("n"))
+    row = counts.agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("lo"), F.sum("n").alias("total")).first()
+    if row["k"] != 2:
         return None
-    total = sum(r["count"] for r in counts)
-    return min(r["count"] for r in counts) / total
+    return row["lo"] / row["total"]
 
 
 def quality_issues(df: DataFrame, target: str = "Churn") -> DataFrame:
