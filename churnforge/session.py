@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -17,6 +18,7 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -39,34 +41,47 @@ def get_spark(master: str | None = None, app_name: str = "churnforge",
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """Return the shared folder for checkpoints and written tables.
 
-    On a cluster this setting points at shared storage and is used as is. Only
-    when it is unset (local tests) a scratch folder is created and registered.
+    A cluster names it in ``spark.checkpoint.dir``; a folder given to
+    ``SparkContext.setCheckpointDir`` counts as well. Where neither is set, a
+    local session (tests, notebooks) gets a temporary folder; any other master
+    fails, because executors could not see a folder of the driver's machine.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    active = sc._jsc.sc().getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not configured and active.isDefined():
+        return active.get()
     if not configured:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="churnforge-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    jsc = spark.sparkContext._jsc
-    if jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(configured)
+    if active.isEmpty():
+        sc.setCheckpointDir(configured)
     return configured
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A unique path under the shared checkpoint folder for written tables."""
-    base = checkpoint_dir(spark)
-    return os.path.join(base, f"{name}-{os.getpid()}-{next(_counter)}")
+    """A path for a written table under the shared folder that no other driver uses.
+
+    The application id and a random part keep drivers apart on shared storage.
+    ``release_scratch`` deletes what was written.
+    """
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:12]}"
+    _written.append(path)
+    return path
 
 
-def _count():
-    i = 0
-    while True:
-        i += 1
-        yield i
+def release_scratch(spark: SparkSession, path: str | None = None) -> None:
+    """Delete one written scratch table, or all that this driver wrote."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in [path] if path else list(_written):
+        target = jvm.org.apache.hadoop.fs.Path(p)
+        target.getFileSystem(conf).delete(target, True)
+        if p in _written:
+            _written.remove(p)
 
 
-_counter = _count()
+_written: list[str] = []
