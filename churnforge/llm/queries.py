@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from churnforge.llm import chat, content_sort, packing, token_files
+from churnforge.llm import chat, content_sort, lang_crf, packing, token_files, toxicity
 from churnforge.llm.common import table
 from churnforge.llm.tokens import word_bpe
 
@@ -67,11 +67,21 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(files).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text."""
+    return lang_crf.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of 2048 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_bpe(), end_id=0, size=2048)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text."""
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies among all documents; the largest doc_id stays."""
     return content_sort.content_sort_dedup(table(spark, sf_dir, "documents"))
@@ -85,7 +95,9 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_token_files": op2_token_files,
+    "op3_language_crf": op3_language_crf,
     "op6_packing": op6_packing,
+    "op8_toxicity": op8_toxicity,
     "op9_content_sort": op9_content_sort,
 }
 ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op9_content_sort": OP9_SQL}

@@ -1,2 +1,47 @@
-"""The corpus pipeline (stages follow)."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
+
+Every stage but the last returns the columns of ``documents``; a stage's decision
+takes effect in what it passes on.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from churnforge.llm import lang_crf, packing
+from churnforge.llm.common import stored, table
+from churnforge.llm.tokens import word_bpe
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+# A document whose main language has less than this share of its words is rejected.
+LEAST_SHARE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language: not ``und``, and half of the words in the main one."""
+    scored = lang_crf.identify(docs, keep=COLUMNS)
+    return scored.where((F.col("lang_pred") != lang_crf.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their sequence and place."""
+    return packing.pack_documents(docs, word_bpe(), end_id=0, size=2048)
+
+
+STAGES = [
+    ("language", language),
+    ("pack", pack),
+]
+
+# Stages learn models and pack; SQL cannot state them.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, one after the other, over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stored(docs, f"stage-{name}")
+    return docs
