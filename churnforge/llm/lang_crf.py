@@ -148,7 +148,7 @@ def labelled_sample(docs: DataFrame, label: str, per_label: int) -> list[tuple[s
     return sorted((r[label], r["text"]) for r in rows)
 
 
-def train(sample: list[tuple[str, str]], rounds: int = 60, words: int = 128, rate: float = 0.5) -> Model | None:
+def train(sample: list[tuple[str, str]], rounds: int = 30, words: int = 128, rate: float = 0.5) -> Model | None:
     """Fit the field by Adagrad on sequences of pieces of the sampled texts."""
     languages = sorted({label for label, _ in sample})
     if not languages:
@@ -230,6 +230,6 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) ->
     return scored if "text" in keep else scored.drop("text")
 
 
-def identify(docs: DataFrame, per_language: int = 250, keep: tuple[str, ...] = ()) -> DataFrame:
+def identify(docs: DataFrame, per_language: int = 200, keep: tuple[str, ...] = ()) -> DataFrame:
     """Train on a bounded labelled sample of ``docs`` (text, lang) and predict every whole text."""
     return predict(docs, train(labelled_sample(docs, "lang", per_language)), keep)

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from churnforge.llm import chat, content_sort, lang_crf, packing, token_files, toxicity
+from churnforge.llm import chat, content_sort, lang_crf, minhash, packing, token_files, toxicity
 from churnforge.llm.common import table
 from churnforge.llm.tokens import word_bpe
 
@@ -87,6 +87,11 @@ def op9_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.content_sort_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates among all documents: four-word shingles, similarity 0.8."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 OP9_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
   doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -99,5 +104,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_packing,
     "op8_toxicity": op8_toxicity,
     "op9_content_sort": op9_content_sort,
+    "op10_circulant_minhash": op10_circulant_minhash,
 }
 ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op9_content_sort": OP9_SQL}

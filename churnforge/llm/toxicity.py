@@ -2,8 +2,8 @@
 
 Two zstandard dictionaries are trained, one on toxic and one on ordinary text, and
 every window of a text is compressed with both; a window that the toxic dictionary
-shortens more speaks for the label. A window is one word with its white space,
-so equal windows are compressed once per batch. A toxic document is mostly
+shortens more speaks for the label. A window is one word (lower-case, without outer
+punctuation), so equal windows are compressed once per batch. A toxic document is mostly
 ordinary prose, therefore its dictionary is trained on those windows that occur in more
 toxic than ordinary documents of the sample (a one-sided z test). The document's
 largest and summed gains are turned into a probability by a logistic calibration.
@@ -19,7 +19,8 @@ labelled twice counts twice in the sample; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,10 @@ from pyspark.sql import DataFrame, functions as F
 from churnforge.llm.common import slices, texts_of
 from churnforge.llm.lang_crf import held_out, labelled_sample
 
-DICT_BYTES = 16_384
+ORDINARY_BYTES, TOXIC_BYTES = 16_384, 4_096
+# A short window is written several times: a block that saves under three bytes is stored raw, and
+# then all short windows would look alike. The repeats cost the same with either dictionary.
+REPEATS, SHORT, LEVEL = 4, 32, 6
 TOP = 3  # largest gains of a text that are summed
 
 
@@ -42,15 +46,21 @@ def windows_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     plain = pc.utf8_trim(pc.utf8_lower(coded.dictionary), characters="".join(map(chr, range(33, 48))) + ":;<=>?@[]^_`{|}~")
     again = plain.dictionary_encode()
     codes = again.indices.to_numpy()[coded.indices.to_numpy()] if len(coded) else np.empty(0, np.int64)
-    return [f" {w} " for w in again.dictionary.to_pylist()], codes, np.diff(np.asarray(raw.offsets))
+    return again.dictionary.to_pylist(), codes, np.diff(np.asarray(raw.offsets))
 
 
-def _dictionary(samples: list[bytes]) -> bytes:
-    """Train a dictionary; where there is too little text for the trainer, the text itself serves."""
-    try:
-        return zstandard.train_dictionary(DICT_BYTES, samples, level=3).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(dict.fromkeys(samples))[-DICT_BYTES:] or b" " * 8
+def window(word: str) -> bytes:
+    return (f" {word}" * (REPEATS if len(word) <= SHORT else 1) + " ").encode()
+
+
+def _dictionary(samples: list[bytes], size: int) -> bytes:
+    """Train a dictionary; where there is too little text for the trainer, the distinct samples themselves serve."""
+    while samples and size >= 256:
+        try:
+            return zstandard.train_dictionary(size, samples, level=LEVEL).as_bytes()
+        except zstandard.ZstdError:
+            size //= 2
+    return b"".join(dict.fromkeys(samples))[-2048:] or b" " * 8
 
 
 class Model:
@@ -64,17 +74,17 @@ class Model:
         return self.__dict__ | {"_by_dict": None}  # compressors are built in each task
 
     def gains(self, windows: list[str]) -> np.ndarray:
-        """Bytes by which the toxic dictionary shortens each window more than the ordinary one."""
+        """Bytes by which the toxic dictionary shortens each window more than the ordinary one; both hold the prose part."""
         if self._by_dict is None:
             form = zstandard.ZstdCompressionParameters.from_level(
-                3, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False, min_match=3)
+                LEVEL, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
             self._by_dict = []
             for content in (self.ordinary, self.toxic):
-                d = zstandard.ZstdCompressionDict(content)
+                d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 d.precompute_compress(compression_params=form)
                 self._by_dict.append(zstandard.ZstdCompressor(dict_data=d, compression_params=form).compress)
         ordinary, toxic = self._by_dict
-        return np.fromiter((len(ordinary(b)) - len(toxic(b)) for b in (w.encode() for w in windows)), np.int64, len(windows))
+        return np.fromiter((len(ordinary(b)) - len(toxic(b)) for b in map(window, windows)), np.int64, len(windows))
 
     def evidence(self, gains: np.ndarray, codes: np.ndarray, lens: np.ndarray) -> np.ndarray:
         """(largest gain, sum of the TOP largest) of every text, gains below zero as zero."""
@@ -93,6 +103,21 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:2] + self.weights[2], -30, 30)))
 
 
+def _first_of_copies(windows: list[str], own: list[np.ndarray]) -> list[int]:
+    """Texts of the sample without near copies of earlier ones (a third of the 15 least window hashes shared)."""
+    hashes = np.array([zlib.crc32(w.encode()) for w in windows], dtype=np.int64)
+    holders, first = defaultdict(list), []
+    for i, c in enumerate(own):
+        least = np.sort(hashes[c])[:15].tolist()
+        shared = Counter(j for h in least for j in holders[h])
+        if shared and max(shared.values()) >= max(2, len(least) // 3):
+            continue
+        first.append(i)
+        for h in least:
+            holders[h].append(i)
+    return first
+
+
 def train(sample: list[tuple[int, str]]) -> Model | None:
     """Dictionaries and calibration from (label, text) rows."""
     label = np.array([y for y, _ in sample])
@@ -102,18 +127,23 @@ def train(sample: list[tuple[int, str]]) -> Model | None:
     seen = Counter(), Counter()
     ends = np.cumsum(lens)
     own = [np.unique(codes[a:b]) for a, b in zip(ends - lens, ends)]
-    for y, c in zip(label.tolist(), own):
+    first = _first_of_copies(windows, own)
+    for y, c in zip(label[first].tolist(), (own[i] for i in first)):
         seen[y].update(c.tolist())
-    n0, n1 = len(label) - label.sum(), label.sum()
+    n1 = int(label[first].sum())
+    n0 = len(first) - n1
     typical = {}
     for w, t in seen[1].items():
         share = (t + seen[0][w]) / (n0 + n1)
         z = (t / n1 - seen[0][w] / n0) / math.sqrt(share * (1 - share) * (1 / n0 + 1 / n1) + 1e-12)
-        if z > 6:
+        if z > 6 and t >= max(4, 0.01 * n1):
             typical[w] = t
-    toxic = [windows[w].encode() for w, t in sorted(typical.items()) for _ in range(t)]
-    common = [windows[w].encode() for w, t in seen[0].most_common(20_000) if w not in typical for _ in range(min(t, 20))]
-    model = Model(_dictionary(toxic), _dictionary(common))
+    common = [f" {windows[w]} ".encode() for w, t in seen[0].most_common(20_000) if w not in typical for _ in range(min(t, 20))]
+    toxic = [window(windows[w]) for w, t in sorted(typical.items(), key=lambda x: (x[1], x[0])) for _ in range(t)]
+    prose = _dictionary(common, ORDINARY_BYTES)
+    trained = _dictionary(toxic, TOXIC_BYTES)
+    left_out = b"".join(dict.fromkeys(w for w in toxic if w not in trained))  # the commonest last, where they cost least
+    model = Model(prose + (trained + left_out)[-2 * TOXIC_BYTES:], prose)
     found = model.evidence(model.gains(windows), codes, lens)
     model.centre, model.scale = found.mean(0), found.std(0) + 1e-9
     x = np.c_[(found - model.centre) / model.scale, np.ones(len(found))]
