@@ -10,9 +10,9 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from churnforge.llm import chat, content_sort, lang_crf, minhash, packing, token_files, toxicity
+from churnforge.llm import chat, content_sort, decontaminate, lang_crf, minhash, packing, template_tree, token_files, toxicity
 from churnforge.llm.common import table
 from churnforge.llm.tokens import word_bpe
 
@@ -72,11 +72,50 @@ def op3_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_crf.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test items of the benchmark that stand in documents."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of 2048 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_bpe(), end_id=0, size=2048)
 
 
+def op7_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recurring lines dropped from all documents."""
+    rest = template_tree.drop_recurring_lines(table(spark, sf_dir, "documents"))
+    return rest.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP7_SQL = """
+WITH lines AS (
+  SELECT doc_id, text, i - 1 AS pos, list_filter(string_split_regex(string_split(text, chr(10))[i], '[ \\t\\r\\f\\v]+'), lambda t: t <> '') AS tokens
+  FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)),
+leaved AS (
+  SELECT *, len(tokens) || ' ' || array_to_string(list_transform(tokens[1:3], lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END), ' ') AS leaf
+  FROM lines WHERE len(tokens) >= 3),
+held AS (SELECT * FROM leaved WHERE leaf IN (SELECT leaf FROM leaved GROUP BY leaf HAVING count(DISTINCT text) >= 10)),
+places AS (SELECT leaf, place, token, count(*) AS n FROM (
+  SELECT leaf, unnest(range(1, len(tokens) + 1)) AS place, unnest(tokens) AS token FROM held) GROUP BY ALL),
+fixed AS (SELECT leaf, place || ' ' || token AS spot FROM places JOIN (SELECT leaf, count(*) AS lines FROM held GROUP BY leaf) USING (leaf) WHERE n >= 0.2 * lines),
+tree AS (SELECT leaf, list(spot) AS fixed FROM fixed GROUP BY leaf),
+general AS (
+  SELECT doc_id, text, pos, tokens, list_transform(range(1, len(tokens) + 1), lambda i: CASE WHEN list_contains(fixed, i || ' ' || tokens[i]) THEN tokens[i] ELSE '<*>' END) AS general
+  FROM held JOIN tree USING (leaf)),
+parsed AS (
+  SELECT doc_id, text, pos, array_to_string(CASE WHEN len(list_filter(general, lambda t: t <> '<*>')) >= 0.5 * len(general) THEN general ELSE tokens END, ' ') AS template FROM general),
+recurring AS (
+  SELECT template, min({'doc_id': doc_id, 'pos': pos}) AS first FROM parsed GROUP BY template HAVING count(DISTINCT text) >= 10),
+lost AS (
+  SELECT doc_id, pos FROM parsed JOIN recurring USING (template) WHERE {'doc_id': doc_id, 'pos': pos} <> first),
+by_doc AS (SELECT doc_id, list(pos) AS dropped FROM lost GROUP BY doc_id)
+SELECT doc_id, coalesce(len(string_split(text, chr(10))), 0) AS n_lines, coalesce(len(dropped), 0) AS n_dropped,
+  sha256(coalesce(CASE WHEN dropped IS NULL THEN text ELSE array_to_string(list_transform(
+    list_filter(range(1, len(string_split(text, chr(10))) + 1), lambda i: NOT list_contains(dropped, i - 1)), lambda i: string_split(text, chr(10))[i]), chr(10)) END, '')) AS kept_sha256
+FROM documents LEFT JOIN by_doc USING (doc_id)"""
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every whole text."""
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -101,9 +140,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_token_files": op2_token_files,
     "op3_language_crf": op3_language_crf,
+    "op5_decontaminate": op5_decontaminate,
     "op6_packing": op6_packing,
+    "op7_template_tree": op7_template_tree,
     "op8_toxicity": op8_toxicity,
     "op9_content_sort": op9_content_sort,
     "op10_circulant_minhash": op10_circulant_minhash,
 }
-ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op9_content_sort": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op7_template_tree": OP7_SQL, "op9_content_sort": OP9_SQL}

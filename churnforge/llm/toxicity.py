@@ -34,8 +34,9 @@ from churnforge.llm.lang_crf import held_out, labelled_sample
 
 ORDINARY_BYTES, TOXIC_BYTES = 16_384, 4_096
 # A short window is written several times: a block that saves under three bytes is stored raw, and
-# then all short windows would look alike. The repeats cost the same with either dictionary.
-REPEATS, SHORT, LEVEL = 4, 32, 6
+# then all short windows would look alike. The repeats cost the same with either dictionary. A gain
+# must show at each of these counts; it is the least of them.
+REPEATS, SHORT, LEVEL = (4, 3, 5), 32, 6
 TOP = 3  # largest gains of a text that are summed
 
 
@@ -49,8 +50,8 @@ def windows_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return again.dictionary.to_pylist(), codes, np.diff(np.asarray(raw.offsets))
 
 
-def window(word: str) -> bytes:
-    return (f" {word}" * (REPEATS if len(word) <= SHORT else 1) + " ").encode()
+def window(word: str, repeats: int = REPEATS[0]) -> bytes:
+    return (f" {word}" * (repeats if len(word) <= SHORT else 1) + " ").encode()
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
@@ -84,7 +85,10 @@ class Model:
                 d.precompute_compress(compression_params=form)
                 self._by_dict.append(zstandard.ZstdCompressor(dict_data=d, compression_params=form).compress)
         ordinary, toxic = self._by_dict
-        return np.fromiter((len(ordinary(b)) - len(toxic(b)) for b in map(window, windows)), np.int64, len(windows))
+        out = np.fromiter((len(ordinary(b)) - len(toxic(b)) for b in map(window, windows)), np.int64, len(windows))
+        for i in np.flatnonzero(out > 0).tolist():
+            out[i] = min(out[i], *(len(ordinary(b)) - len(toxic(b)) for b in (window(windows[i], n) for n in REPEATS[1:])))
+        return out
 
     def evidence(self, gains: np.ndarray, codes: np.ndarray, lens: np.ndarray) -> np.ndarray:
         """(largest gain, sum of the TOP largest) of every text, gains below zero as zero."""
@@ -139,7 +143,7 @@ def train(sample: list[tuple[int, str]]) -> Model | None:
         if z > 6 and t >= max(4, 0.01 * n1):
             typical[w] = t
     common = [f" {windows[w]} ".encode() for w, t in seen[0].most_common(20_000) if w not in typical for _ in range(min(t, 20))]
-    toxic = [window(windows[w]) for w, t in sorted(typical.items(), key=lambda x: (x[1], x[0])) for _ in range(t)]
+    toxic = [window(windows[w], max(REPEATS) + 1) for w, t in sorted(typical.items(), key=lambda x: (x[1], x[0])) for _ in range(t)]
     prose = _dictionary(common, ORDINARY_BYTES)
     trained = _dictionary(toxic, TOXIC_BYTES)
     left_out = b"".join(dict.fromkeys(w for w in toxic if w not in trained))  # the commonest last, where they cost least

@@ -8,21 +8,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from churnforge.llm import lang_crf, packing
+from churnforge.llm import decontaminate, lang_crf, minhash, packing, template_tree
 from churnforge.llm.common import stored, table
 from churnforge.llm.tokens import word_bpe
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 # A document whose main language has less than this share of its words is rejected.
-LEAST_SHARE = 0.5
+LEAST_SHARE = 0.35
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: not ``und``, and half of the words in the main one."""
+    """Documents with a language: not ``und``, and more words in the main one than LEAST_SHARE."""
     scored = lang_crf.identify(docs, keep=COLUMNS)
     return scored.where((F.col("lang_pred") != lang_crf.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(*COLUMNS)
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without recurring lines after their first place."""
+    return template_tree.drop_recurring_lines(docs.select(*COLUMNS)).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the smallest doc_id."""
+    # doc_ids of a group are compared, so a document is known by its id; a null id is never in a group
+    gone = minhash.near_duplicates(docs, width=5, percent=80).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(stored(gone, "near-copies"), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def clean_of_tests(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(stored(found, "leaking"), "doc_id", "left_anti").select(*COLUMNS)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their sequence and place."""
     return packing.pack_documents(docs, word_bpe(), end_id=0, size=2048)
@@ -30,6 +48,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language", language),
+    ("lines", lines),
+    ("near duplicates", near_duplicates),
+    ("decontamination", clean_of_tests),
     ("pack", pack),
 ]
 
@@ -43,5 +64,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = stored(docs, f"stage-{name}")
+            docs = stored(docs, f"stage-{k}")
     return docs
