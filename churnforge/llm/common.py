@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from churnforge.session import scratch_path
@@ -23,11 +24,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared scratch folder and read it back.
 
     Cuts the lineage with files every executor sees, so that later stages
-    survive lost executors and no branch computes ``df`` twice.
+    survive lost executors and no branch computes ``df`` twice. The shuffle files behind
+    ``df`` are of no more use then; Spark deletes them when the driver collects its garbage.
     """
-    path = scratch_path(df.sparkSession, name)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -35,7 +39,7 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
     if not batch.num_rows:
         return
     col = batch.column(batch.schema.get_field_index(text))
-    size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0), dtype=np.int64)
+    size = np.asarray(pc.fill_null(pc.binary_length(col), 0), dtype=np.int64)
     part = np.cumsum(size) // most
     cuts = np.flatnonzero(np.diff(part)) + 1
     bounds = [0, *cuts.tolist(), batch.num_rows]
@@ -46,7 +50,7 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
 
 def texts_of(batch: pa.RecordBatch, text: str = "text") -> pa.Array:
     """The text column with nulls as empty strings."""
-    return pa.compute.fill_null(batch.column(batch.schema.get_field_index(text)), "")
+    return pc.fill_null(batch.column(batch.schema.get_field_index(text)), "")
 
 
 def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:

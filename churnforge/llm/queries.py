@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from churnforge.llm import chat, content_sort, decontaminate, lang_crf, minhash, packing, template_tree, token_files, toxicity
+from churnforge.llm import chat, content_sort, decontaminate, lang_crf, minhash, packing, suffix_dedup, template_tree, token_files, toxicity
 from churnforge.llm.common import table
 from churnforge.llm.tokens import word_bpe
 
@@ -72,6 +72,11 @@ def op3_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_crf.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents that a repeated string of 100 bytes covers."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test items of the benchmark that stand in documents."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -140,6 +145,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_token_files": op2_token_files,
     "op3_language_crf": op3_language_crf,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op6_packing": op6_packing,
     "op7_template_tree": op7_template_tree,
