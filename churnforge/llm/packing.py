@@ -68,7 +68,7 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
         best = size
         if len(gaps):
             # moving a sequence from gap g to g - s changes the sum by 2 (N[g-s] - N[g] + 1); a full one is not counted
-            after = np.where(gaps == s, -1, 2 * count[gaps - s] + 1)
+            after = np.where(gaps == s, 0, 2 * count[gaps - s] + 1)
             change = after - 2 * count[gaps] + 1
             best = int(gaps[np.argmin(change)])
         if best == size:
