@@ -15,7 +15,8 @@ Defined results: lines are separated by ``\\n``, tokens by white space; lines of
 than ``LEAST_TOKENS`` tokens always stay; a null text has no lines and stays
 null; an emptied document keeps its row with the empty text; rows that share doc_id
 and text are one document and lose the same lines; among equal doc_ids the smaller text hash
-comes first, null doc_ids come last; other columns pass through unchanged.
+comes first, null doc_ids come last; other columns pass through unchanged (columns
+named like the two counts are replaced by them).
 """
 
 from __future__ import annotations
@@ -79,11 +80,15 @@ def boilerplate(docs: DataFrame, least_docs: int) -> DataFrame:
 
 def drop_recurring_lines(docs: DataFrame, least_docs: int = 10) -> DataFrame:
     """``docs`` with recurring lines taken out of ``text``, and n_lines and n_dropped beside its columns."""
-    lost = stored(boilerplate(docs, least_docs), "lost-lines").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("drop").alias("_drop"))
-    d = docs.withColumn("_text_hash", F.xxhash64("text"))
-    joined = d.join(small(lost), (d["_text_hash"] == lost["_hash"]) & d["doc_id"].eqNullSafe(lost["_doc"]), "left")
-    lines = F.split("text", "\n")
-    rest = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_drop", i)), "\n")
+    lost = small(stored(boilerplate(docs.select("doc_id", "text"), least_docs), "lost-lines"))
+    text_hash, drop, text = F.xxhash64(docs["text"]), lost["drop"], docs["text"]
+    joined = docs.join(lost, (text_hash == lost["text_hash"]) & docs["doc_id"].eqNullSafe(lost["doc_id"]), "left")
+    lines = F.split(text, "\n")
+    rest = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(drop, i)), "\n")
+    counts = F.when(text.isNull(), 0).otherwise(F.size(lines)), F.coalesce(F.size(drop), F.lit(0))
     return joined.select(
-        *[F.when(F.col("_drop").isNull(), F.col("text")).otherwise(rest).alias("text") if c == "text" else d[c] for c in docs.columns],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"))
+        *[F.when(drop.isNull(), text).otherwise(rest).alias("text") if c == "text" else docs[c] for c in docs.columns if c not in COUNTS],
+        *[n.cast("long").alias(c) for n, c in zip(counts, COUNTS)])
+
+
+COUNTS = ("n_lines", "n_dropped")
