@@ -12,8 +12,8 @@ similarity 0.8 misses all of them with probability 1.3e-7.
    decides its links on full sets: a node whose shingles are too often its own cannot be linked,
    the others are compared with all, one after the other, except those already in the component of the
    first that had a link: their links to nodes outside are found from the outside. A cluster of more than
-   ``PART`` nodes is cut into parts, and every two parts meet in a task of bounded size.
-4. The components of the confirmed links are the groups.
+   ``PART`` shingles is cut into parts, and every two parts meet in a task of bounded size.
+4. A whole cluster's task names its groups; groups of parts are joined by their components.
 
 Defined results: null and empty texts, and texts of white space, have an empty set and are alone;
 fewer words than a shingle form one shingle; rows that share a doc_id are one
@@ -37,7 +37,7 @@ from churnforge.llm.components import components
 
 ROWS, BANDS = 5, 40
 SHIFT = np.uint32(0x9E3779B1)  # odd, so shifts of different coordinates differ
-PART = 2000
+PART = 1 << 22  # shingles of a cluster that one task compares
 BROADCAST_ROWS = 500_000  # candidate nodes that are sent to every task; more are joined by a shuffle
 CHUNK = 1 << 15
 
@@ -126,7 +126,7 @@ def clusters(nodes: DataFrame) -> DataFrame:
 
 
 def linked(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that join the sets into their components at 100 * intersection >= percent * union."""
+    """(node, smallest node of its group) of all others in groups linked at 100 * intersection >= percent * union."""
     size = np.array([len(s) for s in sets], dtype=np.int64)
     live = np.arange(len(sets))
     flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
@@ -146,7 +146,7 @@ def linked(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tupl
     begin = np.r_[0, np.cumsum(np.bincount(own, minlength=len(sets)))]  # flat is in order of owners
     root = np.arange(len(sets))
     members = {i: [i] for i in live.tolist()}
-    found, main = [], -1
+    main = -1
     for x in live[np.argsort(-shared[live], kind="stable")].tolist():
         if main >= 0 and root[x] == root[main]:
             continue
@@ -155,18 +155,21 @@ def linked(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tupl
         near = np.flatnonzero(100 * common >= percent * (size + size[x] - common))
         for y in near.tolist():
             if root[y] != root[x]:
-                found.append((int(nodes[x]), int(nodes[y])))
                 big, small = sorted((root[x], root[y]), key=lambda r: -len(members[r]))
                 for z in members.pop(small):
                     root[z] = big
                     members[big].append(z)
         if main < 0 and len(members[root[x]]) > 1:
             main = x
-    return found
+    out = []
+    for group in members.values():
+        ids = nodes[group]
+        out += [(int(i), int(ids.min())) for i in ids if i != ids.min()]
+    return out
 
 
 def confirm(docs: DataFrame, candidates: DataFrame, width: int, percent: int) -> DataFrame:
-    """Confirmed links (x, y) that join every cluster into its components; sets are made from the texts again."""
+    """(node, root, parts): groups found in clusters or, where parts > 1, in two parts of one; sets are made from the texts again."""
     def reread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -180,9 +183,9 @@ def confirm(docs: DataFrame, candidates: DataFrame, width: int, percent: int) ->
     def decide(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
         df = df.drop_duplicates("node")
         pairs = linked(df["node"].to_numpy(), [s.view(np.uint64) for s in df["shingles"]], percent)
-        return pd.DataFrame(pairs, columns=["x", "y"], dtype="int64")
+        return pd.DataFrame(pairs, columns=["node", "root"], dtype="int64").assign(parts=key[3])
 
-    sizes = candidates.groupBy("cluster").agg(F.ceil(F.count("*") / PART).alias("parts"))
+    sizes = candidates.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / PART).alias("parts"))
     placed = candidates.join(sizes, "cluster").select(F.col("node").alias("doc_id"), "set_key", "cluster", "parts")
     if placed.count() <= BROADCAST_ROWS:
         placed = F.broadcast(placed)
@@ -192,17 +195,21 @@ def confirm(docs: DataFrame, candidates: DataFrame, width: int, percent: int) ->
     part = F.pmod(F.xxhash64("node"), F.col("parts"))
     others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     spread = sets.withColumn("part", part).withColumn("other", others).select(
-        "node", "shingles", "cluster", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    return spread.groupBy("cluster", "i", "j").applyInPandas(decide, "x long, y long")
+        "node", "shingles", "cluster", "parts", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    return spread.groupBy("cluster", "i", "j", "parts").applyInPandas(decide, "node long, root long, parts long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
     signed = stored(sign(docs, width), "signatures")
-    nodes = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.min("bands").alias("bands"))
+    nodes = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(
+        F.min("doc_id").alias("node"), F.min("bands").alias("bands"), F.min("n_shingles").alias("n_shingles"))
     found = stored(clusters(nodes), "clusters")
-    keyed = nodes.select("node", "set_key").join(found, "node")
-    groups = components(confirm(docs, keyed, width, percent))
+    keyed = stored(nodes.select("node", "set_key", "n_shingles").join(found, "node"), "candidates")
+    decided = stored(confirm(docs, keyed, width, percent), "groups")
+    groups, pieces = decided.where("parts = 1").select("node", "root"), decided.where("parts > 1").select("node", "root")
+    if not pieces.isEmpty():
+        groups = groups.unionByName(components(pieces))
     of_key = nodes.select("node", "set_key").join(groups, "node", "left").select("set_key", F.coalesce("root", "node").alias("root"))
     joined = signed.drop("bands").join(of_key, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
