@@ -183,7 +183,7 @@ def business_metrics(df: DataFrame, n_segments: int | None = None, models: DataF
                        .otherwise(F.lit(0.0))))
     out = health_score(out).drop("_revenue_total", "_high_ratio")
     if models is not None:
-        best = models.agg(F.max_by("Model", F.col("F1_Score")).alias("Best_Machine_Learning_Model"),
+        best = models.agg(F.max_by("Model", F.struct("F1_Score", F.col("Model"))).alias("Best_Machine_Learning_Model"),
                           F.max("Accuracy").alias("Best_Model_Accuracy"),
                           F.max("F1_Score").alias("Best_Model_F1"))
         out = with_params(out, best)
@@ -203,8 +203,13 @@ def health_score(df: DataFrame) -> DataFrame:
 
 
 def insights(df: DataFrame) -> DataFrame:
-    """Five executive sentences as (Insight_No, Executive_Insight)."""
+    """Five executive sentences as (Insight_No, Executive_Insight); without contract or segment names the fixed words stand in."""
     churned = df.filter(F.col("Predicted_Churn") == 1)
+    if "Contract" not in df.columns:
+        churned = churned.withColumn("Contract", F.lit(None).cast("string"))
+    named = "Cluster_Name" in df.columns
+    if not named:
+        df = df.withColumn("Cluster_Name", F.lit(None).cast("string"))
     top_contract = group_mode(churned.withColumn("_all", F.lit(1)), ["_all"], "Contract", "top_contract")
     by_name = df.groupBy("Cluster_Name").agg(F.avg("Churn_Probability").alias("p"), F.avg("TotalCharges").alias("v"))
     # by_name has one row per segment name (k rows).
@@ -218,15 +223,13 @@ def insights(df: DataFrame) -> DataFrame:
          / F.sum(X.dec_money("MonthlyCharges")).cast("double") * 100).alias("risk_pct"))
     row = with_params(with_params(kpi, pick), top_contract.drop("_all"))
     fmt = lambda c: X.format_fixed(F.col(c), 1)
-    texts = [
-        F.concat(fmt("churn_pct"), F.lit(K.INSIGHT_TEMPLATES[0].split("{churn_pct}")[1])),
-        F.concat(F.lit(K.INSIGHT_TEMPLATES[1].split("{risk_pct}")[0]), fmt("risk_pct"),
-                 F.lit(K.INSIGHT_TEMPLATES[1].split("{risk_pct}")[1])),
-        F.concat(F.coalesce(F.col("top_contract"), F.lit("Month-to-month")),
-                 F.lit(K.INSIGHT_TEMPLATES[2].split("{top_contract}")[1])),
-        F.concat(F.col("riskiest"), F.lit(K.INSIGHT_TEMPLATES[3].split("{riskiest}")[1])),
-        F.concat(F.col("richest"), F.lit(K.INSIGHT_TEMPLATES[4].split("{richest}")[1])),
-    ]
+    values = {"churn_pct": fmt("churn_pct"), "risk_pct": fmt("risk_pct"), **{n: F.col(n) if named else F.lit(word) for n, word in K.INSIGHT_NO_SEGMENT.items()},
+              "top_contract": F.coalesce(F.col("top_contract"), F.lit("Month-to-month"))}
+
+    def filled(template):
+        name = next(n for n in values if "{" + n + "}" in template)
+        return F.format_string(template.replace("%", "%%").replace("{" + name + "}", "%s"), values[name])
+    texts = [filled(t) for t in K.INSIGHT_TEMPLATES]
     arr = F.array(*[F.struct(F.lit(i + 1).alias("Insight_No"), t.alias("Executive_Insight"))
                     for i, t in enumerate(texts)])
     return row.select(F.inline(arr))

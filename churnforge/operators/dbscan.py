@@ -222,13 +222,14 @@ def dbscan(df: DataFrame, x: str = "PC1", y: str = "PC2", key: str = "customerID
             .select(F.col("_key").alias(key), F.col("x").alias(x), F.col("y").alias(y), label, "is_core"))
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10000) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, comp = smallest node id in its component) by min-label propagation + pointer jumping.
 
-    Each round is checkpointed to the shared checkpoint folder (no lineage growth).
+    Each round is checkpointed to the shared checkpoint folder (no lineage growth); labels only
+    get smaller, so the rounds end.
     """
     lab = nodes.select("node", F.col("node").alias("comp")).checkpoint(eager=True)
-    for _ in range(max_rounds):
+    while True:
         nbr = (edges.join(lab.select(F.col("node").alias("dst"), F.col("comp").alias("c")), "dst")
                .groupBy("src").agg(F.min("c").alias("m")))
         step = (lab.join(nbr.withColumnRenamed("src", "node"), "node", "left")
@@ -240,4 +241,3 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
         lab = new
         if changed == 0:
             return lab
-    raise RuntimeError("connected components did not converge")

@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnforge.functions import constants as K
 from churnforge.functions import exprs as X
-from churnforge.operators.stats import hash_unit, value_counts_long
+from churnforge.operators.clean import require_columns
+from churnforge.operators.stats import hash_unit, running_sum, value_counts_long
 
 MAX_CATEGORIES = 1000
 
@@ -32,26 +33,44 @@ def _types(df: DataFrame) -> dict:
 # vocabulary
 # ---------------------------------------------------------------------------------------
 def fit_vocabulary(df: DataFrame, cols: list[str]) -> dict[str, list[str]]:
-    """Sorted distinct non-null text values per column.
+    """Sorted distinct non-null text values per column, from one pass.
 
-    The per-column category counts (one row per column) are checked first, so
-    at most ``len(cols) * MAX_CATEGORIES`` values ever reach the driver.
+    The values become columns, so they must be few: at most ``MAX_CATEGORIES + 1``
+    of a column reach the driver. ``category_table`` and ``one_hot_sparse`` have no such bound.
     """
     cols = [c for c in cols if c in df.columns]
     if not cols:
         return {}
     values = value_counts_long(df, cols, keep_null=False).select("column", "value")
-    for r in values.groupBy("column").agg(F.count(F.lit(1)).alias("k")).collect():
-        if r["k"] > MAX_CATEGORIES:
-            raise ValueError(f"{r['column']} has {r['k']} categories; too many to one-hot encode")
+    few = values.withColumn("_n", F.row_number().over(Window.partitionBy("column").orderBy("value"))).filter(F.col("_n") <= MAX_CATEGORIES + 1)
     vocab: dict[str, list[str]] = {c: [] for c in cols}
-    for r in values.collect():
+    for r in few.collect():
         vocab[r["column"]].append(r["value"])
-    for vals in vocab.values():
+    for c, vals in vocab.items():
+        if len(vals) > MAX_CATEGORIES:
+            raise ValueError(f"{c} has more than {MAX_CATEGORIES} categories; use one_hot_sparse")
         vals.sort()
     return vocab
 
 
+def category_table(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column, value, index): the vocabulary as a table, numbered from 0 in order of (column, value); any size."""
+    values = value_counts_long(df, [c for c in cols if c in df.columns], keep_null=False)
+    named = values.select(F.concat_ws("\u0000", "column", "value").alias("_k"), "column", "value", F.lit(1).alias("one"))
+    return running_sum(named, "_k", ["one"]).select("column", "value", (F.col("cum_one") - 1).alias("index"))
+
+
+def one_hot_sparse(df: DataFrame, vocabulary: DataFrame, key: str, cols: list[str]) -> DataFrame:
+    """(key, indices): the sorted numbers of a row's categories, by an equi-join with the vocabulary table.
+
+    The sparse form of a one-hot row for any number of categories; null and unseen values have no number.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), _q(c).cast("string").alias("value")) for c in cols])
+    long = df.select(_q(key), F.explode(pairs).alias("kv")).select(key, "kv.*")
+    joined = long.join(vocabulary, ["column", "value"], "left")
+    return joined.groupBy(key).agg(F.array_sort(F.collect_list("index")).alias("indices"))
+
+
 def one_hot(df: DataFrame, vocab: dict[str, list[str]], drop_first: bool) -> DataFrame:
     """Replace each vocabulary column by 0/1 columns ``{col}_{value}`` (appended at the end).
 
@@ -134,14 +153,15 @@ class ChurnEncoding:
 
 
 def churn_features(df: DataFrame, encoding: ChurnEncoding | None = None, key: str = "customerID",
-                   target: str = "Churn", passthrough: tuple = ()) -> tuple[DataFrame, ChurnEncoding]:
+                   target: str = "Churn", passthrough: tuple = (), extra: tuple = ()) -> tuple[DataFrame, ChurnEncoding]:
     """(key, features..., target) as doubles/ints; the vocabulary is fitted unless given.
 
+    Columns outside the known list are left out, but for those named in ``extra``.
+
     ``passthrough`` columns are carried unchanged (no join needed to re-attach them).
     """
-    missing = [c for c in [target, "MonthlyCharges", "TotalCharges", "tenure"] if c not in df.columns]
-    if missing:
-        raise ValueError(f"Dataset is missing required columns: {', '.join(missing)}")
+    require_columns(df, [target, "MonthlyCharges", "TotalCharges", "tenure"])
+    df = _known(df, K.TELCO_COLUMNS, (key, target, *passthrough, *extra))
     types = _types(df)
     out = df.withColumn("TotalCharges", F.coalesce(X.to_number(_q("TotalCharges"), types["TotalCharges"]),
                                                    F.lit(0.0)))
@@ -163,19 +183,21 @@ def churn_features(df: DataFrame, encoding: ChurnEncoding | None = None, key: st
     return out, encoding
 
 
+def _known(df: DataFrame, known: tuple, more: tuple) -> DataFrame:
+    return df.select(*[_q(c) for c in df.columns if c in known or c in more])
+
+
 def align_features(df: DataFrame, feature_columns: list[str], keep: tuple = ()) -> DataFrame:
     """Reorder to the fitted feature list; absent features become 0."""
     return df.select(*[_q(c) for c in keep],
                      *[(_q(c).cast("double") if c in df.columns else F.lit(0.0)).alias(c) for c in feature_columns])
 
 
-def segment_features(df: DataFrame, vocab: dict | None = None, key: str = "customerID"
+def segment_features(df: DataFrame, vocab: dict | None = None, key: str = "customerID", extra: tuple = ()
                      ) -> tuple[DataFrame, dict, list[str]]:
-    """(key, features...) for clustering: SAR money, binary maps, full one-hot, all numeric."""
-    missing = [c for c in ["MonthlyCharges", "TotalCharges", "tenure"] if c not in df.columns]
-    if missing:
-        raise ValueError(f"Dataset is missing required columns: {', '.join(missing)}")
-    out = to_sar(df)
+    """(key, features...) for clustering: SAR money, binary maps, full one-hot, all numeric; known columns and ``extra`` only."""
+    require_columns(df, ["MonthlyCharges", "TotalCharges", "tenure"])
+    out = to_sar(_known(df, K.TELCO_COLUMNS, (key, *extra)))
     out = out.drop(*[c for c in K.SEGMENT_DROP_COLUMNS if c != key and c in out.columns])
     out = map_binary_segment(out)
     if vocab is None:
@@ -187,8 +209,9 @@ def segment_features(df: DataFrame, vocab: dict | None = None, key: str = "custo
 
 
 def split_80_20(df: DataFrame, key: str = "customerID", test_pct: int = 20, seed: int = 42) -> DataFrame:
-    """Adds ``is_test``: a stable hash split on the key (not on partitioning or row order)."""
-    return df.withColumn("is_test", (hash_unit(_q(key), seed) < test_pct).cast("int"))
+    """Adds ``is_test``: a stable hash split on the key (not on partitioning or row order); rows without a key split on the whole row."""
+    row = F.concat_ws("\u0000", F.lit("row"), *[F.coalesce(_q(c).cast("string"), F.lit("")) for c in df.columns])
+    return df.withColumn("is_test", (hash_unit(F.coalesce(_q(key).cast("string"), row), seed) < test_pct).cast("int"))
 
 
 @dataclass

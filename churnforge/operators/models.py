@@ -47,11 +47,11 @@ class TrainingData:
 def prepare_training(df: DataFrame, key: str = KEY) -> TrainingData:
     """Features → 80/20 hash split → scaling fitted on train → balanced and positive weights.
 
-    The scaled table is checkpointed once (shared checkpoint folder); the fits
+    An ``is_test`` column that is there already is the split. The scaled table is checkpointed once (shared checkpoint folder); the fits
     and metrics then read it instead of recomputing the feature plan.
     """
-    feats, enc = FE.churn_features(df, key=key)
-    split = FE.split_80_20(feats, key)
+    feats, enc = FE.churn_features(df, key=key, passthrough=("is_test",))
+    split = feats if "is_test" in feats.columns else FE.split_80_20(feats, key)
     train0 = split.filter(F.col("is_test") == 0)
     scale_cols = [c for c in K.NUM_COLS if c in enc.feature_columns]
     scaling = FE.fit_scaling(train0, scale_cols)
@@ -88,7 +88,7 @@ def model_specs(n_train: int, weighted: bool = True, seed: int = 42) -> list[Mod
                 standardization=False, maxIter=1000, tol=1e-8)),
             ModelSpec("Decision Tree", DecisionTreeClassifier(labelCol=LABEL, weightCol=w, maxDepth=30, seed=seed)),
             ModelSpec("Random Forest", RandomForestClassifier(
-                labelCol=LABEL, weightCol=w, numTrees=200, maxDepth=10, minInstancesPerNode=2,
+                labelCol=LABEL, weightCol=w, numTrees=200, maxDepth=10, minInstancesPerNode=2, maxMemoryInMB=512,
                 featureSubsetStrategy="sqrt", seed=seed)),
             ModelSpec("Gradient Boosting", GBTClassifier(
                 labelCol=LABEL, weightCol=w, maxIter=150, stepSize=0.05, maxDepth=5, subsamplingRate=0.8, seed=seed)),
@@ -99,7 +99,7 @@ def model_specs(n_train: int, weighted: bool = True, seed: int = 42) -> list[Mod
     return [
         ModelSpec("Logistic Regression", LogisticRegression(labelCol=LABEL, regParam=1.0 / n_train,
                                                             standardization=False, maxIter=100), False),
-        ModelSpec("Random Forest", RandomForestClassifier(labelCol=LABEL, numTrees=100, seed=seed), False),
+        ModelSpec("Random Forest", RandomForestClassifier(labelCol=LABEL, numTrees=100, maxDepth=30, maxMemoryInMB=512, seed=seed), False),
         ModelSpec("Gradient Boosting", GBTClassifier(labelCol=LABEL, maxIter=100, stepSize=0.1, maxDepth=3,
                                                      seed=seed), False),
         ModelSpec("Boosted", GBTClassifier(labelCol=LABEL, maxIter=100, stepSize=0.3, maxDepth=6, seed=seed), False),
@@ -157,7 +157,7 @@ def compare_models(data: TrainingData, specs: list[ModelSpec]) -> ComparisonResu
         preds.append(predict(model, data.test, spec.name))
     spark = data.train.sparkSession
     if preds:
-        stacked = union_all(preds)
+        stacked = union_all(preds).checkpoint(eager=True)  # scored once for the metrics, the AUC and later readers
         m = E.classification_metrics(stacked, group=["Model"])
         auc = E.roc_auc(stacked, group=["Model"])
         times = spark.createDataFrame([(k, float(v)) for k, v in res.times.items()], "Model string, Training_Time double")
@@ -181,6 +181,13 @@ def best_model(metrics: DataFrame) -> DataFrame:
                        F.max("F1_Score").alias("Best_F1"))
 
 
+def curves(predictions: DataFrame) -> DataFrame:
+    """(Model, Curve, x, y): ROC and precision-recall points of all models in stacked predictions."""
+    roc, pr = E.roc_curve(predictions, group=["Model"]), E.pr_curve(predictions, group=["Model"])
+    return roc.select("Model", F.lit("ROC").alias("Curve"), F.col("FPR").alias("x"), F.col("TPR").alias("y")).unionByName(
+        pr.select("Model", F.lit("PR").alias("Curve"), F.col("Recall").alias("x"), F.col("Precision").alias("y")))
+
+
 def feature_importance(model: PipelineModel, feature_columns: list[str], top: int = 20) -> DataFrame:
     """|coefficient| for linear models, impurity importance for trees; top n."""
     est = model.stages[-1]
@@ -197,40 +204,46 @@ def feature_importance(model: PipelineModel, feature_columns: list[str], top: in
     return df.orderBy(F.col("Importance").desc(), "Feature").limit(top)
 
 
-def learning_curve(data: TrainingData, folds: int = 3, sizes: tuple = (0.2, 0.4, 0.6, 0.8, 1.0)) -> DataFrame:
+def learning_curve(data: TrainingData, folds: int = 3, sizes: tuple = (0.2, 0.4, 0.6, 0.8, 1.0), key: str = KEY) -> DataFrame:
     """Mean train / validation F1 of the balanced LR over folds and growing train sizes.
 
     Folds and the nested size subsets come from key hashes, which are
     independent of the label, so each subset keeps the class mix (stratified
-    in expectation) and no group is ever ranked inside one task.
+    in expectation) and no group is ever ranked inside one task. The fits run
+    side by side. A subset with a single class cannot be fitted: ``Error`` says
+    how many folds of a size that befell, and the means are over the others.
     """
     from churnforge.operators.stats import hash_unit
-    train = data.train.withColumn("_fold", (hash_unit(F.col(KEY), 7) % folds).cast("int")) \
-        .withColumn("_u", hash_unit(F.col(KEY), 11))
+    from churnforge.plans.concurrency import parallel_map
+    train = data.train.withColumn("_fold", (hash_unit(F.col(key), 7) % folds).cast("int")) \
+        .withColumn("_u", hash_unit(F.col(key), 11)).checkpoint(eager=True)
     spark = train.sparkSession
-    rows = []
-    for f in range(folds):
-        tr = train.filter(F.col("_fold") != f)
+
+    def one(job):
+        f, s = job
+        sub = train.filter((F.col("_fold") != f) & (F.col("_u") < int(round(s * 100))))
         va = train.filter(F.col("_fold") == f)
-        for s in sizes:
-            sub = tr.filter(F.col("_u") < int(round(s * 100)))
-            counts = FE.class_counts(sub, LABEL)
-            n_sub = sum(counts.values())
-            if len(counts) < 2:
-                continue
-            wexpr = F.lit(0.0)
-            for c, n in counts.items():
-                wexpr = F.when(F.col(LABEL) == c, F.lit(n_sub / (len(counts) * n))).otherwise(wexpr)
-            sub = sub.withColumn("weight", wexpr)
-            d = TrainingData(data.encoding, data.scaling, sub, va, data.all_rows, n_sub, data.scale_pos_weight)
-            model, _ = fit_model(d, model_specs(n_sub)[0])
-            m_tr = E.classification_metrics(predict(model, sub)).first()["F1_Score"]
-            m_va = E.classification_metrics(predict(model, va)).first()["F1_Score"]
-            rows.append((float(s), f, n_sub, float(m_tr), float(m_va)))
+        counts = FE.class_counts(sub, LABEL)
+        n_sub = sum(counts.values())
+        if len(counts) < 2:
+            return (float(s), f, n_sub, None, None)
+        wexpr = F.lit(0.0)
+        for c, n in counts.items():
+            wexpr = F.when(F.col(LABEL) == c, F.lit(n_sub / (len(counts) * n))).otherwise(wexpr)
+        sub = sub.withColumn("weight", wexpr)
+        d = TrainingData(data.encoding, data.scaling, sub, va, data.all_rows, n_sub, data.scale_pos_weight)
+        model, _ = fit_model(d, model_specs(n_sub)[0])
+        both = predict(model, sub, "train", keep=(key, LABEL)).unionByName(predict(model, va, "validation", keep=(key, LABEL)))
+        f1 = {r["Model"]: r["F1_Score"] for r in E.classification_metrics(both, group=["Model"]).collect()}
+        return (float(s), f, n_sub, f1.get("train"), f1.get("validation"))
+
+    rows = parallel_map(one, [(f, s) for f in range(folds) for s in sizes])
     df = spark.createDataFrame(rows, "Fraction double, fold int, n bigint, Training_F1 double, Validation_F1 double")
+    failed = F.count_if(F.col("Training_F1").isNull())
     return (df.groupBy("Fraction")
             .agg(F.avg("n").alias("Training_Size"), F.avg("Training_F1").alias("Training_F1"),
-                 F.avg("Validation_F1").alias("Validation_F1"))
+                 F.avg("Validation_F1").alias("Validation_F1"),
+                 F.when(failed > 0, F.format_string("%d of %d folds have one class", failed, F.count(F.lit(1)))).alias("Error"))
             .orderBy("Fraction"))
 
 

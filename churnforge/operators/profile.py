@@ -12,13 +12,12 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType, StringType
+from pyspark.sql.types import NumericType
 
 from churnforge.functions import exprs as X
 from churnforge.operators import clean as C
 from churnforge.operators.quality import correlation_frame
-from churnforge.operators.stats import exact_quantiles, union_all, value_counts_long, with_params
-from churnforge.operators.dashboard import equal_width_histogram
+from churnforge.operators.stats import exact_quantiles, value_counts_long
 
 
 def _q(c: str) -> F.Column:
@@ -44,10 +43,6 @@ def preview(df: DataFrame, n: int = 100, key: str | None = None) -> DataFrame:
     return df.orderBy(_q(key)).limit(n)
 
 
-def schema_table(df: DataFrame) -> DataFrame:
-    return df.sparkSession.createDataFrame([(n, t) for n, t in df.dtypes], "column string, type string")
-
-
 def missing_by_column(df: DataFrame) -> DataFrame:
     """Null (blank-aware) count per column, long form, from one aggregate."""
     blanked = C.blank_to_null(df)
@@ -57,11 +52,11 @@ def missing_by_column(df: DataFrame) -> DataFrame:
 
 
 def describe_all(df: DataFrame) -> DataFrame:
-    """count/unique/top/freq for text, count/mean/std/min/quartiles/max for numbers."""
+    """Every column: count/mean/std/min/quartiles/max for numbers, count/unique/top/freq and least/greatest for all other types."""
     spark = df.sparkSession
     types = {f.name: f.dataType for f in df.schema.fields}
     nums = [c for c in df.columns if isinstance(types[c], NumericType)]
-    texts = [c for c in df.columns if isinstance(types[c], StringType)]
+    others = [c for c in df.columns if c not in nums]
     aggs = []
     for i, c in enumerate(df.columns):
         v = X.nan_to_null(_q(c).cast("double")) if c in nums else _q(c)
@@ -69,13 +64,15 @@ def describe_all(df: DataFrame) -> DataFrame:
         if c in nums:
             aggs += [F.avg(v).alias(f"mean{i}"), F.stddev_samp(v).alias(f"std{i}"),
                      F.min(v).alias(f"min{i}"), F.max(v).alias(f"max{i}")]
+        else:
+            aggs += [F.min(v.cast("string")).alias(f"min{i}"), F.max(v.cast("string")).alias(f"max{i}")]
     row = df.agg(*aggs).first()
     quarts = {}
     for r in exact_quantiles(df, nums, [0.25, 0.5, 0.75]).collect() if nums else []:
         quarts[(r["column"], r["prob"])] = r["quantile"]
     tops = {}
-    if texts:
-        counts = value_counts_long(df, texts, keep_null=False)
+    if others:
+        counts = value_counts_long(df, others, keep_null=False)
         stat = counts.groupBy("column").agg(
             F.count(F.lit(1)).alias("unique"),
             F.min(F.struct((-F.col("n")).alias("a"), F.col("value").alias("b"))).alias("m"))
@@ -84,13 +81,12 @@ def describe_all(df: DataFrame) -> DataFrame:
     for i, c in enumerate(df.columns):
         if c in nums:
             out.append((c, row[f"n{i}"], None, None, None, row[f"mean{i}"], row[f"std{i}"], row[f"min{i}"],
-                        quarts.get((c, 0.25)), quarts.get((c, 0.5)), quarts.get((c, 0.75)), row[f"max{i}"]))
-        elif c in texts:
-            u, top, freq = tops.get(c, (0, None, None))
-            out.append((c, row[f"n{i}"], u, top, freq, None, None, None, None, None, None, None))
+                        quarts.get((c, 0.25)), quarts.get((c, 0.5)), quarts.get((c, 0.75)), row[f"max{i}"], None, None))
+        else:
+            out.append((c, row[f"n{i}"], *tops.get(c, (0, None, None)), *[None] * 7, row[f"min{i}"], row[f"max{i}"]))
     return spark.createDataFrame(out, "column string, count bigint, unique bigint, top string, freq bigint, "
                                       "mean double, std double, min double, q1 double, median double, q3 double, "
-                                      "max double")
+                                      "max double, least string, greatest string")
 
 
 def analysable_numeric(df: DataFrame) -> DataFrame:
@@ -105,45 +101,63 @@ def corr_matrix(df: DataFrame) -> DataFrame:
     return correlation_frame(num, num.columns)
 
 
-def missing_map_sample(df: DataFrame, n: int = 500, key: str | None = None, seed: int = 42) -> DataFrame:
-    """A stable hash sample of ≤ n rows as 0/1 null flags (a sampling operator: the cap is the feature)."""
-    key = key or df.columns[0]
+def missing_patterns(df: DataFrame) -> DataFrame:
+    """Rows per null pattern (blank-aware): one 0/1 flag per column and the number of rows that have it.
+
+    The complete form of a missing-value map; as many rows as there are patterns.
+    """
     blanked = C.blank_to_null(df)
-    flags = [F.when(_q(c).isNull(), 1).otherwise(0).alias(c) for c in df.columns if c != key]
-    return (blanked.withColumn("_h", F.xxhash64(F.lit(seed), _q(key))).orderBy("_h", key).limit(n)
-            .select(_q(key), *flags))
+    flags = [F.when(_q(c).isNull(), 1).otherwise(0).alias(c) for c in df.columns]
+    return blanked.select(*flags).groupBy(*[_q(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("Rows"))
 
 
-def histograms(df: DataFrame, bins: int = 30, max_columns: int = 4) -> DataFrame:
-    """Equal-width histograms of the first numeric columns, long form."""
-    nums = [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)][:max_columns]
-    parts = [equal_width_histogram(df, c, bins).withColumn("column", F.lit(c)) for c in nums]
-    return union_all(parts).select("column", "Bin", "Bin_Start", "Bin_End", "Count")
+def _numeric(df: DataFrame, columns: list[str] | None) -> list[str]:
+    return list(columns or [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)])
 
 
-def box_stats(df: DataFrame, max_columns: int = 6) -> DataFrame:
-    """q1/median/q3, whiskers (extreme values inside 1.5·iqr) and outlier counts."""
-    spark = df.sparkSession
-    nums = [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)][:max_columns]
-    if not nums:
-        return spark.createDataFrame([], "column string")
-    q = exact_quantiles(df, nums, [0.25, 0.5, 0.75])
-    qs = q.groupBy("column").agg(
-        F.max(F.when(F.col("prob") == 0.25, F.col("quantile"))).alias("q1"),
-        F.max(F.when(F.col("prob") == 0.5, F.col("quantile"))).alias("median"),
-        F.max(F.when(F.col("prob") == 0.75, F.col("quantile"))).alias("q3"))
-    # qs has one row per column: broadcast it to the unpivoted values
-    stacked = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), X.nan_to_null(_q(c).cast("double")).alias("v")) for c in nums]))
-        .alias("kv")).select("kv.column", "kv.v").filter(F.col("v").isNotNull())
-    j = stacked.join(F.broadcast(qs), "column")
-    lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
-    hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
-    return j.groupBy("column").agg(
-        F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
-        F.min(F.when(F.col("v") >= lo, F.col("v"))).alias("lower_whisker"),
-        F.max(F.when(F.col("v") <= hi, F.col("v"))).alias("upper_whisker"),
-        F.count_if((F.col("v") < lo) | (F.col("v") > hi)).alias("outliers"))
+def histograms(df: DataFrame, bins: int = 30, columns: list[str] | None = None) -> DataFrame:
+    """Equal-width histograms of all numeric columns (or ``columns``), long form.
+
+    One pass for the ranges, one for the counts; the ranges are one row per column.
+    """
+    cols = _numeric(df, columns)
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string, Bin int, Bin_Start double, Bin_End double, Count bigint")
+    v = {c: X.nan_to_null(_q(c).cast("double")) for c in cols}
+    row = df.agg(*[f(v[c]).alias(f"{n}{i}") for i, c in enumerate(cols) for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    ranges = {c: (row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(cols) if row[f"lo{i}"] is not None}
+
+    def bin_of(c):
+        lo, hi = ranges[c]
+        at = F.floor((v[c] - F.lit(lo)) * bins / F.lit(hi - lo)) if hi > lo else F.lit(0)
+        return F.when(v[c].isNotNull(), F.least(at, F.lit(bins - 1)).cast("int"))
+    if not ranges:
+        return df.sparkSession.createDataFrame([], "column string, Bin int, Bin_Start double, Bin_End double, Count bigint")
+    binned = df.select(F.inline(F.array(*[F.struct(
+        F.lit(c).alias("column"), bin_of(c).alias("Bin"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for c, (lo, hi) in ranges.items()])))
+    width = F.col("hi") - F.col("lo")
+    return (binned.filter(F.col("Bin").isNotNull()).groupBy("column", "Bin", "lo", "hi").agg(F.count(F.lit(1)).alias("Count"))
+            .select("column", "Bin", (F.col("lo") + F.col("Bin") * width / bins).alias("Bin_Start"),
+                    (F.col("lo") + (F.col("Bin") + 1) * width / bins).alias("Bin_End"), "Count"))
+
+
+def box_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """q1/median/q3, whiskers (extreme values inside 1.5·iqr) and outlier counts of all numeric columns."""
+    cols = _numeric(df, columns)
+    schema = ("column string, q1 double, median double, q3 double, lower_whisker double, upper_whisker double, outliers bigint")
+    q: dict[str, dict[float, float]] = {}
+    for r in exact_quantiles(df, cols, [0.25, 0.5, 0.75]).collect() if cols else []:
+        q.setdefault(r["column"], {})[r["prob"]] = r["quantile"]
+    if not q:
+        return df.sparkSession.createDataFrame([], schema)
+    aggs = []
+    for i, (c, at) in enumerate(q.items()):
+        v, spread = X.nan_to_null(_q(c).cast("double")), 1.5 * (at[0.75] - at[0.25])
+        lo, hi = F.lit(at[0.25] - spread), F.lit(at[0.75] + spread)
+        aggs.append(F.struct(F.lit(c).alias("column"), F.lit(at[0.25]).alias("q1"), F.lit(at[0.5]).alias("median"), F.lit(at[0.75]).alias("q3"),
+                             F.min(F.when(v >= lo, v)).alias("lower_whisker"), F.max(F.when(v <= hi, v)).alias("upper_whisker"),
+                             F.count_if((v < lo) | (v > hi)).alias("outliers")))
+    return df.agg(F.array(*aggs).alias("rows")).select(F.inline("rows"))
 
 
 def class_distribution(df: DataFrame, target: str = "Churn") -> DataFrame:
@@ -156,15 +170,14 @@ def churn_rate_by_category(df: DataFrame, by: list[str] = ("Contract", "TechSupp
     types = {f.name: f.dataType for f in df.schema.fields}
     y = X.map_target(_q(target), types[target])
     by = [c for c in by if c in df.columns]
-    spark = df.sparkSession
-    view = f"_rate_src_{abs(hash(tuple(by))) % 10**8}"
-    df.select(*[_q(c) for c in by], y.alias("_y")).createOrReplaceTempView(view)
-    sets = ", ".join(f"({c})" for c in by)
-    which = " ".join(f"WHEN grouping({c}) = 0 THEN '{c}'" for c in by)
-    value = " ".join(f"WHEN grouping({c}) = 0 THEN CAST({c} AS STRING)" for c in by)
-    return spark.sql(f"""SELECT CASE {which} END AS Feature, CASE {value} END AS Value,
-                         avg(_y) AS Churn_Rate, count(*) AS Customers
-                         FROM {view} GROUP BY GROUPING SETS ({sets})""")
+    rows = df.select(*[_q(c) for c in by], y.alias("_y"))
+    feature, value = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for c in by:
+        feature = F.when(F.grouping(c) == 0, F.lit(c)).otherwise(feature)
+        value = F.when(F.grouping(c) == 0, _q(c).cast("string")).otherwise(value)
+    sets = rows.groupingSets([[_q(c)] for c in by], *[_q(c) for c in by])
+    return sets.agg(feature.alias("Feature"), value.alias("Value"), F.avg("_y").alias("Churn_Rate"),
+                    F.count(F.lit(1)).alias("Customers")).select("Feature", "Value", "Churn_Rate", "Customers")
 
 
 def kde_by_class(df: DataFrame, column: str, target: str = "Churn", grid: int = 200, cut: float = 3.0) -> DataFrame:

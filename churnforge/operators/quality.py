@@ -1,9 +1,9 @@
 """Data-quality detector: issue table + 0..100 score.
 
 The decisions need only per-column numbers, gathered in a handful of passes:
-one wide aggregate (rows, nulls, parse shares, min/max, HLL distinct counts,
-pairwise moments for correlation), one distinct-row count (shuffle with
-map-side combine), exact distinct counts for small-cardinality columns,
+one wide aggregate (rows, nulls, parse shares, min/max, pairwise moments for
+correlation), one distinct-row count (shuffle with map-side combine), exact
+distinct counts of all columns,
 distributed quartiles for the outlier rule, and the target's class counts.
 Correlation uses population moments over pairwise-complete rows with
 ``try_divide``, so a constant column gives null (never a divide-by-zero).
@@ -19,7 +19,7 @@ from churnforge.functions import exprs as X
 from churnforge.operators import clean as C
 
 ISSUE_SCHEMA = ("Severity string, Issue string, Explanation string, Business_Impact string, "
-                "Recommended_Solution string")
+                "Recommended_Solution string, Columns array<string>")
 
 
 def _fmt_int(n: int) -> str:
@@ -79,11 +79,7 @@ def correlation_frame(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def detect_quality(df: DataFrame, target: str = "Churn") -> tuple[list[dict], int]:
     """Issues (list of dicts, reference order) and the score."""
-    inspected = C.blank_to_null(df).persist()
-    try:
-        return _detect(inspected, target)
-    finally:
-        inspected.unpersist()
+    return _detect(C.blank_to_null(df), target)
 
 
 def _detect(inspected: DataFrame, target: str) -> tuple[list[dict], int]:
@@ -93,12 +89,12 @@ def _detect(inspected: DataFrame, target: str) -> tuple[list[dict], int]:
     cols = inspected.columns
     issues: list[dict] = []
 
-    def add(kind: str, **fmt):
+    def add(kind: str, found: list[str] | None = None, **fmt):
         sev, title, expl, impact, fix = K.QUALITY_TEXTS[kind]
         issues.append({"Severity": sev, "Issue": title, "Explanation": expl.format(**fmt),
-                       "Business_Impact": impact, "Recommended_Solution": fix})
+                       "Business_Impact": impact, "Recommended_Solution": fix, "Columns": found or []})
 
-    # one wide aggregate: rows, nulls, parse shares, min/max/count, HLL distinct, pair moments
+    # one wide aggregate: rows, nulls, parse shares, min/max/count, pair moments
     itypes = {f.name: f.dataType for f in inspected.schema.fields}
     rtypes = {f.name: f.dataType for f in ready.schema.fields}
     ready_expr = {c: X.to_number(F.col(f"`{c}`"), itypes[c]) if c in K.MONEY_COLUMNS else F.col(f"`{c}`")
@@ -111,10 +107,7 @@ def _detect(inspected: DataFrame, target: str) -> tuple[list[dict], int]:
         aggs += [F.count_if(miss).alias(f"null{i}"), F.count(v).alias(f"n{i}"),
                  F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
         if c in texts:
-            aggs += [F.avg(F.when(X.parse_number(v).isNotNull(), 1.0).otherwise(0.0)).alias(f"ps{i}"),
-                     F.approx_count_distinct(v, C.APPROX_RSD).alias(f"ad{i}")]
-    for i, c in enumerate(nums):
-        aggs.append(F.approx_count_distinct(ready_expr[c], C.APPROX_RSD).alias(f"adn{i}"))
+            aggs.append(F.avg(F.when(X.parse_number(v).isNotNull(), 1.0).otherwise(0.0)).alias(f"ps{i}"))
     pairs = [(a, b) for j, b in enumerate(nums) for a in nums[:j]] if len(nums) >= 2 else []
     for k, (a, b) in enumerate(pairs):
         x = X.nan_to_null(ready_expr[a].cast("double"))
@@ -125,16 +118,16 @@ def _detect(inspected: DataFrame, target: str) -> tuple[list[dict], int]:
     row = inspected.agg(*aggs).first()
     n_rows = row["_rows"]
 
-    # the remaining passes are independent jobs over the persisted input: run them side by side
+    # the remaining passes are independent jobs over the input: run them side by side
     from churnforge.plans.concurrency import parallel_map
     idx = {c: i for i, c in enumerate(cols)}
 
     def outliers_job():
-        dc_num = C.exact_small_counts(ready, {c: row[f"adn{i}"] for i, c in enumerate(nums)})
+        dc_num = C.distinct_counts(ready, nums)
         return outlier_counts(ready, [c for c in nums if dc_num[c] > K.OUTLIER_MIN_DISTINCT])
     jobs = {
         "distinct_rows": lambda: inspected.dropDuplicates().count(),
-        "dc_text": lambda: C.exact_small_counts(inspected, {c: row[f"ad{idx[c]}"] for c in texts}),
+        "dc_text": lambda: C.distinct_counts(inspected, texts),
         "outliers": outliers_job,
         "share": lambda: minority_share(inspected, target) if target in cols else None,
     }
@@ -143,22 +136,22 @@ def _detect(inspected: DataFrame, target: str) -> tuple[list[dict], int]:
 
     missing = sum(row[f"null{i}"] for i in range(len(cols)))
     if missing:
-        add("missing", n=_fmt_int(missing))
+        add("missing", [c for i, c in enumerate(cols) if row[f"null{i}"]], n=_fmt_int(missing))
     distinct_rows = got["distinct_rows"]
     if n_rows - distinct_rows:
         add("duplicates", n=_fmt_int(n_rows - distinct_rows))
     numeric_text = [c for c in texts if (row[f"ps{idx[c]}"] or 0.0) > K.NUMERIC_TEXT_SHARE]
     if numeric_text:
-        add("numeric_text", cols=", ".join(numeric_text))
+        add("numeric_text", numeric_text, cols=", ".join(numeric_text))
     const = [c for c in cols if row[f"n{idx[c]}"] == 0
              or (row[f"n{idx[c]}"] == n_rows and row[f"lo{idx[c]}"] == row[f"hi{idx[c]}"])]
     if const:
-        add("constant", cols=", ".join(const[:6]))
+        add("constant", const, cols=", ".join(const[:6]))
     dc_text = got["dc_text"]
     limit = max(K.HIGH_CARDINALITY_MIN, n_rows * K.HIGH_CARDINALITY_SHARE)
     high = [c for c in texts if dc_text[c] > limit]
     if high:
-        add("high_cardinality", cols=", ".join(high[:6]))
+        add("high_cardinality", high, cols=", ".join(high[:6]))
     strong = []
     for k, (a, b) in enumerate(pairs):
         c, vx, vy = row[f"c{k}"], row[f"vx{k}"], row[f"vy{k}"]
@@ -167,10 +160,10 @@ def _detect(inspected: DataFrame, target: str) -> tuple[list[dict], int]:
             if abs(r) >= K.CORRELATION_LIMIT:
                 strong.append(f"{a} / {b} ({_fmt2(abs(r))})")
     if strong:
-        add("correlated", pairs=", ".join(strong[:4]))
+        add("correlated", strong, pairs=", ".join(strong[:4]))
     counts = got["outliers"]
     if counts:
-        add("outliers", detail=", ".join(f"{k}: {_fmt_int(v)}" for k, v in list(counts.items())[:5]))
+        add("outliers", [f"{k}: {_fmt_int(v)}" for k, v in counts.items()], detail=", ".join(f"{k}: {_fmt_int(v)}" for k, v in list(counts.items())[:5]))
     share = got["share"]
     if share is not None and share < K.IMBALANCE_SHARE:
         add("imbalance", share=_fmt_pct1(share))
@@ -204,7 +197,7 @@ def minority_share(df: DataFrame, target: str) -> float | None:
 
 def quality_issues(df: DataFrame, target: str = "Churn") -> DataFrame:
     issues, _ = detect_quality(df, target)
-    rows = [(i["Severity"], i["Issue"], i["Explanation"], i["Business_Impact"], i["Recommended_Solution"])
+    rows = [(i["Severity"], i["Issue"], i["Explanation"], i["Business_Impact"], i["Recommended_Solution"], i["Columns"])
             for i in issues]
     return df.sparkSession.createDataFrame(rows, ISSUE_SCHEMA)
 

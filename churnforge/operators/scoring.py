@@ -14,12 +14,16 @@ from churnforge.functions import exprs as X
 
 
 def prepare_new_customers(df: DataFrame, currency: str = "USD", rate: float = K.USD_TO_SAR) -> DataFrame:
-    """Fill missing inputs with the form defaults and bring money back to USD."""
+    """Fill missing inputs with the form defaults and bring money back to USD; a missing id stays null."""
     types = {f.name: f.dataType for f in df.schema.fields}
     cols = []
     for name in K.TELCO_COLUMNS:
         default = K.NEW_CUSTOMER_DEFAULTS[name]
         present = name in df.columns
+        if name == "customerID":
+            # no default here: one shared id for all rows without one would be a single hot key
+            cols.append((X.blank_to_null(F.col(name).cast("string")) if present else F.lit(None).cast("string")).alias(name))
+            continue
         if name in K.MONEY_COLUMNS:
             c = X.to_number(F.col(name), types[name]) if present else F.lit(None).cast("double")
             c = F.coalesce(c, F.lit(float(default)))

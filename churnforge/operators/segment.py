@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,35 +69,15 @@ def pca_loadings(fit: PcaFit, top: int = 18) -> DataFrame:
 def covariance_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """Sample covariance of every pair (i ≤ j), long form (a, b, cov).
 
-    Two passes: column means (one aggregate), then each partition sums its
-    centred cross-products with NumPy (a d×d block per task) and a grouped sum
-    combines the blocks — the distributed Gram matrix, O(n·d²) work, d² output.
+    One MLlib correlation pass (a distributed Gram matrix in the JVM) and one aggregate of
+    standard deviations; a constant column has covariance 0 with all.
     """
-    import pandas as pd
-
-    d = len(cols)
-    mean_row = df.agg(*[F.avg(_q(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    mu = np.array([mean_row[f"m{i}"] for i in range(d)], dtype=float)
-    iu, ju = np.triu_indices(d)
-
-    def blocks(it):
-        acc = np.zeros((d, d))
-        n = 0
-        for pdf in it:
-            x = pdf.to_numpy(dtype=float) - mu
-            acc += x.T @ x
-            n += len(x)
-        yield pd.DataFrame({"i": iu.astype("int32"), "j": ju.astype("int32"), "s": acc[iu, ju],
-                            "n": np.full(len(iu), n, dtype="int64")})
-
-    renamed = df.select(*[_q(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
-    parts = renamed.mapInPandas(blocks, "i int, j int, s double, n bigint")
-    summed = parts.groupBy("i", "j").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    names = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(cols)], "k int, name string")
-    a = names.select(F.col("k").alias("j"), F.col("name").alias("b"))
-    b = names.select(F.col("k").alias("i"), F.col("name").alias("a"))
-    return (summed.join(F.broadcast(b), "i").join(F.broadcast(a), "j")
-            .select("a", "b", (F.col("s") / (F.col("n") - 1)).alias("cov")))
+    row = df.agg(*[F.stddev_samp(_q(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+    sd = np.array([row[f"s{i}"] or 0.0 for i in range(len(cols))])
+    vec = VectorAssembler(inputCols=cols, outputCol="_v").transform(df.select(*[_q(c).cast("double").alias(c) for c in cols]))
+    r = np.nan_to_num(Correlation.corr(vec.select("_v"), "_v").first()[0].toArray())
+    rows = [(a, b, float(r[i, j] * sd[i] * sd[j])) for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, cov double")
 
 
 # ---------------------------------------------------------------------------------------
@@ -276,13 +257,35 @@ class SegmentationFit:
     points: DataFrame        # key, PC1, PC2, Cluster
 
 
-def segment(df: DataFrame, key: str = "customerID", k: int = 3, n_init: int = 10, seed: int = 42) -> SegmentationFit:
-    """Segment features → standardise (population std) → PCA(2) → k-means(k)."""
+def plane(df: DataFrame, key: str = "customerID") -> tuple[DataFrame, dict, FE.Scaling, PcaFit]:
+    """Segment features → standardise (population std) → PCA(2): (key, PC1, PC2) and what was fitted.
+
+    Only the two points of every row are stored; the wide encoded columns are
+    made anew from the narrow input for each pass.
+    """
     feats, vocab, cols = FE.segment_features(df, key=key)
     scaling = FE.fit_scaling(feats, cols)
-    scaled = scaling.apply(feats).checkpoint(eager=True)
+    scaled = scaling.apply(feats)
     pca = fit_pca(scaled, cols)
-    pts = pca.project(scaled, keep=(key,)).checkpoint(eager=True)
+    return pca.project(scaled, keep=(key,)).checkpoint(eager=True), vocab, scaling, pca
+
+
+def segment(df: DataFrame, key: str = "customerID", k: int = 3, n_init: int = 10, seed: int = 42) -> SegmentationFit:
+    """``plane`` and k-means(k) on its points."""
+    pts, vocab, scaling, pca = plane(df, key)
     km = fit_kmeans(pts, ["PC1", "PC2"], k, n_init, seed)
     labelled = kmeans_assign(pts, km.centres, ["PC1", "PC2"])
     return SegmentationFit(vocab, scaling, pca, km, labelled)
+
+
+def segmentation_metrics(points: DataFrame, cols: tuple[str, ...] = ("PC1", "PC2"), label: str = "Cluster") -> DataFrame:
+    """One row: number of clusters and the quality indices of the k-means and the DBSCAN labels."""
+    from churnforge.operators.dbscan import dbscan
+    from churnforge.operators.stats import with_params
+    cols = list(cols)
+    out = label_guard(points, label).select("Number_of_Clusters")
+    dense = silhouette_squared(dbscan(points, key=next(c for c in points.columns if c not in (*cols, label))), cols, "DBSCAN_Cluster")
+    for one_row in (silhouette_squared(points, cols, label), davies_bouldin(points, cols, label), calinski_harabasz(points, cols, label),
+                    dense.withColumnRenamed("Silhouette_Squared_Euclidean", "DBSCAN_Silhouette_Squared_Euclidean")):
+        out = with_params(out, one_row)
+    return out

@@ -6,13 +6,14 @@
   two partial aggregates (constant-size buffers, skew-safe).
 * ``running_sum`` – distributed prefix sum: range-partition, running sums per
   slice, plus offsets of the preceding slices from a slice-sized table.
-* ``exact_quantiles`` – linear-interpolation quantiles (pandas/NumPy default)
-  from value counts and ``running_sum``; no task ever holds a whole column.
+* ``exact_quantiles`` – linear-interpolation quantiles (pandas/NumPy default) by
+  counting selection; no value is shuffled or sorted.
 * ``hash_unit`` – stable pseudo-random number in [0, 100) from a key (splits).
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -48,17 +49,6 @@ def value_counts_long(df: DataFrame, cols: list[str] | None = None, keep_null: b
     return stacked.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def numeric_counts_long(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(column, value double, n) over non-null values of numeric columns."""
-    if not cols:
-        return df.sparkSession.createDataFrame([], "column string, value double, n bigint")
-    stacked = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("value")) for c in cols
-    ])).alias("kv")).select("kv.column", "kv.value")
-    stacked = stacked.filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    return stacked.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-
-
 def group_mode(df: DataFrame, keys: list[str], col: str, alias: str | None = None,
                default: str | None = None) -> DataFrame:
     """Most frequent non-null value of ``col`` per key group; ties → smallest value."""
@@ -107,40 +97,71 @@ def running_sum(df: DataFrame, order_col: str, value_cols: list[str], group_cols
     return out
 
 
+BUCKETS = 4096
+FEW_VALUES = 5000
+
+
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
     """(column, prob, quantile) with linear interpolation over non-null values.
 
-    Equal to NumPy/pandas ``quantile`` (and SQL ``quantile_cont``). Distinct
-    values are counted with a partial aggregate, ranked with ``running_sum``,
-    and only the two neighbours of each target rank are kept.
+    Equal to NumPy/pandas ``quantile`` (and SQL ``quantile_cont``), found by counting: one pass takes
+    count, least and greatest value of every column; each further pass counts, for all
+    wanted ranks at once, the values in ``BUCKETS`` equal parts of the interval that
+    holds the rank, and goes on with the part that holds it. A part with one value is
+    done, one with at most ``FEW_VALUES`` rows is read. No value is shuffled
+    (only counts per part), no column is sorted, and the buffers do not grow with the input.
+    Infinite values count as the greatest finite number of their sign.
     """
-    counts = numeric_counts_long(df, cols)
-    ranked = running_sum(counts, "value", ["n"], group_cols=["column"])
-    ranked = ranked.withColumn("lo_rank", F.col("cum_n") - F.col("n") + 1)
-    # totals from the checkpointed ranking (no second pass over the input)
-    sizes = ranked.groupBy("column").agg(F.max("cum_n").alias("total"))
-    # one row per (column, prob): the parameter list is exploded, no join
-    targets = (sizes.select("*", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
-               .withColumn("h", (F.col("total") - 1) * F.col("prob"))
-               .withColumn("r1", F.floor("h") + 1)
-               .withColumn("r2", F.ceil("h") + 1)
-               .withColumn("frac", F.col("h") - F.floor("h")))
-    # targets has one row per (column, prob): bounded by the parameter list.
-    t = F.broadcast(targets.alias("t"))
-    r = ranked.alias("r")
-    at = r.join(t, (F.col("r.column") == F.col("t.column")) & (
-        ((F.col("t.r1") >= F.col("r.lo_rank")) & (F.col("t.r1") <= F.col("r.cum_n")))
-        | ((F.col("t.r2") >= F.col("r.lo_rank")) & (F.col("t.r2") <= F.col("r.cum_n")))))
-    picked = at.select(
-        F.col("t.column").alias("column"), F.col("t.prob").alias("prob"), F.col("t.frac").alias("frac"),
-        F.when((F.col("t.r1") >= F.col("r.lo_rank")) & (F.col("t.r1") <= F.col("r.cum_n")),
-               F.col("r.value")).alias("v1"),
-        F.when((F.col("t.r2") >= F.col("r.lo_rank")) & (F.col("t.r2") <= F.col("r.cum_n")),
-               F.col("r.value")).alias("v2"))
-    agg = picked.groupBy("column", "prob").agg(F.max("v1").alias("v1"), F.max("v2").alias("v2"),
-                                               F.first("frac").alias("frac"))
-    return agg.select("column", "prob",
-                      (F.col("v1") + (F.col("v2") - F.col("v1")) * F.col("frac")).alias("quantile"))
+    spark, schema = df.sparkSession, "column string, prob double, quantile double"
+    most = 1.7976931348623157e308
+    value = {}
+    for c in cols:
+        v = F.col(f"`{c}`").cast("double")
+        value[c] = F.when(v.isNotNull() & ~F.isnan(v), F.greatest(F.least(v, F.lit(most)), F.lit(-most)))
+    if not cols:
+        return spark.createDataFrame([], schema)
+    row = df.agg(*[f(value[c]).alias(f"{n}{i}") for i, c in enumerate(cols) for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    at = {}  # (column, rank) -> value
+    open_ranks = {}  # (column, lo, hi, values below) -> ranks inside
+    wanted = []
+    for i, c in enumerate(cols):
+        n, lo, hi = row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]
+        for p in probs if n else []:
+            h = (n - 1) * p
+            r1, r2 = math.floor(h), math.ceil(h)
+            wanted.append((c, float(p), r1, r2, h - r1))
+            if lo == hi:
+                at[c, r1] = at[c, r2] = lo
+            else:
+                open_ranks.setdefault((c, lo, hi, 0, n), set()).update((r1, r2))
+    while open_ranks:
+        spans = list(open_ranks)
+        few = [j for j, x in enumerate(spans) if x[4] <= FEW_VALUES]
+        parts = []
+        for j, (c, lo, hi, _, _) in enumerate(spans):
+            v = value[c]
+            # halves, as the width of the widest interval overflows; the part never falls as v grows
+            part = F.least(F.floor((v / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2) * BUCKETS).cast("double"), F.lit(BUCKETS - 1.0))
+            parts.append(F.when(v.between(lo, hi), F.struct(
+                F.lit(j).alias("span"), (v if j in few else part).alias("part"), v.alias("v"))))
+        inside = df.select(F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())).alias("x")).select("x.*")
+        counts = inside.groupBy("span", "part").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+        by_span: dict[int, list] = {}
+        for r in counts:
+            by_span.setdefault(r["span"], []).append(r)
+        following = {}
+        for j, span in enumerate(spans):
+            below, todo = span[3], sorted(open_ranks[span])
+            for r in sorted(by_span.get(j, []), key=lambda r: r["part"]):
+                own = [k for k in todo if below <= k < below + r["n"]]
+                if own and r["lo"] == r["hi"]:
+                    at.update({(span[0], k): r["lo"] for k in own})
+                elif own:
+                    following[span[0], r["lo"], r["hi"], below, r["n"]] = set(own)
+                below += r["n"]
+        open_ranks = following
+    out = [(c, p, at[c, r1] + (at[c, r2] - at[c, r1]) * part) for c, p, r1, r2, part in wanted]
+    return spark.createDataFrame(out, schema)
 
 
 def quantile_map(df: DataFrame, cols: list[str], probs: list[float]) -> dict[tuple[str, float], float]:

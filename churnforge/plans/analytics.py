@@ -2,9 +2,9 @@
 every customer → segment → business tables and KPIs.
 
 Every stage is a Spark job. Predictions and cluster ids are attached to the
-normalised table by the customer key (never by row position): the three
-inputs are derived from the same table, so the joins are key-aligned and AQE
-plans them (sort-merge, skew splitting) by measured size.
+normalised table by a row number that is stored with it: the three inputs are
+derived from the same table, so the joins are one to one and AQE plans them by
+measured size.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from churnforge.functions import constants as K
 from churnforge.operators import business as B
 from churnforge.operators import clean as C
+from churnforge.operators import evaluate as E
 from churnforge.operators import models as M
 from churnforge.operators import profiles as P
 from churnforge.operators import scoring as S
@@ -24,11 +25,20 @@ from churnforge.operators import segment as SG
 from churnforge.operators import features as FE
 
 
+ROW = "_row"
+
+
 @dataclass
 class AnalyticsResult:
     analysis: DataFrame          # scored table: all columns + prediction, cluster, name, tier, priority, offer
     model_metrics: DataFrame
+    confusion: DataFrame         # production model, test part
+    curves: DataFrame            # ROC and precision-recall points of every model, test part
+    importance: DataFrame
+    learning_curve: DataFrame
     profile: DataFrame           # k rows with names
+    segmentation_metrics: DataFrame
+    loadings: DataFrame
     cluster_summary: DataFrame
     risk_summary: DataFrame
     business_metrics: DataFrame
@@ -38,26 +48,37 @@ class AnalyticsResult:
     segmentation: SG.SegmentationFit
 
 
-def run_full_analytics(raw: DataFrame, key: str = "customerID", all_models: bool = True, k: int = 3,
-                       n_init: int = 10) -> AnalyticsResult:
+def run_full_analytics(raw: DataFrame, key: str = "customerID", k: int = 3, n_init: int = 10) -> AnalyticsResult:
+    """All five models, ``n_init`` k-means starts, every row: rows with a shared or missing key are analysed like all others.
+
+    Rows are numbered on the checkpointed input (the number is stored with them, so it cannot
+    change), and predictions and clusters come back by that number.
+    """
     C.require_columns(raw, ["Churn", "MonthlyCharges", "TotalCharges", "tenure", key])
-    model_df = C.fill_total_zero(C.normalize_money(C.blank_to_null(raw))).dropDuplicates([key])
-    model_df = model_df.checkpoint(eager=True)
-    data = M.prepare_training(model_df, key)
-    specs = M.model_specs(data.n_train)
-    if not all_models:
-        specs = specs[:1]
-    cmp = M.compare_models(data, specs)
-    lr = cmp.models["Logistic Regression"]
-    preds = M.predict(lr, data.all_rows, keep=(key,))
-    seg = SG.segment(model_df, key, k, n_init)
-    an = B.analysis_frame(model_df)
-    an = (an.join(preds, key).join(seg.points.select(key, "Cluster"), key)).checkpoint(eager=True)
+    clean = C.fill_total_zero(C.normalize_money(C.blank_to_null(raw)))
+    model_df = FE.split_80_20(clean, key).withColumn(ROW, F.monotonically_increasing_id()).checkpoint(eager=True)
+    data = M.prepare_training(model_df, ROW)
+    cmp = M.compare_models(data, M.model_specs(data.n_train))
+    name = "Logistic Regression"
+    if name not in cmp.models:
+        raise RuntimeError(f"the production model could not be fitted: {cmp.errors.get(name)}")
+    lr = cmp.models[name]
+    preds = M.predict(lr, data.all_rows, keep=(ROW,))
+    seg = SG.segment(model_df.drop("is_test"), ROW, k, n_init)
+    an = B.analysis_frame(model_df.drop("is_test"))
+    an = an.join(preds, ROW).join(seg.points.select(ROW, "Cluster"), ROW).drop(ROW).checkpoint(eager=True)
     profile = P.cluster_names(P.cluster_profile(an))
     scored = B.scored_table(an, profile)
-    kpi = B.business_metrics(scored, models=cmp.metrics)
-    return AnalyticsResult(scored, cmp.metrics, profile, B.cluster_summary(scored), B.risk_summary(scored, key),
-                           kpi, B.insights(scored), data, lr, seg)
+    return AnalyticsResult(
+        analysis=scored, model_metrics=cmp.metrics,
+        confusion=E.confusion(cmp.test_predictions.filter(F.col("Model") == name)),
+        curves=M.curves(cmp.test_predictions),
+        importance=M.feature_importance(lr, data.feature_columns, len(data.feature_columns)),
+        learning_curve=M.learning_curve(data, key=ROW), profile=profile,
+        segmentation_metrics=SG.segmentation_metrics(seg.points), loadings=SG.pca_loadings(seg.pca, len(seg.pca.cols)),
+        cluster_summary=B.cluster_summary(scored), risk_summary=B.risk_summary(scored, key),
+        business_metrics=B.business_metrics(scored, models=cmp.metrics), insights=B.insights(scored),
+        training=data, production_model=lr, segmentation=seg)
 
 
 def score_new_customers(new: DataFrame, data: M.TrainingData, model, currency: str = "USD",

@@ -266,7 +266,7 @@ ORACLE["risk_factors"] = SUBSCRIBERS_CTES + """
 
 
 ORACLE["sink_csv"] = AN_CTES + "SELECT customerID, Cluster, Cluster_Name FROM an"
-ORACLE["report_tables"] = ORACLE["risk_summary"]
+ORACLE["report_risk_table"] = ORACLE["risk_summary"]
 
 
 def _fmt_kpi(label: str, expr: str, kind: str) -> str:

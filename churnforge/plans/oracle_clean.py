@@ -21,13 +21,13 @@ def rnd(cols: list[str]) -> str:
     return "* REPLACE (" + ", ".join(f"round({c}, 6) AS {c}" for c in cols) + ")"
 
 
-def q_list(items: list[str], limit: int | None = None) -> str:
+def q_list(items: list[str], limit: int | None = None, between: str = ", ") -> str:
     """', '-joined names of the items whose condition holds, in order (optionally first n)."""
     arr = "[" + ", ".join(items) + "]"
     lst = f"list_filter({arr}, lambda x: x IS NOT NULL)"
     if limit:
         lst = f"list_slice({lst}, 1, {limit})"
-    return f"array_to_string({lst}, ', ')"
+    return f"array_to_string({lst}, '{between}')" if items else "''"
 
 
 def detector_sql(src: str, cols: list[tuple[str, str]], money: list[str], target: str | None, tag: str = "") -> str:
@@ -68,46 +68,52 @@ def detector_sql(src: str, cols: list[tuple[str, str]], money: list[str], target
         ctes.append(f"tb{tag} AS (SELECT count(*) AS k, min(n) * 1.0e0 / sum(n) AS share FROM tg{tag})")
     missing = " + ".join(f"null{i}" for i in range(len(cols)))
     texts_nt = q_list([f"CASE WHEN ps{idx[c]} > 0.75 THEN '{c}' END" for c in texts])
-    consts = q_list([f"CASE WHEN const{i} THEN '{c}' END" for i, (c, _) in enumerate(cols)], 6)
-    high = q_list([f"CASE WHEN nd{idx[c]} > greatest(50, n_rows * 0.45) THEN '{c}' END" for c in texts], 6)
-    corr = q_list([f"CASE WHEN abs(r{k}) >= 0.8 THEN concat('{a} / {b} (', printf('%.2f', floor(abs(r{k}) * 100 + 0.5) / 100), ')') END"
-                   for k, (a, b) in enumerate(pairs)], 4)
-    outl = q_list([f"CASE WHEN o{j} > 0 THEN concat('{c}: ', format('{{:,}}', o{j})) END" for j, c in enumerate(nums)], 5)
+    all_missing = q_list([f"CASE WHEN null{i} > 0 THEN '{c}' END" for i, (c, _) in enumerate(cols)], None, "; ")
+    all_nt = texts_nt.replace("', ')", "'; ')")
+    const_items = [f"CASE WHEN const{i} THEN '{c}' END" for i, (c, _) in enumerate(cols)]
+    consts, all_consts = q_list(const_items, 6), q_list(const_items, None, "; ")
+    high_items = [f"CASE WHEN nd{idx[c]} > greatest(50, n_rows * 0.45) THEN '{c}' END" for c in texts]
+    high, all_high = q_list(high_items, 6), q_list(high_items, None, "; ")
+    corr_items = [f"CASE WHEN abs(r{k}) >= 0.8 THEN concat('{a} / {b} (', printf('%.2f', floor(abs(r{k}) * 100 + 0.5) / 100), ')') END"
+                  for k, (a, b) in enumerate(pairs)]
+    corr, all_corr = q_list(corr_items, 4), q_list(corr_items, None, "; ")
+    outl_items = [f"CASE WHEN o{j} > 0 THEN concat('{c}: ', format('{{:,}}', o{j})) END" for j, c in enumerate(nums)]
+    outl, all_outl = q_list(outl_items, 5), q_list(outl_items, None, "; ")
     rows = [
         f"SELECT 1 AS o, 'High' AS Severity, 'Missing values detected' AS Issue, concat(format('{{:,}}', {missing}), "
         f"' blank or null values were found across the dataset.') AS Explanation, "
         f"'Missing values can bias churn estimates and understate revenue exposure.' AS Business_Impact, "
         f"'Fill numerical gaps with an analytically defensible value and categorical gaps with the dominant class.' "
-        f"AS Recommended_Solution FROM st{tag} WHERE {missing} > 0",
+        f"AS Recommended_Solution, {all_missing} AS Columns FROM st{tag} WHERE {missing} > 0",
         "SELECT 2, 'Medium', 'Duplicate customer rows', concat(format('{:,}', n_rows - n_distinct), ' duplicate records were detected.'), "
         "'Duplicate records can inflate customer counts, churn rates, and revenue-at-risk totals.', "
-        f"'Remove exact duplicate records before modeling and reporting.' FROM st{tag} CROSS JOIN dr{tag} WHERE n_rows - n_distinct > 0",
+        f"'Remove exact duplicate records before modeling and reporting.', '' FROM st{tag} CROSS JOIN dr{tag} WHERE n_rows - n_distinct > 0",
         f"SELECT 3, 'High', 'Numeric fields stored as text', concat({texts_nt}, ' appear numeric but are stored as categorical text.'), "
         "'Incorrect types can break statistical summaries, model scaling, and financial calculations.', "
-        f"'Convert numeric-like fields to numeric values before analysis.' FROM st{tag} WHERE {texts_nt} <> ''",
+        f"'Convert numeric-like fields to numeric values before analysis.', {all_nt} FROM st{tag} WHERE {texts_nt} <> ''",
         f"SELECT 4, 'Low', 'Constant columns', concat({consts}, ' contain only one value.'), "
         "'Constant columns add noise without improving churn prediction or segmentation.', "
-        f"'Remove constant fields from modeling datasets.' FROM st{tag} WHERE {consts} <> ''",
+        f"'Remove constant fields from modeling datasets.', {all_consts} FROM st{tag} WHERE {consts} <> ''",
         f"SELECT 5, 'Medium', 'High-cardinality categorical fields', concat({high}, ' contain many unique values.'), "
         "'Identifier-like fields can mislead models and make dashboard filters noisy.', "
-        f"'Keep these fields for lookup/search, but exclude them from model training.' FROM st{tag} WHERE {high} <> ''",
+        f"'Keep these fields for lookup/search, but exclude them from model training.', {all_high} FROM st{tag} WHERE {high} <> ''",
     ]
     if pairs:
         rows.append(
             f"SELECT 6, 'Medium', 'Highly correlated features', concat('Strong relationships found: ', {corr}, '.'), "
             "'Strong collinearity can overstate driver importance and destabilize simple models.', "
-            f"'Monitor these features together and use regularized or tree-based models for comparison.' FROM st{tag} WHERE {corr} <> ''")
+            f"'Monitor these features together and use regularized or tree-based models for comparison.', {all_corr} FROM st{tag} WHERE {corr} <> ''")
     if nums:
         rows.append(
             f"SELECT 7, 'Medium', 'Outliers detected', {outl}, "
             "'Extreme values can distort averages, revenue projections, and scaled ML features.', "
-            f"'Clip or review outliers using an IQR-based rule before scaling.' FROM oc{tag} WHERE {outl} <> ''")
+            f"'Clip or review outliers using an IQR-based rule before scaling.', {all_outl} FROM oc{tag} WHERE {outl} <> ''")
     if target:
         rows.append(
             "SELECT 8, 'High', 'Imbalanced target classes', concat('The minority churn class represents ', "
             "printf('%.1f', floor(share * 100 * 10 + 0.5) / 10), '% of labeled records.'), "
             "'Models can appear accurate while missing many churn customers.', "
-            f"'Use class weighting and recall/F1 metrics when selecting churn models.' FROM tb{tag} WHERE k = 2 AND share < 0.35")
+            f"'Use class weighting and recall/F1 metrics when selecting churn models.', '' FROM tb{tag} WHERE k = 2 AND share < 0.35")
     ctes.append(f"issues{tag} AS (" + " UNION ALL ".join(rows) + ")")
     return ", " + ",\n".join(ctes) + "\n"
 
@@ -121,8 +127,10 @@ SUB_KINDS = [("customerID", "text"), ("gender", "text"), ("SeniorCitizen", "int"
              ("DeviceProtection", "text"), ("TechSupport", "text"), ("StreamingTV", "text"),
              ("StreamingMovies", "text"), ("Contract", "text"), ("PaperlessBilling", "text"),
              ("PaymentMethod", "text"), ("MonthlyCharges", "double"), ("TotalCharges", "text"), ("Churn", "text")]
+ORDERS_KINDS = [("o_orderkey", "int"), ("o_custkey", "int"), ("o_orderstatus", "text"), ("o_totalprice", "double"),
+                ("o_orderdate", "other"), ("o_orderpriority", "text")]
 MONEY = ["MonthlyCharges", "TotalCharges"]
-ISSUE_COLS = "Severity, Issue, Explanation, Business_Impact, Recommended_Solution"
+ISSUE_COLS = "Severity, Issue, Explanation, Business_Impact, Recommended_Solution, Columns"
 PENALTY = "CASE Severity WHEN 'Critical' THEN 18 WHEN 'High' THEN 11 WHEN 'Medium' THEN 7 WHEN 'Low' THEN 3 ELSE 5 END"
 
 SUB_BL_CTES = SUBSCRIBERS_CTES + ", sbl AS (SELECT * REPLACE (" + ", ".join(
@@ -195,9 +203,8 @@ ORACLE = {
     "scan_csv": RAW_CTES + f"SELECT {rnd(['MonthlyCharges'])} FROM raw",
     "na_tokens": RAW_CTES + f"SELECT {rnd(['MonthlyCharges'])} FROM raw",
     "quality_issues_orders": "WITH od AS (SELECT * FROM orders) " + detector_sql(
-        "od", [("o_orderkey", "int"), ("o_custkey", "int"), ("o_orderstatus", "text"), ("o_totalprice", "double"),
-               ("o_orderdate", "other"), ("o_orderpriority", "text")], [], None) + f"SELECT {ISSUE_COLS} FROM issues",
-    "dedup_exact_lineitem": "SELECT DISTINCT l_orderkey, l_returnflag, l_linestatus FROM lineitem",
+        "od", ORDERS_KINDS, [], None) + f"SELECT {ISSUE_COLS} FROM issues",
+    "dedup_exact_lineitem": "SELECT DISTINCT * FROM lineitem",
     "cleaning_summary": CLEAN_CTES
         + detector_sql("bl", RAW_KINDS, MONEY, "Churn", "_b")
         + detector_sql("cl", [(c, k) for c, k in CLEAN_KINDS], [], "Churn", "_a")

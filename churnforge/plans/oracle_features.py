@@ -115,7 +115,10 @@ ORACLE = {
     "encoded_feature_count": CLEAN_CTES + """SELECT CAST(4 + count(DISTINCT gender) + count(DISTINCT Partner)
         + count(DISTINCT Contract) AS INT) AS Encoded_ML_Features FROM cl""",
     "align_features": SUBSCRIBERS_CTES + f"SELECT {churn_feature_sql(('Dependents', 'MultipleLines'))} FROM f",
-    "prepare_new_customers": SUBSCRIBERS_CTES + ", nc AS (SELECT * REPLACE (1 AS tenure, 'Month-to-month' AS Contract, "
-        "'Electronic check' AS PaymentMethod, 'No' AS Churn) FROM f)\n"
+    "prepare_new_customers": SUBSCRIBERS_CTES + ", nc AS (SELECT * REPLACE ("
+        "CASE WHEN right(customerID, 1) IN ('0', '1', '2') THEN 1 ELSE tenure END AS tenure, "
+        "CASE WHEN right(customerID, 1) IN ('2', '3', '4') THEN 'Month-to-month' ELSE Contract END AS Contract, "
+        "CASE WHEN right(customerID, 1) IN ('4', '5', '6') THEN 'Electronic check' ELSE PaymentMethod END AS PaymentMethod, "
+        "'No' AS Churn) FROM f)\n"
         + f"SELECT {churn_feature_sql()} FROM nc",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from churnforge.plans.oracle_base import RAW_CTES, SUBSCRIBERS_CTES
 from churnforge.plans.oracle_business import TARGET_SQL, parse_sql
-from churnforge.plans.oracle_clean import RAW_KINDS, blank
+from churnforge.plans.oracle_clean import LINEITEM_KINDS, ORDERS_KINDS, RAW_KINDS, blank
 
 CUSTOMER_KINDS = [("c_custkey", "int"), ("c_name", "text"), ("c_nationkey", "int"), ("c_acctbal", "double"),
                   ("c_mktsegment", "text")]
@@ -44,16 +44,16 @@ def describe_sql(prefix: str, src: str, kinds) -> str:
             v = f"CASE WHEN isnan(CAST({c} AS DOUBLE)) THEN NULL ELSE CAST({c} AS DOUBLE) END"
             parts.append(
                 f"SELECT '{c}' AS \"column\", count({v}) AS count, CAST(NULL AS BIGINT) AS \"unique\", CAST(NULL AS VARCHAR) AS top, "
-                f"CAST(NULL AS BIGINT) AS freq, round(avg({v}), 6) AS mean, round(stddev_samp({v}), 6) AS std, "
+                f"CAST(NULL AS BIGINT) AS freq, CAST(NULL AS VARCHAR) AS \"least\", CAST(NULL AS VARCHAR) AS \"greatest\", round(avg({v}), 6) AS mean, round(stddev_samp({v}), 6) AS std, "
                 f"round(min({v}), 6) AS min, round(quantile_cont({v}, 0.25), 6) AS q1, round(quantile_cont({v}, 0.5), 6) AS median, "
                 f"round(quantile_cont({v}, 0.75), 6) AS q3, round(max({v}), 6) AS max FROM {src}")
-        elif k == "text":
+        else:
+            t = c if k == "text" else f"CAST({c} AS VARCHAR)"
+            commonest = f"FROM {src} WHERE {c} IS NOT NULL GROUP BY {t} ORDER BY count(*) DESC, {t} LIMIT 1"
+            numbers = ", ".join(f"CAST(NULL AS DOUBLE) AS {n}" for n in ("mean", "std", "min", "q1", "median", "q3", "max"))
             parts.append(
-                f"SELECT '{c}' AS \"column\", count({c}) AS count, count(DISTINCT {c}) AS \"unique\", "
-                f"(SELECT {c} FROM {src} WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS top, "
-                f"(SELECT count(*) FROM {src} WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS freq, "
-                f"CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS std, CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS q1, "
-                f"CAST(NULL AS DOUBLE) AS median, CAST(NULL AS DOUBLE) AS q3, CAST(NULL AS DOUBLE) AS max FROM {src}")
+                f"SELECT '{c}' AS \"column\", count({c}) AS count, count(DISTINCT {c}) AS \"unique\", (SELECT {t} {commonest}) AS top, "
+                f"(SELECT count(*) {commonest}) AS freq, min({t}) AS \"least\", max({t}) AS \"greatest\", {numbers} FROM {src}")
     return prefix + " UNION ALL ".join(parts)
 
 
@@ -119,6 +119,10 @@ ORACLE = {
     "preview": SUBSCRIBERS_CTES + "SELECT * REPLACE (round(MonthlyCharges, 6) AS MonthlyCharges) FROM f ORDER BY customerID LIMIT 100",
     "describe_all": describe_sql(CUST, "cu", CUSTOMER_KINDS),
     "describe_all_subscribers": describe_sql(RAW_CTES, "raw", RAW_KINDS),
+    "describe_all_orders": describe_sql("WITH od AS (SELECT * FROM orders) ", "od", ORDERS_KINDS),
+    "describe_all_lineitem": describe_sql("WITH li AS (SELECT * FROM lineitem) ", "li", LINEITEM_KINDS),
+    "missing_patterns": RAW_CTES + "SELECT " + ", ".join(f"CAST(({_miss(c, k)}) AS INT) AS {c}" for c, k in RAW_KINDS)
+        + ", count(*) AS Rows FROM raw GROUP BY ALL",
     "missing_by_column": missing_sql(RAW_CTES, "raw", RAW_KINDS),
     "missing_by_column_events": missing_sql("WITH ev AS (SELECT * FROM events) ", "ev", EVENTS_KINDS),
     "corr_matrix": corr_sql(SUBSCRIBERS_CTES, "f", SUB_CORR),
@@ -126,7 +130,7 @@ ORACLE = {
     "histograms": hist_sql(RAW_CTES, "raw", ["SeniorCitizen", "tenure", "MonthlyCharges"], 30),
     "histograms_orders": hist_sql("WITH od AS (SELECT * FROM orders) ", "od", ORDERS_NUM, 30),
     "box_stats": box_sql(RAW_CTES, "raw", ["SeniorCitizen", "tenure", "MonthlyCharges"]),
-    "box_stats_lineitem": box_sql("WITH li AS (SELECT * FROM lineitem) ", "li", LINEITEM_NUM[:6]),
+    "box_stats_lineitem": box_sql("WITH li AS (SELECT * FROM lineitem) ", "li", LINEITEM_NUM),
     "class_distribution": SUBSCRIBERS_CTES + "SELECT Churn, count(*) AS Customers FROM f GROUP BY Churn",
     "churn_rate_by_category": SUBSCRIBERS_CTES + f"""
         SELECT 'Contract' AS Feature, Contract AS Value, round(avg({TARGET_SQL}), 6) AS Churn_Rate, count(*) AS Customers FROM f GROUP BY Contract

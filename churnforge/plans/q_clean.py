@@ -87,9 +87,15 @@ def q_drop_columns(spark, sf):
     return C.drop_columns(fixtures.subscribers(spark, sf), ["customerID", "PaperlessBilling", "PaymentMethod"])
 
 
+def _issues(df, target="Churn"):
+    """The issue table with its column lists as text."""
+    from pyspark.sql import functions as F
+    return Q.quality_issues(df, target).withColumn("Columns", F.array_join("Columns", "; "))
+
+
 @query("quality_issues")
 def q_quality_issues(spark, sf):
-    return Q.quality_issues(_raw(spark, sf))
+    return _issues(_raw(spark, sf))
 
 
 @query("quality_score")
@@ -100,20 +106,20 @@ def q_quality_score(spark, sf):
 @query("quality_issues_clean_table")
 def q_quality_issues_clean(spark, sf):
     """The detector on the clean subscriber table (no missing/duplicate rows)."""
-    return Q.quality_issues(fixtures.subscribers(spark, sf))
+    return _issues(fixtures.subscribers(spark, sf))
 
 
 @query("quality_issues_orders")
 def q_quality_issues_orders(spark, sf):
     """The detector on a generic table (orders: ids, text, money, a timestamp; no target)."""
     from churnforge.sources.tables import read_table
-    return Q.quality_issues(read_table(spark, sf, "orders"), target="Churn")
+    return _issues(read_table(spark, sf, "orders"), target="Churn")
 
 
 @query("dedup_exact_lineitem")
 def q_dedup_lineitem(spark, sf):
     from churnforge.sources.tables import read_table
-    return C.dedup_exact(read_table(spark, sf, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus"))
+    return C.dedup_exact(read_table(spark, sf, "lineitem"))
 
 
 # one key per detector rule (each returns that rule's issue row, if raised)
@@ -132,7 +138,7 @@ _RULES = {
 def _rule_query(title):
     def run(spark, sf):
         from pyspark.sql import functions as F
-        return Q.quality_issues(_raw(spark, sf)).filter(F.col("Issue") == title)
+        return _issues(_raw(spark, sf)).filter(F.col("Issue") == title)
     return run
 
 
@@ -144,4 +150,4 @@ for _key, _title in _RULES.items():
 def q_quality_issues_lineitem(spark, sf):
     """The detector on lineitem (correlated money/quantity columns, flags, a timestamp)."""
     from churnforge.sources.tables import read_table
-    return Q.quality_issues(read_table(spark, sf, "lineitem"), target="Churn")
+    return _issues(read_table(spark, sf, "lineitem"), target="Churn")

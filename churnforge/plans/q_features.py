@@ -122,9 +122,12 @@ def q_align_features(spark, sf):
 
 @query("prepare_new_customers")
 def q_prepare_new_customers(spark, sf):
-    """New-customer rows with gaps (no tenure/contract/payment given) filled with the form defaults."""
+    """New-customer rows with gaps (some without tenure, contract or payment) filled with the form defaults."""
     subs = _subs(spark, sf)
     _, enc = FE.churn_features(subs)
-    newc = S.prepare_new_customers(subs.drop("tenure", "Contract", "PaymentMethod", "Churn"))
+    last = F.substring("customerID", -1, 1)
+    gaps = {"tenure": "012", "Contract": "234", "PaymentMethod": "456"}
+    given = subs.drop("Churn").withColumns({c: F.when(~last.isin(*at), F.col(c)) for c, at in gaps.items()})
+    newc = S.prepare_new_customers(given)
     out, _ = FE.churn_features(newc, enc)
     return out

@@ -69,8 +69,7 @@ def q_model_comparison(spark, sf):
 @query("best_model")
 def q_best_model(spark, sf):
     data = _data(spark, sf)
-    specs = [s for s in M.model_specs(data.n_train) if s.name in ("Logistic Regression", "Decision Tree")]
-    return M.best_model(M.compare_models(data, specs).metrics)
+    return M.best_model(M.compare_models(data, M.model_specs(data.n_train)).metrics)
 
 
 @query("predict_all")
@@ -141,8 +140,7 @@ def q_actual_vs_predicted(spark, sf):
 def q_report_model_rows(spark, sf):
     from churnforge.operators import business as B
     data = _data(spark, sf)
-    specs = [s for s in M.model_specs(data.n_train) if s.name in ("Logistic Regression", "Decision Tree")]
-    return B.report_model_rows(M.compare_models(data, specs).metrics)
+    return B.report_model_rows(M.compare_models(data, M.model_specs(data.n_train)).metrics)
 
 
 @query("importance_top15")
@@ -152,6 +150,14 @@ def q_importance_top15(spark, sf):
     return M.feature_importance(model, data.feature_columns, 15)
 
 
+@query("model_curves")
+def q_model_curves(spark, sf):
+    """ROC and precision-recall points of every fitted model on the test part."""
+    data = _data(spark, sf)
+    preds = M.compare_models(data, M.model_specs(data.n_train)).test_predictions
+    return M.curves(preds)
+
+
 @query("learning_curve_table")
 def q_learning_curve_table(spark, sf):
     return M.learning_curve(_data(spark, sf)).select("Training_Size", "Training_F1", "Validation_F1")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from churnforge.operators import business as B
 from churnforge.operators import models as M
+from churnforge.operators.stats import union_all
 from churnforge.plans.analytics import run_full_analytics, score_new_customers
 from churnforge.plans.catalog import query
 from churnforge.session import scratch_path
@@ -37,15 +38,24 @@ def q_sink_csv(spark, sf):
 
 @query("report_tables")
 def q_report_tables(spark, sf):
-    """Seven report tables written as one directory each; returns the risk table read back."""
+    """Seven report tables written as one directory each and read back: name, rows and fingerprint of every table."""
     from churnforge.plans.frames import analysis, profile
     an = analysis(spark, sf)
-    kpi = B.business_metrics(an)
-    tables = {"Executive Metrics": B.format_kpis(kpi), "Predictions": B.predictions_extract(an),
-              "Clusters": profile(spark, sf), "Risk Summary": B.risk_summary(an),
-              "Executive Insights": B.insights(an), "Clean Dataset": fixtures.subscribers(spark, sf),
-              "Cluster Summary": B.cluster_summary(an)}
+    data = M.prepare_training(fixtures.subscribers(spark, sf))
+    models = M.compare_models(data, M.model_specs(data.n_train)).metrics
+    tables = {"Executive Metrics": B.format_kpis(B.business_metrics(an)), "Model Comparison": models,
+              "Predictions": B.predictions_extract(an), "Clusters": profile(spark, sf), "Risk Summary": B.risk_summary(an),
+              "Executive Insights": B.insights(an), "Clean Dataset": fixtures.subscribers(spark, sf)}
     paths = IO.report_tables(tables, scratch_path(spark, "report"))
+    parts = [IO.dataset_fingerprint(spark.read.parquet(p)).select(F.lit(n).alias("Table"), "rows", "fingerprint") for n, p in paths.items()]
+    return union_all(parts)
+
+
+@query("report_risk_table")
+def q_report_risk_table(spark, sf):
+    """The risk table as written for the report and read back."""
+    from churnforge.plans.frames import analysis
+    paths = IO.report_tables({"Risk Summary": B.risk_summary(analysis(spark, sf))}, scratch_path(spark, "report"))
     return spark.read.parquet(paths["Risk Summary"])
 
 
@@ -60,18 +70,20 @@ def q_score_new(spark, sf):
     subs = fixtures.subscribers(spark, sf)
     data = M.prepare_training(subs)
     model, _ = M.fit_model(data, M.model_specs(data.n_train)[0])
-    new = subs.drop("Churn", "TotalCharges")
+    new = subs.drop("Churn")
     return score_new_customers(new, data, model).withColumn("Top_Factors", F.array_join("Top_Factors", "; "))
 
 
+def _full(spark, sf):
+    return run_full_analytics(fixtures.subscribers(spark, sf))
+
+
 @query("full_analytics_risk_summary")
 def q_full_risk(spark, sf):
-    """Risk tiers from the trained production model and k-means segments (LR only for speed of the check)."""
-    res = run_full_analytics(fixtures.subscribers(spark, sf), all_models=False, n_init=3)
-    return res.risk_summary
+    """Risk tiers from the trained production model and k-means segments."""
+    return _full(spark, sf).risk_summary
 
 
 @query("full_analytics_cluster_summary")
 def q_full_clusters(spark, sf):
-    res = run_full_analytics(fixtures.subscribers(spark, sf), all_models=False, n_init=3)
-    return res.cluster_summary
+    return _full(spark, sf).cluster_summary

@@ -23,11 +23,6 @@ def q_preview(spark, sf):
     return P.preview(fixtures.subscribers(spark, sf), 100, "customerID")
 
 
-@query("schema_table")
-def q_schema_table(spark, sf):
-    return P.schema_table(fixtures.subscribers(spark, sf))
-
-
 @query("describe_all")
 def q_describe_all(spark, sf):
     return P.describe_all(read_table(spark, sf, "customer"))
@@ -58,9 +53,19 @@ def q_corr_matrix_lineitem(spark, sf):
     return P.corr_matrix(read_table(spark, sf, "lineitem"))
 
 
-@query("missing_map_sample")
-def q_missing_map_sample(spark, sf):
-    return P.missing_map_sample(fixtures.subscribers_raw(spark, sf), 500, "customerID")
+@query("describe_all_orders")
+def q_describe_all_orders(spark, sf):
+    return P.describe_all(read_table(spark, sf, "orders"))
+
+
+@query("describe_all_lineitem")
+def q_describe_all_lineitem(spark, sf):
+    return P.describe_all(read_table(spark, sf, "lineitem"))
+
+
+@query("missing_patterns")
+def q_missing_patterns(spark, sf):
+    return P.missing_patterns(fixtures.subscribers_raw(spark, sf))
 
 
 @query("histograms")

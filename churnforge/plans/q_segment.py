@@ -9,7 +9,6 @@ from churnforge.operators import business as B
 from churnforge.operators import dbscan as DB
 from churnforge.operators import features as FE
 from churnforge.operators import segment as SG
-from churnforge.operators.stats import with_params
 from churnforge.plans.catalog import query
 from churnforge.sources import fixtures
 
@@ -20,6 +19,10 @@ def _fit(spark, sf, n_init=10):
     return SG.segment(fixtures.subscribers(spark, sf), n_init=n_init)
 
 
+def _points(spark, sf):
+    return SG.plane(fixtures.subscribers(spark, sf))[0]
+
+
 def _scored_points(spark, sf):
     """Fixed-cluster fixture: (tenure, MonthlyCharges) points labelled by the fixture's Cluster."""
     an = B.analysis_frame(fixtures.scored(spark, sf))
@@ -64,7 +67,7 @@ def q_kmeans_assign(spark, sf):
 
 @query("elbow")
 def q_elbow(spark, sf):
-    return SG.elbow(_fit(spark, sf, n_init=1).points, PTS)
+    return SG.elbow(_points(spark, sf), PTS)
 
 
 @query("elbow_k1")
@@ -104,12 +107,12 @@ def q_cluster_count(spark, sf):
 
 @query("dbscan")
 def q_dbscan(spark, sf):
-    return DB.dbscan(_fit(spark, sf, n_init=1).points)
+    return DB.dbscan(_points(spark, sf))
 
 
 @query("dbscan_silhouette")
 def q_dbscan_silhouette(spark, sf):
-    return SG.silhouette_squared(DB.dbscan(_fit(spark, sf, n_init=1).points), PTS, "DBSCAN_Cluster")
+    return SG.silhouette_squared(DB.dbscan(_points(spark, sf)), PTS, "DBSCAN_Cluster")
 
 
 @query("pca_points")
@@ -119,16 +122,7 @@ def q_pca_points(spark, sf):
 
 @query("segmentation_metrics")
 def q_segmentation_metrics(spark, sf):
-    fit = _fit(spark, sf)
-    pts = fit.points
-    db_pts = DB.dbscan(pts)
-    out = SG.label_guard(pts, "Cluster").select("Number_of_Clusters")
-    for one_row in (SG.silhouette_squared(pts, PTS, "Cluster"), SG.davies_bouldin(pts, PTS, "Cluster"),
-                    SG.calinski_harabasz(pts, PTS, "Cluster"),
-                    SG.silhouette_squared(db_pts, PTS, "DBSCAN_Cluster")
-                    .withColumnRenamed("Silhouette_Squared_Euclidean", "DBSCAN_Silhouette_Squared_Euclidean")):
-        out = with_params(out, one_row)
-    return out
+    return SG.segmentation_metrics(_fit(spark, sf).points)
 
 
 @query("loading_top15")

@@ -30,7 +30,7 @@ def na_tokens(df: DataFrame, tokens: list[str] = NA_TOKENS) -> DataFrame:
 
 
 def infer_types(df: DataFrame) -> DataFrame:
-    """Text columns whose every non-null value is an integer → int/bigint, a number → double.
+    """Text columns whose every non-null value is an integer → int/bigint/decimal(38,0), a number → double.
 
     One aggregate decides all columns; a column with no values stays text.
     """
@@ -43,18 +43,22 @@ def infer_types(df: DataFrame) -> DataFrame:
         aggs += [F.count(v).alias(f"n{i}"),
                  F.count_if(v.rlike(INT_PATTERN)).alias(f"i{i}"),
                  F.count_if(X.parse_number(v).isNotNull()).alias(f"d{i}"),
-                 F.max(F.when(v.rlike(INT_PATTERN), F.abs(F.trim(v).try_cast("decimal(38,0)")))).alias(f"m{i}")]
+                 F.max(F.when(v.rlike(INT_PATTERN), F.abs(F.trim(v).try_cast("decimal(38,0)")))).alias(f"m{i}"),
+                 F.count_if(v.rlike(INT_PATTERN) & F.trim(v).try_cast("decimal(38,0)").isNull()).alias(f"w{i}")]
     row = df.agg(*aggs).first()
     kinds = {}
     for i, c in enumerate(texts):
         n = row[f"n{i}"]
         if n and row[f"i{i}"] == n:
-            kinds[c] = "int" if row[f"m{i}"] is not None and row[f"m{i}"] < 2 ** 31 else "bigint"
+            # the narrowest type that holds every value; more than 38 digits stay text
+            most = row[f"m{i}"]
+            if not row[f"w{i}"]:
+                kinds[c] = "int" if most < 2 ** 31 else "bigint" if most < 2 ** 63 else "decimal(38,0)"
         elif n and row[f"d{i}"] == n:
             kinds[c] = "double"
     cols = []
     for c in df.columns:
-        if kinds.get(c) in ("int", "bigint"):
+        if kinds.get(c) in ("int", "bigint", "decimal(38,0)"):
             cols.append(F.trim(F.col(f"`{c}`")).try_cast(kinds[c]).alias(c))
         elif kinds.get(c) == "double":
             cols.append(X.parse_number(F.col(f"`{c}`")).alias(c))
@@ -63,36 +67,44 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def read_dataset(spark: SparkSession, path: str) -> DataFrame:
+def read_dataset(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
     """Read by extension: .csv, or .xls/.xlsx which (lacking a spreadsheet engine)
-    are read as CSV like the reference's mislabelled-file fallback; else ValueError."""
+    are read as CSV like the reference's mislabelled-file fallback; else ValueError.
+
+    Quotes inside a quoted field are doubled. ``line_breaks`` allows them inside
+    quoted fields; a file is then read by one task, so it is for sources that need it
+    (a directory of part files still spreads over its files).
+    """
     ext = os.path.splitext(path.rstrip("/"))[1].lower()
     if ext not in K.SUPPORTED_EXTENSIONS:
-        raise ValueError("Only CSV, XLS, and XLSX datasets are supported.")
-    raw = (spark.read.option("header", True).option("inferSchema", False)
+        raise ValueError(f"cannot read {path!r}: expected one of {sorted(K.SUPPORTED_EXTENSIONS)}")
+    raw = (spark.read.option("header", True).option("inferSchema", False).option("escape", '"').option("multiLine", line_breaks)
            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
            .option("nullValue", None).option("emptyValue", "").csv(path))
     return infer_types(na_tokens(raw))
 
 
 def sink_csv(df: DataFrame, path: str) -> None:
-    """UTF-8 CSV with header, written by the executors as a directory of parts."""
-    (df.write.mode("overwrite").option("header", True).option("ignoreLeadingWhiteSpace", False)
+    """UTF-8 CSV with header and doubled quotes, written by the executors as a directory of parts."""
+    (df.write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
      .option("ignoreTrailingWhiteSpace", False).option("emptyValue", "").option("nullValue", "").csv(path))
 
 
 def report_tables(tables: dict[str, DataFrame], base: str, fmt: str = "parquet") -> dict[str, str]:
     """One directory per named table (metrics, models, predictions, clusters, risk, insights, clean)."""
+    folders: dict[str, str] = {}
+    for name in tables:
+        folder = "".join(ch if ch.isalnum() else "_" for ch in name)
+        if folder in folders:
+            raise ValueError(f"tables {folders[folder]!r} and {name!r} would share the folder {folder!r}")
+        folders[folder] = name
     out = {}
-    for name, df in tables.items():
-        safe = "".join(ch if ch.isalnum() else "_" for ch in name)[:31]
-        path = os.path.join(base, safe)
-        writer = df.write.mode("overwrite")
+    for folder, name in folders.items():
+        out[name] = os.path.join(base, folder)
         if fmt == "csv":
-            writer.option("header", True).csv(path)
+            sink_csv(tables[name], out[name])
         else:
-            writer.parquet(path)
-        out[name] = path
+            tables[name].write.mode("overwrite").parquet(out[name])
     return out
 
 

@@ -7,57 +7,17 @@ operators after the model can be checked exactly.
 
 The join is a plain equi-join on the customer key: Catalyst/AQE pick a
 broadcast only when the customer side is under the size threshold, else a
-sort-merge join with skew splitting.
+sort-merge join with skew splitting. Building a fixture starts no job and keeps
+nothing in executor storage; each query pays for its own scan and join.
 """
 
 from __future__ import annotations
 
-from functools import wraps
-
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnforge.sources.tables import read_table
 
-_MEMO: dict = {}
-
-
-def materialised(fn):
-    """Derive the fixture once per (session, directory) and keep it persisted.
-
-    Every registered query starts from these derived tables, like a
-    materialised view; MEMORY_AND_DISK spills instead of failing, and lost
-    blocks are recomputed from lineage.
-    """
-    @wraps(fn)
-    def run(spark: SparkSession, sf_dir: str, cached: bool = True) -> DataFrame:
-        if not cached:
-            return fn(spark, sf_dir)
-        key = (spark.sparkContext.applicationId, str(sf_dir).rstrip("/"), fn.__name__)
-        df = _MEMO.get(key)
-        if df is None:
-            df = spread(fn(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
-            _MEMO[key] = df
-        return df
-    return run
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a table over the default parallelism when it arrives in fewer
-    partitions (a small file read as one split); large inputs keep their scan
-    partitioning and pay no extra shuffle."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
-
-
-def release(spark: SparkSession | None = None) -> None:
-    """Unpersist memoised fixtures (all, or those of one session)."""
-    for key in list(_MEMO):
-        if spark is None or key[0] == spark.sparkContext.applicationId:
-            _MEMO.pop(key).unpersist()
-
-
 def _case(*pairs, default):
     expr = None
     for cond, value in pairs:
@@ -90,7 +50,6 @@ def _service(k: Column, seg: Column, modulus: int, below: int) -> Column:
                  (k % modulus < below, F.lit("Yes")), default=F.lit("No"))
 
 
-@materialised
 def subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 21-column subscriber table (one row per order)."""
     b = _base(spark, sf_dir)
@@ -137,7 +96,6 @@ def subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@materialised
 def subscribers_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dirty variant: null Partner, constant Source, x10 outliers, exact duplicates."""
     f = subscribers(spark, sf_dir)
@@ -152,7 +110,6 @@ def subscribers_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.unionAll(r.filter(F.col("customerID").like("%77")))
 
 
-@materialised
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subscribers plus a fixed-coefficient score, probability and cluster id."""
     f = subscribers(spark, sf_dir)

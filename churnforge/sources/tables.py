@@ -10,16 +10,6 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
-    """Read one table; column pruning and filters reach the parquet scan.
-
-    A file that arrives as fewer splits than the default parallelism (one row
-    group) is round-robined over the cores; large inputs keep their splits.
-    """
-    path = os.path.join(sf_dir, f"{name}.parquet")
-    df = spark.read.parquet(path)
-    if spread:
-        target = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < target:
-            df = df.repartition(target)
-    return df
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Read one table; column pruning and filters reach the parquet scan, splits follow the file sizes."""
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
