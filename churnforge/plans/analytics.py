@@ -75,7 +75,7 @@ def run_full_analytics(raw: DataFrame, key: str = "customerID", k: int = 3, n_in
         curves=M.curves(cmp.test_predictions),
         importance=M.feature_importance(lr, data.feature_columns, len(data.feature_columns)),
         learning_curve=M.learning_curve(data, key=ROW), profile=profile,
-        segmentation_metrics=SG.segmentation_metrics(seg.points), loadings=SG.pca_loadings(seg.pca, len(seg.pca.cols)),
+        segmentation_metrics=SG.segmentation_metrics(seg.points), loadings=SG.pca_loadings(seg.pca, len(seg.pca.components[0])),
         cluster_summary=B.cluster_summary(scored), risk_summary=B.risk_summary(scored, key),
         business_metrics=B.business_metrics(scored, models=cmp.metrics), insights=B.insights(scored),
         training=data, production_model=lr, segmentation=seg)

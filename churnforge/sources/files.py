@@ -54,7 +54,7 @@ def infer_types(df: DataFrame) -> DataFrame:
             most = row[f"m{i}"]
             if not row[f"w{i}"]:
                 kinds[c] = "int" if most < 2 ** 31 else "bigint" if most < 2 ** 63 else "decimal(38,0)"
-        elif n and row[f"d{i}"] == n:
+        if c not in kinds and n and row[f"d{i}"] == n and not row[f"w{i}"]:
             kinds[c] = "double"
     cols = []
     for c in df.columns:
