@@ -6,8 +6,8 @@ half of it, so an item's text lies whole in one passage. A score is divided by t
 item's score for its own text; all items with a share of at least ``least_score``
 are retrieved. As in block-max WAND, items are kept in blocks (ordered by length,
 so that weights in a block are alike), each term has its largest weight per block, and a
-block is scored only where the sum of these bounds reaches the threshold; bounds are summed for
-all passages of a batch at once. A retrieved item counts as leaked where its
+block is scored only where the sum of these bounds over the passage's distinct terms reaches the
+threshold; bounds are summed for many passages at once. A retrieved item counts as leaked where its
 question (all sentences but the last) and its answer (the last) both have ``least_overlap``
 of their five-word shingles in the passage.
 
@@ -36,8 +36,9 @@ from pyspark.sql import DataFrame, functions as F
 from churnforge.llm.common import ragged, slices, texts_of
 
 K1, B = 1.2, 0.75
-BLOCK = 16
-BLOCKS = 64  # more items make larger blocks, so a batch's table of bounds stays this wide
+BLOCK = 4
+BLOCKS = 64  # more items make larger blocks, so the table of bounds stays this wide
+CHUNK = 5_000  # passages whose bounds are summed at a time
 ITEMS = 50_000
 WIDTH = 5
 # Runs of other characters stand between words.
@@ -126,19 +127,26 @@ def leaks_of(index: Index, terms: np.ndarray, lens: np.ndarray, least_score: flo
     at = (np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)) * step + (ends - lens)[text]
     to = np.minimum(at + span, ends[text])
     best: dict[tuple[int, int], tuple] = {}
-    for a in range(0, len(at), 20_000):
-        lo, hi = at[a:a + 20_000], to[a:a + 20_000]
-        base = int(lo.min())
-        sums = np.zeros((int(hi.max()) - base + 1, index.bound.shape[1]), np.float64)
-        np.cumsum(index.bound[terms[base:int(hi.max())]], axis=0, dtype=np.float64, out=sums[1:])
-        window, block = np.nonzero(sums[hi - base] - sums[lo - base] >= least_score - 1e-4)
-        for w, b in zip(window.tolist(), block.tolist()):
-            run = terms[lo[w]:hi[w]]
-            found = index.score(np.unique(run[run < len(index.vocabulary)]), b, least_score)
+    size = len(index.vocabulary)
+    for a in range(0, len(at), CHUNK):
+        lo, hi = at[a:a + CHUNK], to[a:a + CHUNK]
+        word = terms[ragged(lo, hi - lo)]
+        own = np.repeat(np.arange(len(lo)), hi - lo)
+        pairs = np.unique(own[word < size] * np.int64(size) + word[word < size])  # distinct terms of each passage
+        if not len(pairs):
+            continue
+        own, term = np.divmod(pairs, size)
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        last = np.r_[first[1:], len(own)]
+        which, block = np.nonzero(np.add.reduceat(index.bound[term], first) >= least_score - 1e-4)
+        for k, b in zip(which.tolist(), block.tolist()):
+            w = int(own[first[k]])
+            found = index.score(term[first[k]:last[k]], b, least_score)
             if found:
-                own = shingles(run.tolist()) | {tuple(run[i:i + n]) for n in range(1, WIDTH) for i in range(len(run) - n + 1)}
+                run = terms[lo[w]:hi[w]]
+                here = shingles(run.tolist()) | {tuple(run[i:i + n].tolist()) for n in range(1, WIDTH) for i in range(len(run) - n + 1)}
                 for item, score in found:
-                    q, s = (len(part & own) / len(part) for part in index.parts[item])
+                    q, s = (len(part & here) / len(part) for part in index.parts[item])
                     if min(q, s) >= least_overlap - 1e-9:
                         key = int(text[a + w]), item
                         best[key] = max(best.get(key, ()), (score, q, s, -int(lo[w] - (ends - lens)[key[0]])))
