@@ -134,8 +134,8 @@ def train(sample: list[tuple[int, str]]) -> Model | None:
     first = _first_of_copies(windows, own)
     for y, c in zip(label[first].tolist(), (own[i] for i in first)):
         seen[y].update(c.tolist())
-    n1 = int(label[first].sum())
-    n0 = len(first) - n1
+    n1 = max(1, int(label[first].sum()))
+    n0 = max(1, len(first) - n1)
     typical = {}
     for w, t in seen[1].items():
         share = (t + seen[0][w]) / (n0 + n1)

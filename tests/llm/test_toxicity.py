@@ -1,3 +1,5 @@
+import random
+
 from churnforge.llm import toxicity
 from churnforge.llm.common import table
 
@@ -13,9 +15,14 @@ def test_held_out_documents(spark):
 
 
 def sample():
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(800)] + ["home", "night"] * 20
     bad = ["vile fool", "nasty brute", "fool brute vile"]
-    prose = "the quick brown fox jumps over a lazy dog and runs home at night in summer rain".split()
-    return [(int(k % 4 == 0), " ".join(prose[(k * 7 + j) % len(prose)] + (f"x{k}" if j % 5 == 0 else "") for j in range(40)) + (" " + bad[k % 3] if k % 4 == 0 else "")) for k in range(400)]
+    return [(int(k % 4 == 0), " ".join(rng.choice(words) for _ in range(40)) + (" " + bad[k % 3] if k % 4 == 0 else "")) for k in range(400)]
+
+
+def test_copies_do_not_divide_by_nothing():
+    assert toxicity.train([(k % 2, "the same few words over and over") for k in range(10)]) is not None
 
 
 def test_dictionaries_tell_the_classes_apart():
