@@ -115,6 +115,21 @@ def fit_model(data: TrainingData, spec: ModelSpec) -> tuple[PipelineModel, float
     return model, time.perf_counter() - t0
 
 
+def convergence(model: PipelineModel) -> str | None:
+    """How an iterative linear fit ended; None for models that do not iterate to a tolerance."""
+    est = model.stages[-1]
+    if not hasattr(est, "coefficients") or not est.hasSummary:
+        return None
+    history, most = list(est.summary.objectiveHistory), est.getMaxIter()
+    steps = len(history) - 1
+    last = abs(history[-2] - history[-1]) / max(abs(history[-1]), 1e-12) if steps > 0 else 0.0
+    state = "converged" if steps < most and last <= STILL else "not converged"
+    return f"{state} after {steps} iterations, last relative change {last:.1e}"
+
+
+STILL = 1e-4  # a fit that stops with a larger change of its objective gave up
+
+
 def predict(model: PipelineModel, df: DataFrame, name: str | None = None, threshold: float = 0.5,
             keep: tuple = (KEY, LABEL)) -> DataFrame:
     """Class (p > threshold) and probability of churn for every row."""
@@ -130,6 +145,7 @@ class ComparisonResult:
     models: dict[str, PipelineModel] = field(default_factory=dict)
     times: dict[str, float] = field(default_factory=dict)
     errors: dict[str, str] = field(default_factory=dict)
+    convergence: dict[str, str | None] = field(default_factory=dict)
     metrics: DataFrame | None = None
     test_predictions: DataFrame | None = None
 
@@ -154,19 +170,22 @@ def compare_models(data: TrainingData, specs: list[ModelSpec]) -> ComparisonResu
             continue
         model, secs = fitted
         res.models[spec.name], res.times[spec.name] = model, secs
+        res.convergence[spec.name] = convergence(model)
         preds.append(predict(model, data.test, spec.name))
     spark = data.train.sparkSession
     if preds:
         stacked = union_all(preds).checkpoint(eager=True)  # scored once for the metrics, the AUC and later readers
         m = E.classification_metrics(stacked, group=["Model"])
         auc = E.roc_auc(stacked, group=["Model"])
-        times = spark.createDataFrame([(k, float(v)) for k, v in res.times.items()], "Model string, Training_Time double")
+        times = spark.createDataFrame([(k, float(v), res.convergence[k]) for k, v in res.times.items()],
+                                      "Model string, Training_Time double, Convergence string")
         res.metrics = m.join(auc, "Model").join(times, "Model").withColumn("Error", F.lit(None).cast("string"))
         res.test_predictions = stacked
     if res.errors:
         err = spark.createDataFrame([(k, v) for k, v in res.errors.items()], "Model string, Error string")
         for c in ["Accuracy", "Precision", "Recall", "F1_Score", "ROC_AUC", "Training_Time"]:
             err = err.withColumn(c, F.lit(None).cast("double"))
+        err = err.withColumn("Convergence", F.lit(None).cast("string"))
         res.metrics = err if res.metrics is None else res.metrics.unionByName(err)
     if res.metrics is not None:
         res.metrics = res.metrics.orderBy(F.col("F1_Score").desc_nulls_last(), "Model")

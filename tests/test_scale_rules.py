@@ -165,5 +165,7 @@ def test_full_run_keeps_every_row(spark):
     res = run_full_analytics(df, n_init=2)
     assert res.analysis.count() == 600
     assert {r.Model for r in res.model_metrics.collect()} == {s.name for s in M.model_specs(10)}
+    ended = {r.Model: r.Convergence for r in res.model_metrics.collect()}
+    assert "converged after" in ended["Logistic Regression"] and ended["Decision Tree"] is None
     assert res.curves.select("Model", "Curve").distinct().count() == 10
     assert res.confusion.count() > 0 and res.loadings.count() > 5 and res.segmentation_metrics.count() == 1 and res.learning_curve.count() == 5
