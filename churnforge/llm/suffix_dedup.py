@@ -20,7 +20,7 @@ the input, so the rounds sort sampled positions:
 A pair that repeats within a slice of input is settled there, so exact copies of any number reach
 the sort once per slice. 16-byte ranks frequent in a sample (a line that very
 many documents share) are spread by their neighbourhood, and their windows are
-sorted one by one. The sample only balances; results do not depend on it.
+sorted one by one, those that repeat within a batch settled first. The sample only balances; results do not depend on it.
 
 Defined results: null texts are empty; shorter texts than LENGTH keep all bytes; rows that share
 a doc_id, or have none, are numbered by (doc_id, text hash), null ids first, and are documents
@@ -138,7 +138,7 @@ def positions(numbered: DataFrame, hot: list[int]) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 16 << 20):
                 rows = _positions(part.column(1), np.asarray(part.column(0)), hot)
                 if len(rows["g"]):
                     yield pa.RecordBatch.from_pydict(rows)
@@ -147,34 +147,62 @@ def positions(numbered: DataFrame, hot: list[int]) -> DataFrame:
 
 
 def neighbourhoods(numbered: DataFrame, unclear: DataFrame) -> DataFrame:
-    """Rows (key, doc, pos, bytes) of the unclear positions: one per position, or one per window where it is hot."""
+    """Rows (key, doc, pos, bytes) of the unclear positions: one per position, or one per window where it is hot.
+
+    A hot window that repeats within a batch is settled there; the runs of settled windows go on as
+    rows without bytes, marked in pos and under a key of their own.
+    """
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = {"key": [], "doc": [], "pos": [], "bytes": []}
+
+        def add(*row) -> None:
+            for column, v in zip(out.values(), row):
+                column.append(v)
+
         for batch in batches:
-            out = {"key": [], "doc": [], "pos": [], "bytes": []}
-            for doc, text, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                raw = text.as_buffer().to_pybytes()
-                for g, pos in sorted((x["g"], x["pos"]) for x in found):
+            seen: set[bytes] = set()
+            docs = batch.column(0).to_pylist()
+            for k in sorted(range(len(docs)), key=docs.__getitem__):  # the first of equal windows comes first
+                doc, raw = docs[k], batch.column(1)[k].as_buffer().to_pybytes()
+                for pos, g in sorted((x["pos"], x["g"]) for x in batch.column(2)[k].as_py()):
                     at, lo, hi = pos >> 16, pos >> 9 & 127, pos >> 2 & 127
                     if not pos & 2:
-                        rows = [(g, pos, raw[at - lo:at - hi + LENGTH])]
-                    else:
-                        rows = []
-                        for d in range(hi, lo + 1):
-                            own = raw[at - d:at - d + LENGTH]
-                            key = int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "little", signed=True)
-                            rows.append((key, at << 16 | d << 9 | d << 2, own))
-                    for row in rows:
-                        for name, v in zip(out, (row[0], doc, *row[1:])):
-                            out[name].append(v)
-                        if len(out["key"]) >= 50_000:
-                            yield _batch(out)
-            if out["key"]:
-                yield _batch(out)
+                        add(g, doc, pos, raw[at - lo:at - hi + LENGTH])
+                        continue
+                    run = []
+                    for d in range(lo, hi - 1, -1):
+                        own = raw[at - d:at - d + LENGTH]
+                        if own in seen:
+                            run.append(d)
+                        else:
+                            seen.add(own)
+                            add(_key(own), doc, at << 16 | d << 9 | d << 2, own)
+                    for first, last in _runs_down(run):
+                        add(_key(b"%d %d" % (doc, pos)), doc, at << 16 | first << 9 | last << 2 | 1, b"")
+                if len(out["key"]) >= 50_000:
+                    yield _batch(out)
+        if out["key"]:
+            yield _batch(out)
 
     per_doc = unclear.groupBy("doc").agg(F.collect_list(F.struct("g", "pos")).alias("found"))
     return numbered.join(per_doc, "doc").select("doc", "text", "found").mapInArrow(each, "key long, doc long, pos long, bytes binary")
 
 
+def _key(own: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "little", signed=True)
+
+
+def _runs_down(values: list[int]) -> list[tuple[int, int]]:
+    """Maximal runs (first, last) of falling neighbours."""
+    runs: list[tuple[int, int]] = []
+    for v in values:
+        if runs and runs[-1][1] == v + 1:
+            runs[-1] = runs[-1][0], v
+        else:
+            runs.append((v, v))
+    return runs
+
+
 def _batch(out: dict[str, list]) -> pa.RecordBatch:
     batch = pa.RecordBatch.from_arrays([pa.array(out[k], pa.binary() if k == "bytes" else pa.int64()) for k in out], names=list(out))
     for v in out.values():
@@ -184,6 +212,8 @@ def _batch(out: dict[str, list]) -> pa.RecordBatch:
 
 def _repeats(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, data: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc, first, last start) of the runs of repeated windows among whole groups, rows in order of (key, doc, pos)."""
+    if not len(key):
+        return (np.empty(0, np.int64),) * 3
     at, lo, hi = pos >> 16, pos >> 9 & 127, pos >> 2 & 127
     _, wide = _ranks(data)
     many = lo - hi + 1
@@ -210,9 +240,14 @@ def shared_windows(near: DataFrame) -> DataFrame:
         held: list[pa.RecordBatch] = []
 
         def settle(rows: pa.Table) -> pa.RecordBatch:
+            settled = rows["pos"].to_numpy() & 1 == 1
+            done, rows = rows.filter(pa.array(settled)), rows.filter(pa.array(~settled))
             data, lens = _bytes_of(rows["bytes"].combine_chunks().cast(pa.large_binary()))
             found = _repeats(*(rows[c].to_numpy() for c in ("key", "doc", "pos")), data, lens)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["doc", "first", "last"])
+            doc, pos = done["doc"].to_numpy(), done["pos"].to_numpy()
+            at = pos >> 16
+            runs = zip(found, (doc, at - (pos >> 9 & 127), at - (pos >> 2 & 127)))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in runs], names=["doc", "first", "last"])
 
         for batch in batches:
             for part in slices(batch, "bytes", 4 << 20):
