@@ -43,6 +43,13 @@ def preview(df: DataFrame, n: int = 100, key: str | None = None) -> DataFrame:
     return df.orderBy(_q(key)).limit(n)
 
 
+def schema_table(df: DataFrame) -> DataFrame:
+    """Column, type and number of non-null values, from one aggregate."""
+    row = df.agg(*[F.count(_q(c)).alias(f"n{i}") for i, c in enumerate(df.columns)]).first()
+    return df.sparkSession.createDataFrame([(c, t, row[f"n{i}"]) for i, (c, t) in enumerate(df.dtypes)],
+                                           "column string, type string, non_null bigint")
+
+
 def missing_by_column(df: DataFrame) -> DataFrame:
     """Null (blank-aware) count per column, long form, from one aggregate."""
     blanked = C.blank_to_null(df)
@@ -101,6 +108,14 @@ def corr_matrix(df: DataFrame) -> DataFrame:
     return correlation_frame(num, num.columns)
 
 
+def missing_map_sample(df: DataFrame, n: int = 500, key: str | None = None, seed: int = 42) -> DataFrame:
+    """A stable hash sample of ≤ n rows as 0/1 null flags, for drawing (``missing_patterns`` counts all rows)."""
+    key = key or df.columns[0]
+    blanked = C.blank_to_null(df)
+    flags = [F.when(_q(c).isNull(), 1).otherwise(0).alias(c) for c in df.columns if c != key]
+    return blanked.orderBy(F.xxhash64(F.lit(seed), _q(key)), _q(key)).limit(n).select(_q(key), *flags)
+
+
 def missing_patterns(df: DataFrame) -> DataFrame:
     """Rows per null pattern (blank-aware): one 0/1 flag per column and the number of rows that have it.
 

@@ -121,6 +121,8 @@ ORACLE = {
     "describe_all_subscribers": describe_sql(RAW_CTES, "raw", RAW_KINDS),
     "describe_all_orders": describe_sql("WITH od AS (SELECT * FROM orders) ", "od", ORDERS_KINDS),
     "describe_all_lineitem": describe_sql("WITH li AS (SELECT * FROM lineitem) ", "li", LINEITEM_KINDS),
+    "schema_table": RAW_CTES + " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", '{'string' if k == 'text' else k}' AS type, count({c}) AS non_null FROM raw" for c, k in RAW_KINDS),
     "missing_patterns": RAW_CTES + "SELECT " + ", ".join(f"CAST(({_miss(c, k)}) AS INT) AS {c}" for c, k in RAW_KINDS)
         + ", count(*) AS Rows FROM raw GROUP BY ALL",
     "missing_by_column": missing_sql(RAW_CTES, "raw", RAW_KINDS),

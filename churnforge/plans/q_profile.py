@@ -63,6 +63,16 @@ def q_describe_all_lineitem(spark, sf):
     return P.describe_all(read_table(spark, sf, "lineitem"))
 
 
+@query("schema_table")
+def q_schema_table(spark, sf):
+    return P.schema_table(fixtures.subscribers_raw(spark, sf))
+
+
+@query("missing_map_sample")
+def q_missing_map_sample(spark, sf):
+    return P.missing_map_sample(fixtures.subscribers_raw(spark, sf), 500, "customerID")
+
+
 @query("missing_patterns")
 def q_missing_patterns(spark, sf):
     return P.missing_patterns(fixtures.subscribers_raw(spark, sf))
