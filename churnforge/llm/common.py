@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,14 +13,22 @@ from pyspark.sql import DataFrame, SparkSession
 from churnforge.session import scratch_path
 
 # Texts are worked on in slices of about so many bytes, whatever the Arrow batch holds.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
+BATCH_ROWS = 4_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read through Spark so that any store works."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let whole texts travel between the executor and its Python workers in batches of bounded bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", SLICE_BYTES)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared scratch folder and read it back.
 
@@ -46,6 +55,15 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
     for a, b in zip(bounds[:-1], bounds[1:]):
         if b > a:
             yield batch.slice(a, b - a)
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Spark keeps a Python worker for later stages, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
 
 
 def texts_of(batch: pa.RecordBatch, text: str = "text") -> pa.Array:

@@ -185,8 +185,7 @@ def train(sample: list[tuple[str, str]], rounds: int = 30, words: int = 128, rat
         p = model.marginals(em, seq, lens)
         diff = (target - p) * weight[:, None]
         by_word = np.stack([np.bincount(seq, diff[:, j], len(distinct)) for j in range(k)], 1) / len(seq)
-        spread = by_word[per_gram] / n[per_gram, None]
-        gradients = [np.stack([np.bincount(grams, spread[:, j], len(model.gram)) for j in range(k)], 1),
+        gradients = [np.stack([np.bincount(grams, (by_word[:, j] / np.maximum(n, 1))[per_gram], len(model.gram)) for j in range(k)], 1),
                      np.stack([np.bincount(lexicon, by_word[:, j], BUCKETS) for j in range(k)], 1),
                      (pairs - _expected_pairs(model, em, seq, p, inner)) / len(seq)]
         for w, s, g in zip((model.gram, model.word, model.move), squares, gradients):
@@ -207,7 +206,7 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) ->
     """One row per document: doc_id, held_out, lang_pred, score, n_words, shares (by language), and the columns in ``keep``."""
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", (8 << 20) * 16 // max(4, len(model.languages) if model else 0) ** 2 + 1):
+            for part in slices(batch, "text", (4 << 20) * 16 // max(4, len(model.languages) if model else 0) ** 2 + 1):
                 rows = part.num_rows
                 pred, best, n_words, shares = np.full(rows, -1), np.zeros(rows), np.zeros(rows, np.int64), [None] * rows
                 if model:
@@ -230,6 +229,6 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) ->
     return scored if "text" in keep else scored.drop("text")
 
 
-def identify(docs: DataFrame, per_language: int = 200, keep: tuple[str, ...] = ()) -> DataFrame:
+def identify(docs: DataFrame, per_language: int = 120, keep: tuple[str, ...] = ()) -> DataFrame:
     """Train on a bounded labelled sample of ``docs`` (text, lang) and predict every whole text."""
     return predict(docs, train(labelled_sample(docs, "lang", per_language)), keep)

@@ -23,7 +23,7 @@ from churnforge.llm.common import ragged
 PLAIN = r"^[!-&(-;=-~¡-įı-ɏ]*$"
 # The tokenizer makes each number and each run of signs a piece of its own.
 SIGNS = r"(\pN)|([^\pL\pN]+)"
-MOST_CACHED = 800_000
+MOST_CACHED = 250_000
 
 
 class Encoder:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from churnforge.llm import decontaminate, lang_crf, minhash, packing, template_tree
-from churnforge.llm.common import stored, table
+from churnforge.llm.common import small_batches, stored, table
 from churnforge.llm.tokens import word_bpe
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -19,6 +19,7 @@ LEAST_SHARE = 0.35
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: not ``und``, and more words in the main one than LEAST_SHARE."""
+    small_batches(spark)
     scored = lang_crf.identify(docs, keep=COLUMNS)
     return scored.where((F.col("lang_pred") != lang_crf.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(*COLUMNS)
 
@@ -30,6 +31,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the smallest doc_id."""
+    small_batches(spark)
     # doc_ids of a group are compared, so a document is known by its id; a null id is never in a group
     gone = minhash.near_duplicates(docs, width=5, percent=80).where(~F.col("kept")).select("doc_id").distinct()
     return docs.select(*COLUMNS).join(stored(gone, "near-copies"), "doc_id", "left_anti").select(*COLUMNS)
@@ -43,6 +45,7 @@ def clean_of_tests(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their sequence and place."""
+    small_batches(spark)
     return packing.pack_documents(docs, word_bpe(), end_id=0, size=2048)
 
 
