@@ -9,7 +9,9 @@ toxic than ordinary documents of the sample (a one-sided z test). The document's
 largest and summed gains are turned into a probability by a logistic calibration.
 
 Learning uses a bounded labelled sample (``per_label`` texts of at most 64 KB each, by a
-hash of doc_id); the dictionaries have a fixed size. Scoring reads whole texts.
+hash of doc_id); the dictionaries have a fixed size. Of equal or nearly equal texts of a class
+(Jaccard similarity of five-window shingles of 0.8 or more) only the first counts for the
+dictionaries; all texts of the sample are calibrated on. Scoring reads whole texts.
 
 Defined results: a null or empty text has no window and gets the calibrated
 score of no gain; with no labelled row of either class every score is 0; a document
@@ -19,7 +21,6 @@ labelled twice counts twice in the sample; other columns are ignored.
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -38,6 +39,7 @@ ORDINARY_BYTES, TOXIC_BYTES = 16_384, 4_096
 # must show at each of these counts; it is the least of them.
 REPEATS, SHORT, LEVEL = (4, 3, 5), 32, 6
 TOP = 3  # largest gains of a text that are summed
+WIDTH, ALIKE = 5, 80  # texts of the sample are copies where their sets of runs of WIDTH windows have this Jaccard similarity in percent
 
 
 def windows_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -107,19 +109,37 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:2] + self.weights[2], -30, 30)))
 
 
-def _first_of_copies(windows: list[str], own: list[np.ndarray]) -> list[int]:
-    """Texts of the sample without near copies of earlier ones (a third of the 15 least window hashes shared)."""
-    hashes = np.array([zlib.crc32(w.encode()) for w in windows], dtype=np.int64)
-    holders, first = defaultdict(list), []
-    for i, c in enumerate(own):
-        least = np.sort(hashes[c])[:15].tolist()
-        shared = Counter(j for h in least for j in holders[h])
-        if shared and max(shared.values()) >= max(2, len(least) // 3):
+def _shingles(codes: np.ndarray) -> np.ndarray:
+    """Sorted distinct hashes of the runs of WIDTH windows; a shorter text is one run."""
+    width = min(WIDTH, len(codes))
+    runs = np.zeros(len(codes) - width + 1 if width else 0, np.uint64)
+    for k in range(width):
+        runs = (runs + codes[k:k + len(runs)].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        runs ^= runs >> np.uint64(29)
+    return np.unique(runs)
+
+
+def _first_of_copies(sample: list[tuple[int, str]], codes: list[np.ndarray]) -> list[int]:
+    """Texts of the sample that are no copy of an earlier one of their class: not equal, and Jaccard similarity of
+    their shingles below ALIKE. Similar sets share one of their rarest shingles, so only such pairs are compared."""
+    first = sorted({row: i for i, row in reversed(list(enumerate(sample)))}.values())
+    sets = {i: _shingles(codes[i]) for i in first}
+    every, held_by = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+    holders, alone = defaultdict(list), []
+    for i in first:
+        own = sets[i]
+        n = held_by[np.searchsorted(every, own)]
+        rare = np.lexsort((own, n))[:len(own) - -(-ALIKE * len(own) // 100) + 1]
+        rare = own[rare[n[rare] > 1]].tolist()
+        label = sample[i][0]
+        near = {j for h in rare for j in holders[label, h] if 100 * min(len(own), len(sets[j])) >= ALIKE * max(len(own), len(sets[j]))}
+        shared = ((len(np.intersect1d(own, sets[j], assume_unique=True)), len(sets[j])) for j in near)
+        if any(100 * both >= ALIKE * (len(own) + size - both) for both, size in shared):
             continue
-        first.append(i)
-        for h in least:
-            holders[h].append(i)
-    return first
+        alone.append(i)
+        for h in rare:
+            holders[label, h].append(i)
+    return alone
 
 
 def train(sample: list[tuple[int, str]]) -> Model | None:
@@ -130,9 +150,9 @@ def train(sample: list[tuple[int, str]]) -> Model | None:
     windows, codes, lens = windows_of(pa.array([t for _, t in sample]))
     seen = Counter(), Counter()
     ends = np.cumsum(lens)
-    own = [np.unique(codes[a:b]) for a, b in zip(ends - lens, ends)]
-    first = _first_of_copies(windows, own)
-    for y, c in zip(label[first].tolist(), (own[i] for i in first)):
+    of_text = [codes[a:b] for a, b in zip(ends - lens, ends)]
+    first = _first_of_copies(sample, of_text)
+    for y, c in zip(label[first].tolist(), (np.unique(of_text[i]) for i in first)):
         seen[y].update(c.tolist())
     n1 = max(1, int(label[first].sum()))
     n0 = max(1, len(first) - n1)

@@ -1,5 +1,7 @@
 import random
 
+import pyarrow as pa
+
 from churnforge.llm import toxicity
 from churnforge.llm.common import table
 
@@ -25,6 +27,20 @@ def test_copies_do_not_divide_by_nothing():
     assert toxicity.train([(k % 2, "the same few words over and over") for k in range(10)]) is not None
 
 
+def test_only_real_copies_are_left_out_of_the_sample():
+    rng = random.Random(4)
+    words = ["w%d" % k for k in range(40)]  # every text holds most of them, so the least word hashes agree
+    text = lambda: [rng.choice(words) for _ in range(100)]
+    texts = [text() for _ in range(50)]
+    near = [t[:-1] + ["changed"] for t in texts[:5]]
+    sample = [(k % 2, " ".join(t)) for k, t in enumerate(texts)] + [(k % 2, " ".join(t)) for k, t in enumerate(near)]
+    sample += [sample[0], (1, sample[0][1]), (0, ""), (0, ""), (0, "few words"), (0, "few words here")]
+    _, codes, lens = toxicity.windows_of(pa.array([t for _, t in sample]))
+    ends = lens.cumsum()
+    got = toxicity._first_of_copies(sample, [codes[a:b] for a, b in zip(ends - lens, ends)])
+    assert got == [*range(50), 56, 57, 59, 60]
+
+
 def test_dictionaries_tell_the_classes_apart():
     model = toxicity.train(sample())
     gain = dict(zip(["vile", "fool", "brute", "home", "night", "zzz"], model.gains(["vile", "fool", "brute", "home", "night", "zzz"]).tolist()))
