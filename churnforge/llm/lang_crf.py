@@ -138,13 +138,18 @@ def held_out(doc_id: Column | str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def usable(docs: DataFrame, label: str) -> DataFrame:
+    """The labelled rows that a model may learn from."""
+    return docs.where(F.col(label).isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id") & (F.octet_length("text") <= SAMPLE_BYTES))
+
+
 def labelled_sample(docs: DataFrame, label: str, per_label: int) -> list[tuple[str, str]]:
     """At most ``per_label`` (label, text) rows of each label that are not held out."""
-    usable = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id") & (F.octet_length("text") <= SAMPLE_BYTES))
+    docs = usable(docs, label)
     order = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("doc_id", label).withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_label)
+    chosen = docs.select("doc_id", label).withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_label)
     ids = [r.doc_id for r in chosen.select("doc_id").collect()]  # per_label for each label at most
-    rows = usable.where(F.col("doc_id").isin(ids)).select(label, "text").collect() if ids else []
+    rows = docs.where(F.col("doc_id").isin(ids)).select(label, "text").collect() if ids else []
     return sorted((r[label], r["text"]) for r in rows)
 
 

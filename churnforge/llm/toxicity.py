@@ -11,7 +11,8 @@ largest and summed gains are turned into a probability by a logistic calibration
 Learning uses a bounded labelled sample (``per_label`` texts of at most 64 KB each, by a
 hash of doc_id); the dictionaries have a fixed size. Of equal or nearly equal texts of a class
 (Jaccard similarity of five-window shingles of 0.8 or more) only the first counts for the
-dictionaries; all texts of the sample are calibrated on. Scoring reads whole texts.
+dictionaries; all texts of the sample are calibrated on, weighted to the shares that the classes
+have among all usable labelled rows. Scoring reads whole texts.
 
 Defined results: a null or empty text has no window and gets the calibrated
 score of no gain; with no labelled row of either class every score is 0; a document
@@ -31,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from churnforge.llm.common import slices, texts_of
-from churnforge.llm.lang_crf import held_out, labelled_sample
+from churnforge.llm.lang_crf import held_out, labelled_sample, usable
 
 ORDINARY_BYTES, TOXIC_BYTES = 16_384, 4_096
 # A short window is written several times: a block that saves under three bytes is stored raw, and
@@ -142,8 +143,8 @@ def _first_of_copies(sample: list[tuple[int, str]], codes: list[np.ndarray]) ->
     return alone
 
 
-def train(sample: list[tuple[int, str]]) -> Model | None:
-    """Dictionaries and calibration from (label, text) rows."""
+def train(sample: list[tuple[int, str]], rows: dict[int, int] | None = None) -> Model | None:
+    """Dictionaries and calibration from (label, text) rows; ``rows`` tells how many there are of each class in all."""
     label = np.array([y for y, _ in sample])
     if not (0 < label.sum() < len(label)):
         return None
@@ -169,12 +170,16 @@ def train(sample: list[tuple[int, str]]) -> Model | None:
     left_out = b"".join(dict.fromkeys(w for w in toxic if w not in trained))  # the commonest last, where they cost least
     model = Model(prose + (trained + left_out)[-2 * TOXIC_BYTES:], prose)
     found = model.evidence(model.gains(windows), codes, lens)
-    model.centre, model.scale = found.mean(0), found.std(0) + 1e-9
+    sampled = np.bincount(label, minlength=2)
+    weight = (np.array([rows[0], rows[1]]) / sampled if rows else np.ones(2))[label]
+    weight *= len(label) / weight.sum()  # the classes weigh as in all rows, whether the sample was cut or not
+    model.centre = np.average(found, axis=0, weights=weight)
+    model.scale = np.sqrt(np.average((found - model.centre) ** 2, axis=0, weights=weight)) + 1e-9
     x = np.c_[(found - model.centre) / model.scale, np.ones(len(found))]
     for _ in range(50):  # Newton steps of a ridge logistic regression
         p = 1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30)))
         ridge = np.diag([1.0, 1.0, 1e-6])
-        model.weights += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (label - p) - ridge @ model.weights)
+        model.weights += np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (weight * (label - p)) - ridge @ model.weights)
     model._by_dict = None
     return model
 
@@ -198,4 +203,5 @@ def classify(docs: DataFrame, labels: DataFrame, per_label: int = 2000, threshol
     """Train on a bounded labelled sample and score every whole text."""
     known = labels.where(F.col("toxic").isin(0, 1)).select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     joined = docs.select("doc_id", "text").join(known, "doc_id")
-    return predict(docs, train(labelled_sample(joined, "toxic", per_label)), threshold)
+    rows = {r.toxic: r.n for r in usable(joined, "toxic").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    return predict(docs, train(labelled_sample(joined, "toxic", per_label), rows), threshold)

@@ -41,6 +41,20 @@ def test_only_real_copies_are_left_out_of_the_sample():
     assert got == [*range(50), 56, 57, 59, 60]
 
 
+def test_score_does_not_depend_on_a_reached_cap(spark, docs_of):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(800)]
+    # one text in ten is toxic, and half of the toxic ones hold nothing that tells
+    rows = [(k, int(k % 10 == 0), " ".join(rng.choice(words) for _ in range(30)) + (" vile fool" if k % 20 == 0 else "")) for k in range(1600)]
+    labels = spark.createDataFrame([(k, y) for k, y, _ in rows], "doc_id long, toxic int")
+    docs = docs_of([(k, t) for k, _, t in rows])
+    whole, cut = ({r.doc_id: r for r in toxicity.classify(docs, labels, per_label=n).collect()} for n in (2000, 90))
+    for k, y, t in rows:
+        assert cut[k].predicted == whole[k].predicted == int(t.endswith("vile fool"))
+    silent = [k for k, _, t in rows if not t.endswith("vile fool")]
+    assert abs(sum(cut[k].score - whole[k].score for k in silent)) / len(silent) < 0.03
+
+
 def test_dictionaries_tell_the_classes_apart():
     model = toxicity.train(sample())
     gain = dict(zip(["vile", "fool", "brute", "home", "night", "zzz"], model.gains(["vile", "fool", "brute", "home", "night", "zzz"]).tolist()))
