@@ -4,8 +4,9 @@ Fixed-depth parsing: a line goes to the leaf named by its number of tokens and i
 ``DEPTH`` tokens, where a token with a digit counts as a variable field. In a
 leaf that recurs in enough documents, a token is part of a template where a
 share of at least ``CONSTANT`` of the leaf's lines has it at its place, and a variable field
-(``<*>``) otherwise; a line whose fields are mostly variable is its own
-template. Templates that occur in ``least_docs`` documents of different text are boilerplate: all
+(``<*>``) otherwise. A line whose fields are mostly variable is its own template, and so is one
+where, behind the first ``DEPTH`` tokens, the fields that are words (without a digit) are as many as the constant
+tokens: what all lines of a leaf share by construction says nothing about a difference in words. Templates that occur in ``least_docs`` documents of different text are boilerplate: all
 their lines are dropped but the first (smallest doc_id, then line).
 
 Only leaf hashes are shuffled for all lines; lines are carried on for recurring leaves alone. All
@@ -67,7 +68,10 @@ def boilerplate(docs: DataFrame, least_docs: int) -> DataFrame:
     trees = stored(fixed.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "fixed"))), lambda p: p["fixed"]).alias("fixed")), "template-tree")
     general = F.zip_with("tokens", "fixed", lambda t, fixed: F.when(F.array_contains(fixed, t), t).otherwise(F.lit(FIELD)))
     named = held.join(trees, "leaf").withColumn("general", general)
-    is_similar = F.size(F.filter("general", lambda t: t != FIELD)) >= SIMILAR * F.size("general")
+    # 1: constant, 0: a field with a digit, -1: a field that is a word; all lines of a leaf share their lead
+    votes = F.zip_with("tokens", "general", lambda t, g: F.when(g != FIELD, 1).when(t.rlike("[0-9]"), 0).otherwise(-1))
+    behind = F.aggregate(F.slice(votes, DEPTH + 1, F.size("tokens")), F.lit(0), lambda a, v: a + v)
+    is_similar = (F.size(F.filter("general", lambda t: t != FIELD)) >= SIMILAR * F.size("general")) & (~F.array_contains(votes, -1) | (behind > 0))
     parsed = stored(named.select(
         "doc_id", "text_hash", "pos", F.concat_ws(" ", F.when(is_similar, F.col("general")).otherwise(F.col("tokens"))).alias("template")), "parsed-lines")
     seen = parsed.select("template", "text_hash").distinct().groupBy("template").agg(F.count("*").alias("docs")).where(F.col("docs") >= least_docs)

@@ -34,6 +34,15 @@ def test_odd_rows(spark, docs_of, odd_rows):
     assert template_tree.drop_recurring_lines(docs.limit(0)).count() == 0
 
 
+def test_lines_alike_in_their_lead_alone_stay(spark, docs_of):
+    names = ["Rome", "Greece", "Persia", "Egypt", "Crete", "Troy", "Sparta", "Thebes", "Corinth", "Argos", "Delphi", "Athens", "Sicily", "Cyprus"]
+    rows = [(k, f"The history of {n}\nHe went to the {n}\nThat is why {n} fell {n[::-1]}\nNumber of visits: {k * 17}\n{k} of 14") for k, n in enumerate(names)]
+    got = template_tree.drop_recurring_lines(docs_of(rows), least_docs=10).collect()
+    for r in got:
+        want = rows[r.doc_id][1].split("\n")
+        assert r.text == "\n".join(want if r.doc_id == 0 else want[:3])
+
+
 def test_copies_count_as_one_document(spark, docs_of):
     rows = [(k, "first line of copies\nsecond line of copies") for k in range(40)]
     assert all(r.n_dropped == 0 for r in template_tree.drop_recurring_lines(docs_of(rows)).collect())
