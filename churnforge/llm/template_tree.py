@@ -12,8 +12,9 @@ their lines are dropped but the first (smallest doc_id, then line).
 Only leaf hashes are shuffled for all lines; lines are carried on for recurring leaves alone. All
 counts are partial aggregates, so a line that a third of all documents share costs no task more.
 
-Defined results: lines are separated by ``\\n``, tokens by white space; lines of fewer
-than ``LEAST_TOKENS`` tokens always stay; a null text has no lines and stays
+Defined results: lines are separated by ``\\n``, tokens by white space; lines without a token always
+stay; lines of fewer than ``DEPTH`` tokens have no fields, also not with digits, and recur by all
+their tokens (``least_tokens`` leaves shorter lines out: the registered SQL names 3); a null text has no lines and stays
 null; an emptied document keeps its row with the empty text; rows that share doc_id
 and text are one document and lose the same lines; among equal doc_ids the smaller text hash
 comes first, null doc_ids come last; other columns pass through unchanged (columns
@@ -29,7 +30,6 @@ from churnforge.llm.common import stored
 DEPTH = 3
 CONSTANT = 0.2
 SIMILAR = 0.5
-LEAST_TOKENS = 3
 FIELD = "<*>"
 SPACE = r"[ \t\r\f\x0B]+"
 BROADCAST_ROWS = 1_000_000  # rows of a few numbers that are sent to every task; more are joined by a shuffle
@@ -45,19 +45,19 @@ def _tokens(line: Column) -> Column:
 
 
 def _lead(tokens: Column) -> Column:
-    return F.transform(F.slice(tokens, 1, DEPTH), lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))
+    return F.transform(F.slice(tokens, 1, DEPTH), lambda t: F.when(t.rlike("[0-9]") & (F.size(tokens) >= DEPTH), F.lit(FIELD)).otherwise(t))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+def _lines(docs: DataFrame, least_tokens: int) -> DataFrame:
     """doc_id, text_hash, pos, tokens, leaf of all lines with enough tokens."""
     each = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    tokens = each.select("doc_id", "text_hash", "pos", _tokens(F.col("line")).alias("tokens")).where(F.size("tokens") >= LEAST_TOKENS)
+    tokens = each.select("doc_id", "text_hash", "pos", _tokens(F.col("line")).alias("tokens")).where(F.size("tokens") >= least_tokens)
     return tokens.withColumn("leaf", F.xxhash64(F.size("tokens"), F.concat_ws(" ", _lead(F.col("tokens")))))
 
 
-def boilerplate(docs: DataFrame, least_docs: int) -> DataFrame:
+def boilerplate(docs: DataFrame, least_docs: int, least_tokens: int) -> DataFrame:
     """doc_id, text_hash, drop (line numbers to drop) of the documents that lose lines."""
-    lines = _lines(docs)
+    lines = _lines(docs, least_tokens)
     in_docs = lines.select("leaf", "text_hash").distinct().groupBy("leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= least_docs)
     leaves = stored(in_docs.select("leaf"), "leaves")
     held = stored(lines.join(small(leaves), "leaf"), "leaf-lines")
@@ -82,9 +82,9 @@ def boilerplate(docs: DataFrame, least_docs: int) -> DataFrame:
     return lost.groupBy("doc_id", "text_hash").agg(F.collect_list("pos").alias("drop"))
 
 
-def drop_recurring_lines(docs: DataFrame, least_docs: int = 10) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, least_docs: int = 10, least_tokens: int = 1) -> DataFrame:
     """``docs`` with recurring lines taken out of ``text``, and n_lines and n_dropped beside its columns."""
-    lost = small(stored(boilerplate(docs.select("doc_id", "text"), least_docs), "lost-lines"))
+    lost = small(stored(boilerplate(docs.select("doc_id", "text"), least_docs, least_tokens), "lost-lines"))
     text_hash, drop, text = F.xxhash64(docs["text"]), lost["drop"], docs["text"]
     joined = docs.join(lost, (text_hash == lost["text_hash"]) & docs["doc_id"].eqNullSafe(lost["doc_id"]), "left")
     lines = F.split(text, "\n")

@@ -43,6 +43,14 @@ def test_lines_alike_in_their_lead_alone_stay(spark, docs_of):
         assert r.text == "\n".join(want if r.doc_id == 0 else want[:3])
 
 
+def test_short_lines_recur_by_all_their_tokens(spark, docs_of):
+    rows = [(k, f"Read more\nown{k} text{k} here{k}\n\n Subscribe \t\nPage {k}\nw{k}") for k in range(12)] + [(90, "Read less"), (91, "more")]
+    got = {r.doc_id: r.text for r in template_tree.drop_recurring_lines(docs_of(rows), least_docs=10).collect()}
+    assert got.pop(90) == "Read less" and got.pop(91) == "more" and got.pop(0) == rows[0][1]
+    assert all(got[k] == f"own{k} text{k} here{k}\n\nPage {k}\nw{k}" for k in got)
+    assert all(r.n_dropped == 0 for r in template_tree.drop_recurring_lines(docs_of(rows), least_tokens=3).collect())
+
+
 def test_copies_count_as_one_document(spark, docs_of):
     rows = [(k, "first line of copies\nsecond line of copies") for k in range(40)]
     assert all(r.n_dropped == 0 for r in template_tree.drop_recurring_lines(docs_of(rows)).collect())
