@@ -1,10 +1,12 @@
-"""Removal of repeated byte strings by distributed prefix doubling over sampled positions.
+"""Removal of repeated byte strings by minimiser sampling, with fingerprints doubled inside a slice of texts.
 
 A byte goes where a string of ``LENGTH`` bytes covers it that also starts earlier
 (smaller document, or same document and earlier start). Ranks are 64-bit fingerprints
 made by doubling: the rank of 2n bytes at a position joins the ranks of n bytes there and
-n bytes further on. Sorting every byte position in every round would move many times
-the input, so the rounds sort sampled positions:
+n bytes further on. There are no distributed doubling rounds: sorting every byte position by
+rank and position in Spark, and reranking at growing offsets until a rank is unique or long enough, would write
+16 bytes for each byte of input and round (an estimate from the record's size). Doubling runs inside a
+slice of texts instead, and Spark groups sampled positions once by fingerprint and once by window:
 
 1. Every window of LENGTH bytes chooses its position of least 16-byte rank
    (leftmost of equals), so equal windows choose alike; about one position in 40 is chosen. The
