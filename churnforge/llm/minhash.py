@@ -126,7 +126,7 @@ def clusters(nodes: DataFrame) -> DataFrame:
 
 
 def linked(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """(node, smallest node of its group) of all others in groups linked at 100 * intersection >= percent * union."""
+    """(node, smallest node of its group) of all others in groups linked at 100 * intersection >= percent * union; sets of one node are one group."""
     size = np.array([len(s) for s in sets], dtype=np.int64)
     live = np.arange(len(sets))
     flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
@@ -146,6 +146,13 @@ def linked(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tupl
     begin = np.r_[0, np.cumsum(np.bincount(own, minlength=len(sets)))]  # flat is in order of owners
     root = np.arange(len(sets))
     members = {i: [i] for i in live.tolist()}
+    def join(x: int, y: int) -> None:
+        if root[y] != root[x]:
+            big, small = sorted((root[x], root[y]), key=lambda r: -len(members[r]))
+            for z in members.pop(small):
+                root[z] = big
+                members[big].append(z)
+
     main = -1
     for x in live[np.argsort(-shared[live], kind="stable")].tolist():
         if main >= 0 and root[x] == root[main]:
@@ -154,17 +161,16 @@ def linked(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tupl
         common = np.bincount(posting[ragged(at[codes], times[codes])], minlength=len(sets))
         near = np.flatnonzero(100 * common >= percent * (size + size[x] - common))
         for y in near.tolist():
-            if root[y] != root[x]:
-                big, small = sorted((root[x], root[y]), key=lambda r: -len(members[r]))
-                for z in members.pop(small):
-                    root[z] = big
-                    members[big].append(z)
+            join(x, y)
         if main < 0 and len(members[root[x]]) > 1:
             main = x
+    first: dict[int, int] = {}
+    for x in live.tolist():
+        join(first.setdefault(int(nodes[x]), x), x)
     out = []
     for group in members.values():
-        ids = nodes[group]
-        out += [(int(i), int(ids.min())) for i in ids if i != ids.min()]
+        ids = np.unique(nodes[group]).tolist()
+        out += [(i, ids[0]) for i in ids[1:]]
     return out
 
 
@@ -177,11 +183,11 @@ def confirm(docs: DataFrame, candidates: DataFrame, width: int, percent: int) ->
                 same = [i for i, (s, key) in enumerate(zip(sets, part.column(2).to_pylist())) if xxhash.xxh3_128_digest(s.tobytes()) == key]
                 if same:
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(k).take(pa.array(same)) for k in (0, 3, 4)] + [pa.array([sets[i].view(np.int64) for i in same], pa.list_(pa.int64()))],
-                        names=["node", "cluster", "parts", "shingles"])
+                        [part.column(k).take(pa.array(same)) for k in (0, 2, 3, 4)] + [pa.array([sets[i].view(np.int64) for i in same], pa.list_(pa.int64()))],
+                        names=["node", "set_key", "cluster", "parts", "shingles"])
 
     def decide(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        df = df.drop_duplicates("node")
+        df = df.drop_duplicates(["node", "set_key"])
         pairs = linked(df["node"].to_numpy(), [s.view(np.uint64) for s in df["shingles"]], percent)
         return pd.DataFrame(pairs, columns=["node", "root"], dtype="int64").assign(parts=key[3])
 
@@ -190,12 +196,12 @@ def confirm(docs: DataFrame, candidates: DataFrame, width: int, percent: int) ->
     if placed.count() <= BROADCAST_ROWS:
         placed = F.broadcast(placed)
     texts = docs.select("doc_id", "text").join(placed, "doc_id").select("doc_id", "text", "set_key", "cluster", "parts")
-    sets = texts.mapInArrow(reread, "node long, cluster long, parts long, shingles array<long>")
+    sets = texts.mapInArrow(reread, "node long, set_key binary, cluster long, parts long, shingles array<long>")
     # a part meets itself and every other part of its cluster
     part = F.pmod(F.xxhash64("node"), F.col("parts"))
     others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     spread = sets.withColumn("part", part).withColumn("other", others).select(
-        "node", "shingles", "cluster", "parts", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+        "node", "set_key", "shingles", "cluster", "parts", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
     return spread.groupBy("cluster", "i", "j", "parts").applyInPandas(decide, "node long, root long, parts long")
 
 

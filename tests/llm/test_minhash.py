@@ -91,3 +91,11 @@ def test_components(spark):
 
 def test_empty_table(spark, docs_of):
     assert minhash.near_duplicates(docs_of([(1, "a")]).limit(0)).count() == 0
+
+
+def test_both_texts_of_a_shared_doc_id_keep_their_links(spark, docs_of):
+    rng = random.Random(8)
+    one, two = ([f"w{rng.randrange(10 ** 6)}" for _ in range(80)] for _ in range(2))
+    rows = [(6, " ".join(one)), (6, " ".join(two)), (20, " ".join(one + ["x"])), (21, " ".join(two + ["y"])), (21, " ".join(two + ["y"]))]
+    got = minhash.near_duplicates(docs_of(rows), width=4, percent=80).collect()
+    assert len(got) == 5 and {r.component_id for r in got} == {6}
