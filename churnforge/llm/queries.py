@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from churnforge.llm import chat, content_sort, decontaminate, lang_crf, minhash, packing, suffix_dedup, template_tree, token_files, toxicity
+from churnforge.llm import bpe_automaton, chat, content_sort, decontaminate, lang_crf, minhash, packing, suffix_dedup, template_tree, token_files, toxicity
 from churnforge.llm.common import table
 from churnforge.llm.tokens import word_bpe
 
@@ -141,6 +141,18 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
   doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
 
+def digest_tokens(docs: DataFrame) -> DataFrame:
+    """Digests of the ids of every whole text and of the text decoded from them."""
+    decoded = bpe_automaton.decode(bpe_automaton.encode(docs, word_bpe()), word_bpe())
+    return decoded.select("doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"),
+                          F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode all documents by the tokenization automaton and decode them from its labels."""
+    return digest_tokens(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_token_files": op2_token_files,
@@ -152,5 +164,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_content_sort": op9_content_sort,
     "op10_circulant_minhash": op10_circulant_minhash,
+    "op12_bpe_automaton": op12_bpe_automaton,
 }
 ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op7_template_tree": OP7_SQL, "op9_content_sort": OP9_SQL}

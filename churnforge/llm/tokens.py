@@ -58,14 +58,18 @@ class Encoder:
         new = [p for p in distinct if p not in self.row]
         self.row.update(zip(new, range(len(self.row), len(self.row) + len(new))))
         for a in range(0, len(new), 20_000):
-            part = new[a:a + 20_000]
-            e = self.lean.encode(part, is_pretokenized=True, add_special_tokens=False)
-            self.flat.append(np.array(e.ids, dtype=np.int32))
-            self.size.append(np.bincount(np.array(e.word_ids, dtype=np.int64), minlength=len(part)))
+            ids, n = self._new_pieces(new[a:a + 20_000])
+            self.flat.append(ids)
+            self.size.append(n)
         flat, size = self._store()
         at = np.array([self.row[p] for p in distinct], dtype=np.int64)[coded.indices.to_numpy()]
         return flat[ragged((np.cumsum(size) - size)[at], size[at])], size[at]
 
+    def _new_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts) of distinct pieces."""
+        e = self.lean.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+        return np.array(e.ids, dtype=np.int32), np.bincount(np.array(e.word_ids, dtype=np.int64), minlength=len(pieces))
+
     def _plain(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts) of plain words without apostrophes."""
         apart = pc.replace_substring_regex(pc.utf8_lower(words), SIGNS, r" \1\2 ")
