@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from churnforge.llm import bpe_automaton, chat, content_sort, decontaminate, lang_crf, minhash, packing, suffix_dedup, template_tree, token_files, toxicity
+from churnforge.llm import bpe_automaton, chat, content_sort, conversation_repair, decontaminate, lang_crf, minhash, packing, suffix_dedup, template_tree, token_files, toxicity
 from churnforge.llm.common import table
 from churnforge.llm.tokens import word_bpe
 
@@ -153,6 +153,74 @@ def op12_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_tokens(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest repair of all conversations after the stated damage."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_repair.repair_summary(rows, conversation_repair.damage(rows))
+
+
+def _after(state: str, cost: str, letter: str, line: str | None = None) -> str:
+    """SQL of the cheapest rest from a state with one edit before it."""
+    lines = f"list_prepend({line}, {state}.lines)" if line else f"{state}.lines"
+    return f"{{'cost': {state}.cost + {cost}, 'audit': '{letter}' || {state}.audit, 'lines': {lines}}}"
+
+
+def _least(*options: str) -> str:
+    return f"list_sort(list_filter([{', '.join(options)}], lambda o: o IS NOT NULL))[1]"
+
+
+def _row(state: str, to: str, who: int, role: str) -> str:
+    """Deleting a row, or keeping or reroling it into the state ``to``."""
+    keep = f"CASE WHEN NOT gone AND who = {who} THEN {_after(to, 'short', 'K', 'line')} END"
+    rerole = f"CASE WHEN NOT gone THEN {_after(to, '2 + short', 'R', f"'{role}:' || text")} END"
+    system = [f"CASE WHEN NOT gone AND who = 0 THEN {_after('s', 'short', 'K', 'line')} END"] if state == "n" else []
+    return _least(_after(state, "3", "D"), keep, rerole, *system)
+
+
+# The crc32 of ASCII keys from its table of 256 entries; costs, audits and repaired lines from the last row to the first.
+OP13_SQL = f"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS step
+  FROM (SELECT unnest(range(256)) AS i)),
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ord(x) AS BIGINT)) AS key
+  FROM conversations),
+kinds AS (SELECT *, xor(list_reduce(list_prepend(4294967295, key), lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind FROM keyed, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS again
+  FROM kinds WHERE kind <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), again) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM damaged),
+marked AS (
+  SELECT *, CASE WHEN rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    left(role, 1) || lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS pair, lead(i) OVER (PARTITION BY conv_id ORDER BY i) AS next
+  FROM placed),
+rows AS (
+  SELECT conv_id, i, n, text, role || ':' || text AS line, fault IN ('blank', 'duplicate') AS gone, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS short,
+    CASE left(role, 1) WHEN 's' THEN 0 WHEN 'u' THEN 1 WHEN 'a' THEN 2 ELSE 3 END AS who FROM marked),
+costs AS (
+  SELECT conv_id, n + 1 AS i, {{'cost': 0, 'audit': '', 'lines': []::VARCHAR[]}} AS n, {{'cost': 4, 'audit': 'II', 'lines': ['user:', 'assistant:']}} AS s,
+    {{'cost': 2, 'audit': 'I', 'lines': ['assistant:']}} AS u, {{'cost': 0, 'audit': '', 'lines': []::VARCHAR[]}} AS a
+  FROM rows WHERE i = n
+  UNION ALL
+  SELECT conv_id, i, {_least('n', _after('u', '2', 'I', "'user:'"))}, {_least('s', _after('u', '2', 'I', "'user:'"))}, u, a FROM (
+    SELECT conv_id, i, n, s, {_least('u', _after('a', '2', 'I', "'assistant:'"))} AS u, {_least('a', _after('u', '2', 'I', "'user:'"))} AS a FROM (
+      SELECT r.conv_id, r.i, {_row('n', 'u', 1, 'user')} AS n, {_row('s', 'u', 1, 'user')} AS s, {_row('u', 'a', 2, 'assistant')} AS u, {_row('a', 'u', 1, 'user')} AS a
+      FROM (SELECT conv_id, i, text, line, gone, short, who FROM rows) AS r JOIN costs ON r.i = costs.i - 1 AND r.conv_id IS NOT DISTINCT FROM costs.conv_id))),
+repaired AS (SELECT conv_id, n.cost AS cost, n.audit AS audit, sha256(array_to_string(n.lines, chr(10))) AS repaired_sha256 FROM costs WHERE i = 1),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (next IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM marked GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS o LEFT JOIN counted AS c ON o.conv_id IS NOT DISTINCT FROM c.conv_id
+  LEFT JOIN repaired AS r ON o.conv_id IS NOT DISTINCT FROM r.conv_id"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_token_files": op2_token_files,
@@ -165,5 +233,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_content_sort": op9_content_sort,
     "op10_circulant_minhash": op10_circulant_minhash,
     "op12_bpe_automaton": op12_bpe_automaton,
+    "op13_conversation_repair": op13_conversation_repair,
 }
-ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op7_template_tree": OP7_SQL, "op9_content_sort": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op7_template_tree": OP7_SQL, "op9_content_sort": OP9_SQL,
+                              "op13_conversation_repair": OP13_SQL}
