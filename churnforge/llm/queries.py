@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from churnforge.llm import bpe_automaton, chat, content_sort, conversation_repair, decontaminate, lang_crf, minhash, packing, suffix_dedup, template_tree, token_files, toxicity
+from churnforge.llm import bpe_automaton, chat, content_sort, conversation_repair, decontaminate, lang_crf, lexical_search, minhash, packing, suffix_dedup, template_tree, token_files, toxicity
 from churnforge.llm.common import table
 from churnforge.llm.tokens import word_bpe
 
@@ -141,6 +141,31 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
   doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
 
+def op11_best_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest-scoring of all documents for every test item."""
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+OP11_SQL = r"""
+WITH words AS (
+  SELECT row, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS row, doc_id, text FROM documents)),
+docs AS (SELECT row, doc_id, count(*) AS n FROM words GROUP BY row, doc_id),
+stats AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM docs),
+lengths AS (SELECT row, doc_id, 75 + (25 * n * docs) // terms AS m FROM docs, stats),
+counts AS (SELECT row, term, count(*) AS tf FROM words GROUP BY row, term),
+weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM counts GROUP BY term), stats),
+items AS (SELECT row_number() OVER () AS query, item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)),
+asked AS (
+  SELECT query, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM items),
+scores AS (
+  SELECT query, item_id, row, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN counts USING (term) JOIN lengths USING (row) GROUP BY query, item_id, row, doc_id),
+ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 20"""
+
+
 def digest_tokens(docs: DataFrame) -> DataFrame:
     """Digests of the ids of every whole text and of the text decoded from them."""
     decoded = bpe_automaton.decode(bpe_automaton.encode(docs, word_bpe()), word_bpe())
@@ -232,8 +257,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_content_sort": op9_content_sort,
     "op10_circulant_minhash": op10_circulant_minhash,
+    "op11_best_position": op11_best_position,
     "op12_bpe_automaton": op12_bpe_automaton,
     "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op7_template_tree": OP7_SQL, "op9_content_sort": OP9_SQL,
-                              "op13_conversation_repair": OP13_SQL}
+                              "op11_best_position": OP11_SQL, "op13_conversation_repair": OP13_SQL}
