@@ -17,7 +17,7 @@ from pyspark.sql.types import NumericType
 from churnforge.functions import exprs as X
 from churnforge.operators import clean as C
 from churnforge.operators.quality import correlation_frame
-from churnforge.operators.stats import exact_quantiles, value_counts_long
+from churnforge.operators.stats import exact_quantiles, exact_sums, value_counts_long
 
 
 def _q(c: str) -> F.Column:
@@ -59,7 +59,11 @@ def missing_by_column(df: DataFrame) -> DataFrame:
 
 
 def describe_all(df: DataFrame) -> DataFrame:
-    """Every column: count/mean/std/min/quartiles/max for numbers, count/unique/top/freq and least/greatest for all other types."""
+    """Every column: count/mean/std/min/quartiles/max for numbers, count/unique/top/freq and least/greatest for all other types.
+
+    Means and deviations come from sums that do not depend on the order of addition; an infinite value
+    makes both null.
+    """
     spark = df.sparkSession
     types = {f.name: f.dataType for f in df.schema.fields}
     nums = [c for c in df.columns if isinstance(types[c], NumericType)]
@@ -69,11 +73,11 @@ def describe_all(df: DataFrame) -> DataFrame:
         v = X.nan_to_null(_q(c).cast("double")) if c in nums else _q(c)
         aggs.append(F.count(v).alias(f"n{i}"))
         if c in nums:
-            aggs += [F.avg(v).alias(f"mean{i}"), F.stddev_samp(v).alias(f"std{i}"),
-                     F.min(v).alias(f"min{i}"), F.max(v).alias(f"max{i}")]
+            aggs += [F.min(v).alias(f"min{i}"), F.max(v).alias(f"max{i}")]
         else:
             aggs += [F.min(v.cast("string")).alias(f"min{i}"), F.max(v.cast("string")).alias(f"max{i}")]
     row = df.agg(*aggs).first()
+    mean, std = _moments(df, {c: (row[f"n{i}"], row[f"min{i}"], row[f"max{i}"]) for i, c in enumerate(df.columns) if c in nums})
     quarts = {}
     for r in exact_quantiles(df, nums, [0.25, 0.5, 0.75]).collect() if nums else []:
         quarts[(r["column"], r["prob"])] = r["quantile"]
@@ -87,7 +91,7 @@ def describe_all(df: DataFrame) -> DataFrame:
     out = []
     for i, c in enumerate(df.columns):
         if c in nums:
-            out.append((c, row[f"n{i}"], None, None, None, row[f"mean{i}"], row[f"std{i}"], row[f"min{i}"],
+            out.append((c, row[f"n{i}"], None, None, None, mean.get(c), std.get(c), row[f"min{i}"],
                         quarts.get((c, 0.25)), quarts.get((c, 0.5)), quarts.get((c, 0.75)), row[f"max{i}"], None, None))
         else:
             out.append((c, row[f"n{i}"], *tops.get(c, (0, None, None)), *[None] * 7, row[f"min{i}"], row[f"max{i}"]))
@@ -96,6 +100,18 @@ def describe_all(df: DataFrame) -> DataFrame:
                                       "max double, least string, greatest string")
 
 
+def _moments(df: DataFrame, known: dict[str, tuple]) -> tuple[dict[str, float], dict[str, float]]:
+    """Means and sample deviations of columns with known (count, least, greatest): one pass for the sums, one for the squares about the mean."""
+    known = {c: k for c, k in known.items() if k[0] and math.isfinite(k[1]) and math.isfinite(k[2])}
+    value = {c: X.nan_to_null(_q(c).cast("double")) for c in known}
+    sums = exact_sums(df, value, {c: max(abs(lo), abs(hi)) for c, (_, lo, hi) in known.items()})
+    mean = {c: sums[c] / n for c, (n, _, _) in known.items()}
+    far = {c: max(hi - mean[c], mean[c] - lo) for c, (_, lo, hi) in known.items()}
+    squares = {c: (value[c] - F.lit(mean[c])) * (value[c] - F.lit(mean[c])) for c in known}
+    total = exact_sums(df, squares, {c: far[c] * far[c] * (1 + 1e-9) for c in known})
+    return mean, {c: math.sqrt(total[c] / (n - 1)) for c, (n, _, _) in known.items() if n > 1}
+
+
 def analysable_numeric(df: DataFrame) -> DataFrame:
     """Numeric columns plus text columns that parse as numbers for > 75% of rows."""
     repaired, _ = C.repair_types(C.blank_to_null(df), exempt=())

@@ -6,6 +6,7 @@
   two partial aggregates (constant-size buffers, skew-safe).
 * ``running_sum`` – distributed prefix sum: range-partition, running sums per
   slice, plus offsets of the preceding slices from a slice-sized table.
+* ``exact_sums`` – sums of doubles with the same bits under any partitioning.
 * ``exact_quantiles`` – linear-interpolation quantiles (pandas/NumPy default) by
   counting selection; no value is shuffled or sorted.
 * ``hash_unit`` – stable pseudo-random number in [0, 100) from a key (splits).
@@ -97,6 +98,40 @@ def running_sum(df: DataFrame, order_col: str, value_cols: list[str], group_cols
     return out
 
 
+DIGIT_BITS, DIGITS = 20, 5
+
+
+def exact_sums(df: DataFrame, values: dict[str, Column], greatest: dict[str, float]) -> dict[str, float]:
+    """Sums of doubles that do not depend on the order of addition, in one aggregate.
+
+    With ``greatest`` (the largest absolute value of each) as the scale, a value is cut into ``DIGITS`` integers of
+    ``DIGIT_BITS`` bits, largest first. Sums of integers are exact, so any partitioning gives the same bits; they hold for
+    2**43 rows (more raise). A bit smaller than 2**-100 of the greatest value is cut off. Nulls do not count; values must be
+    finite. The digits' sums are added from the smallest upwards.
+    """
+    units, aggs = {}, []
+    for i, (name, value) in enumerate(values.items()):
+        most = greatest.get(name) or 0.0
+        if not most:
+            continue
+        # a power of two above all values, kept where all units are normal numbers
+        top = max(math.frexp(most)[1], -900)
+        units[name] = [math.ldexp(1.0, top - DIGIT_BITS * (k + 1)) for k in range(DIGITS)]
+        rest = value
+        for k, unit in enumerate(units[name]):
+            digit = (rest / F.lit(unit)).cast("bigint")
+            aggs.append(F.sum(digit).alias(f"d{i}_{k}"))
+            rest = rest - digit * F.lit(unit)
+    row = df.agg(*aggs).first() if aggs else None
+    out = {}
+    for i, name in enumerate(values):
+        total = 0.0
+        for k in reversed(range(DIGITS if name in units else 0)):
+            total = float(row[f"d{i}_{k}"] or 0) * units[name][k] + total
+        out[name] = total
+    return out
+
+
 BUCKETS = 4096
 FEW_VALUES = 5000
 

@@ -37,6 +37,19 @@ def missing_sql(prefix: str, src: str, kinds) -> str:
     return prefix + " UNION ALL ".join(parts)
 
 
+def exact_mean(v: str, src: str) -> str:
+    """Mean from five integer digits of 20 bits of every value, so that the order of addition has no part in it."""
+    unit = [f"(top * {2.0 ** (-20 * (k + 1))!r})" for k in range(5)]
+    inner, digits = f"SELECT {v} AS r0, top FROM {src}, (SELECT pow(2, floor(log2(max(abs({v})))) + 1) AS top FROM {src})", []
+    for k in range(5):
+        inner = f"SELECT *, r{k} - d{k} * {unit[k]} AS r{k + 1} FROM (SELECT *, CAST(trunc(r{k} / {unit[k]}) AS BIGINT) AS d{k} FROM ({inner}))"
+        digits.append(f"CAST(sum(d{k}) AS DOUBLE) * any_value({unit[k]})")
+    total = digits[4]
+    for d in reversed(digits[:4]):
+        total = f"({d} + ({total}))"
+    return f"(SELECT CASE WHEN max(abs(r0)) = 0 THEN 0e0 ELSE {total} / count(r0) END FROM ({inner}))"
+
+
 def describe_sql(prefix: str, src: str, kinds) -> str:
     parts = []
     for c, k in kinds:
@@ -44,7 +57,7 @@ def describe_sql(prefix: str, src: str, kinds) -> str:
             v = f"CASE WHEN isnan(CAST({c} AS DOUBLE)) THEN NULL ELSE CAST({c} AS DOUBLE) END"
             parts.append(
                 f"SELECT '{c}' AS \"column\", count({v}) AS count, CAST(NULL AS BIGINT) AS \"unique\", CAST(NULL AS VARCHAR) AS top, "
-                f"CAST(NULL AS BIGINT) AS freq, CAST(NULL AS VARCHAR) AS \"least\", CAST(NULL AS VARCHAR) AS \"greatest\", round(avg({v}), 6) AS mean, round(stddev_samp({v}), 6) AS std, "
+                f"CAST(NULL AS BIGINT) AS freq, CAST(NULL AS VARCHAR) AS \"least\", CAST(NULL AS VARCHAR) AS \"greatest\", {exact_mean(v, src)} AS mean, round(stddev_samp({v}), 6) AS std, "
                 f"round(min({v}), 6) AS min, round(quantile_cont({v}, 0.25), 6) AS q1, round(quantile_cont({v}, 0.5), 6) AS median, "
                 f"round(quantile_cont({v}, 0.75), 6) AS q3, round(max({v}), 6) AS max FROM {src}")
         else:
