@@ -43,6 +43,15 @@ ORACLE = {
         SELECT round(CASE WHEN (SELECT k FROM gd) > 1 AND (SELECT k FROM gd) < (SELECT rows_n FROM gd) THEN
           avg(CASE WHEN n_own = 1 THEN 0e0 WHEN a < b THEN 1 - a / b WHEN a > b THEN b / a - 1 ELSE 0e0 END) END, 6)
           AS Silhouette_Squared_Euclidean FROM ps""",
+    "silhouette_euclidean": PTS_CTES + """
+        , up AS (SELECT x, y, Cluster, count(*) AS w FROM pt GROUP BY x, y, Cluster),
+        dd AS (SELECT p.x, p.y, p.Cluster AS own, any_value(p.w) AS w, o.Cluster AS other, sum(o.w * sqrt(pow(p.x - o.x, 2) + pow(p.y - o.y, 2))) AS total, sum(o.w) AS n
+               FROM up p CROSS JOIN up o GROUP BY p.x, p.y, p.Cluster, o.Cluster),
+        ab AS (SELECT any_value(w) AS w, max(CASE WHEN own = other THEN n END) AS n_own, max(CASE WHEN own = other AND n > 1 THEN total / (n - 1) END) AS a,
+               min(CASE WHEN own <> other THEN total / n END) AS b FROM dd GROUP BY x, y, own)
+        SELECT round(CASE WHEN (SELECT k FROM gd) > 1 AND (SELECT k FROM gd) < (SELECT rows_n FROM gd) THEN
+          sum(w * CASE WHEN n_own = 1 OR greatest(a, b) = 0 THEN 0e0 ELSE (b - a) / greatest(a, b) END) / sum(w) END, 3) AS Silhouette_Euclidean,
+          true AS Bound_Holds FROM ab""",
     "davies_bouldin": PTS_CTES + """
         , sc AS (SELECT pt.Cluster, avg(sqrt(pow(x - cx, 2) + pow(y - cy, 2))) AS s FROM pt JOIN ce USING (Cluster) GROUP BY pt.Cluster),
         cs AS (SELECT * FROM ce JOIN sc USING (Cluster)),

@@ -9,6 +9,7 @@ from churnforge.operators import business as B
 from churnforge.operators import dbscan as DB
 from churnforge.operators import features as FE
 from churnforge.operators import segment as SG
+from churnforge.operators import silhouette as SIL
 from churnforge.plans.catalog import query
 from churnforge.sources import fixtures
 
@@ -85,6 +86,27 @@ def q_silhouette_kmeans(spark, sf):
     return SG.silhouette_squared(_fit(spark, sf).points, PTS, "Cluster")
 
 
+def _euclidean(points, cols, label):
+    """The silhouette to three digits and whether its proven bound meets the tolerance."""
+    found = SIL.silhouette_euclidean(points, cols, label, tolerance=1e-4)
+    return found.select(F.round("Silhouette_Euclidean", 3).alias("Silhouette_Euclidean"), (F.col("Error_Bound") <= 1e-4).alias("Bound_Holds"))
+
+
+@query("silhouette_euclidean")
+def q_silhouette_euclidean(spark, sf):
+    return _euclidean(_scored_points(spark, sf), ["tenure", "MonthlyCharges"], "Cluster")
+
+
+@query("silhouette_kmeans_euclidean")
+def q_silhouette_kmeans_euclidean(spark, sf):
+    return _euclidean(_fit(spark, sf).points, PTS, "Cluster")
+
+
+@query("dbscan_silhouette_euclidean")
+def q_dbscan_silhouette_euclidean(spark, sf):
+    return _euclidean(DB.dbscan(_points(spark, sf)), PTS, "DBSCAN_Cluster")
+
+
 @query("davies_bouldin")
 def q_davies_bouldin(spark, sf):
     return SG.davies_bouldin(_scored_points(spark, sf), ["tenure", "MonthlyCharges"], "Cluster")
