@@ -5,25 +5,25 @@ mutual neighbours:
 
 1. identical coordinates are collapsed (weight = multiplicity);
 2. a cell holding ≥ min_samples points is all-core with no pair test; for a
-   point of a sparse cell, each of the 25 surrounding cells counts in full when
-   its bounding box lies inside the eps-disc and not at all when it is out of
-   reach; "partial" cells are refined into 8×8 sub-cells the same way, and
-   point pairs are formed only in boundary sub-cells and only while the
-   full-coverage count is still below min_samples;
+   point of a sparse cell the surrounding cells are opened as a quadtree: a box inside
+   the eps-disc counts in full, one out of reach not at all, and the others are opened
+   while the count is still below min_samples;
 3. two core cells are linked when some pair of their core points is within eps:
-   first tested on 8 extreme points per cell (min/max of x, y, x+y, x−y), then
-   bounding boxes rule pairs out, and only undecided cell pairs are checked
-   exactly on the points near the facing edges;
+   first tested on 8 extreme points per cell (min/max of x, y, x+y, x−y); then the trees of
+   both cells are descended together. A pair of boxes that lie within eps of one another at their farthest
+   links the cells, one out of reach falls out, the others have one side opened, in turns;
+   a cell pair is done with its first link;
 4. connected components of the core-cell graph by min-label propagation with
    pointer jumping, checkpointed each round to the shared checkpoint folder;
 5. a border point takes the smallest label among core cells that have a core
    point within eps (the reference's first-visited rule is order dependent);
-   points with none are noise (-1).
+   found by the same descent. Points with none are noise (-1), and so are points
+   with a null, NaN or infinite coordinate.
 
-No task ever receives all pairs of a dense region: dense cells never produce
-pairs, a sparse point next to a dense cell is usually settled by whole
-sub-cells, and pair work is limited to boundary sub-cells of sparse
-neighbourhoods and to cell pairs the extreme points and boxes leave undecided.
+A box is the bounds of its points, so a box of one place is decided exactly and every
+descent ends. Trees grow ``STEP`` levels at a time and only below cells that are still
+open; no pairs of points are formed. Points meet labels by their cell, never by their
+component; cells, whose number the extent of the data bounds and not its rows, meet components.
 """
 
 from __future__ import annotations
@@ -34,7 +34,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SHIFT = 4294967296  # cell id = cx · 2^32 + cy
-SUB = 8             # sub-cells per cell side (second-level grid)
+STEP = 3            # levels that a descent goes down at a time: at most 8 × 8 boxes below a box
+DEEPEST = 48        # at this level a box is a point up to the rounding of doubles
 
 
 def _cell_id(cx: str = "cx", cy: str = "cy") -> F.Column:
@@ -61,165 +62,196 @@ def _d2(ax, ay, bx, by) -> F.Column:
     return F.pow(ax - bx, 2) + F.pow(ay - by, 2)
 
 
-def _box_min_d2(px, py, lox, hix, loy, hiy) -> F.Column:
-    dx = F.greatest(lox - px, F.lit(0.0), px - hix)
-    dy = F.greatest(loy - py, F.lit(0.0), py - hiy)
+BOX = ("lox", "hix", "loy", "hiy")
+
+
+def _near2(a: str = "", b: str = "o_") -> F.Column:
+    """Least squared distance of two boxes; columns of the boxes begin with ``a`` and ``b``."""
+    c = lambda p, n: F.col(p + n)
+    dx = F.greatest(c(b, "lox") - c(a, "hix"), c(a, "lox") - c(b, "hix"), F.lit(0.0))
+    dy = F.greatest(c(b, "loy") - c(a, "hiy"), c(a, "loy") - c(b, "hiy"), F.lit(0.0))
     return dx * dx + dy * dy
 
 
-def _box_max_d2(px, py, lox, hix, loy, hiy) -> F.Column:
-    dx = F.greatest(F.abs(px - lox), F.abs(px - hix))
-    dy = F.greatest(F.abs(py - loy), F.abs(py - hiy))
+def _far2(a: str = "", b: str = "o_") -> F.Column:
+    """Greatest squared distance of two boxes."""
+    c = lambda p, n: F.col(p + n)
+    dx = F.greatest(c(b, "hix") - c(a, "lox"), c(a, "hix") - c(b, "lox"))
+    dy = F.greatest(c(b, "hiy") - c(a, "loy"), c(a, "hiy") - c(b, "loy"))
     return dx * dx + dy * dy
 
 
+def _as_box(x: str = "x", y: str = "y") -> list[F.Column]:
+    """A point as the box that holds it."""
+    return [F.col(x).alias("lox"), F.col(x).alias("hix"), F.col(y).alias("loy"), F.col(y).alias("hiy")]
+
+
+class _Trees:
+    """Quadtrees of cells: the boxes of a level below the cells asked for."""
+
+    def __init__(self, points: DataFrame, side: float):
+        self.points, self.side = points, side
+
+    def _at(self, c: str, base: str, level: int) -> F.Column:
+        scale = 2 ** level
+        inside = F.floor((F.col(c) - F.col(base) * F.lit(self.side)) / F.lit(self.side) * F.lit(float(scale)))
+        return F.greatest(F.lit(0), F.least(inside, F.lit(scale - 1))).cast("bigint")
+
+    def boxes(self, cells: DataFrame, level: int) -> DataFrame:
+        """o_cell, box numbers qx, qy of the level, their parents px, py, weight o_n and bounds o_lox to o_hiy."""
+        at = self.points.join(cells.select(F.col("o_cell").alias("cell")).distinct(), "cell", "left_semi")
+        if level < DEEPEST:
+            at = at.select("*", self._at("x", "cx", level).alias("qx"), self._at("y", "cy", level).alias("qy"))
+        else:  # one box for each place
+            at = at.select("*", F.col("x").alias("qx"), F.col("y").alias("qy"))
+        up = level - STEP
+        return at.groupBy(F.col("cell").alias("o_cell"), "qx", "qy").agg(
+            F.sum("w").alias("o_n"), F.min("x").alias("o_lox"), F.max("x").alias("o_hix"), F.min("y").alias("o_loy"), F.max("y").alias("o_hiy"),
+            F.min(self._at("x", "cx", up)).alias("px"), F.min(self._at("y", "cy", up)).alias("py"))
+
+    def open(self, pairs: DataFrame, level: int) -> DataFrame:
+        """Pairs with the box (o_cell, px, py) replaced by each of its boxes of the next level, named (o_cell, qx, qy)."""
+        return pairs.drop("o_n", *[f"o_{c}" for c in BOX]).join(self.boxes(pairs, level), ["o_cell", "px", "py"]).drop("px", "py")
+
+
+def _roots(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumn("px", F.lit(0).cast("bigint")).withColumn("py", F.lit(0).cast("bigint"))
+
+
+def _next(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumnRenamed("qx", "px").withColumnRenamed("qy", "py")
+
+
+def _count_near(points: DataFrame, cells: DataFrame, trees: _Trees, e2: float, enough: int) -> DataFrame:
+    """(x, y) of the points that have at least ``enough`` weight within eps."""
+    pairs = (_with_offsets(points).withColumn("ncx", F.col("cx") + F.col("dx")).withColumn("ncy", F.col("cy") + F.col("dy"))
+             .select("x", "y", "ncx", "ncy", *_as_box()).join(cells, ["ncx", "ncy"]).drop("ncx", "ncy"))
+    pairs = _roots(pairs).where(_near2() <= e2).checkpoint(eager=True)
+    known, done, level = None, None, 0
+    while True:
+        # what is whole inside counts; a point with enough leaves the descent
+        whole = pairs.where(_far2() <= e2).groupBy("x", "y").agg(F.sum("o_n").alias("k"))
+        known = whole if known is None else known.unionByName(whole).groupBy("x", "y").agg(F.sum("k").alias("k"))
+        known = known.checkpoint(eager=True)
+        rich = known.where(F.col("k") >= enough).select("x", "y")
+        open_ = pairs.where(_far2() > e2).join(rich, ["x", "y"], "left_anti")
+        if open_.isEmpty() or level >= DEEPEST:
+            return rich
+        level += STEP
+        pairs = _next(trees.open(open_, level)).where(_near2() <= e2).checkpoint(eager=True)
+
+
+def _any_near(pairs: DataFrame, keys: list[str], trees: _Trees, e2: float) -> DataFrame:
+    """``keys`` of the points that have a point of the cell ``o_cell`` within eps."""
+    pairs, found, level = _roots(pairs).where(_near2() <= e2).checkpoint(eager=True), [], 0
+    while True:
+        hit = pairs.where(_far2() <= e2).select(*keys).distinct().checkpoint(eager=True)
+        found.append(hit)
+        open_ = pairs.where(_far2() > e2).join(hit, keys, "left_anti")
+        if open_.isEmpty() or level >= DEEPEST:
+            break
+        level += STEP
+        pairs = _next(trees.open(open_, level)).where(_near2() <= e2).checkpoint(eager=True)
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def _linked(pairs: DataFrame, trees: _Trees, e2: float) -> DataFrame:
+    """(ca, cb) of the cell pairs with a pair of points within eps; both trees are opened, in turns."""
+    keys, found, levels = ["ca", "cb"], [], [0, 0]
+    own, other = ["cell", "ax", "ay", *BOX], ["o_cell", "px", "py", *[f"o_{c}" for c in BOX]]
+    pairs = _roots(pairs).withColumn("ax", F.lit(0).cast("bigint")).withColumn("ay", F.lit(0).cast("bigint"))
+    turn = 0
+    while True:
+        pairs = pairs.where(_near2() <= e2).checkpoint(eager=True)
+        hit = pairs.where(_far2() <= e2).select(*keys).distinct().checkpoint(eager=True)
+        found.append(hit)
+        open_ = pairs.where(_far2() > e2).join(hit, keys, "left_anti")
+        if min(levels) >= DEEPEST or open_.isEmpty():
+            break
+        levels[turn] += STEP
+        pairs = _next(trees.open(open_, levels[turn]).drop("o_n"))
+        # the sides change places, so that the next turn opens the other one
+        pairs = pairs.select(*keys, *[F.col(b).alias(a) for a, b in zip(own, other)], *[F.col(a).alias(b) for a, b in zip(own, other)])
+        turn = 1 - turn
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def dbscan(df: DataFrame, x: str = "PC1", y: str = "PC2", key: str = "customerID", eps: float = 0.2,
            min_samples: int = 3, label: str = "DBSCAN_Cluster") -> DataFrame:
-    """(key, x, y, label, is_core) for every row; noise = -1."""
+    """(key, x, y, label, is_core) for every row; noise = -1, also where a coordinate is null, NaN or infinite."""
     e2 = eps * eps
     side = eps / math.sqrt(2.0)
     pts = df.select(F.col(key).alias("_key"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    uniq = (pts.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w"), F.min("_key").alias("_rep"))
+    finite = lambda c: F.abs(F.col(c)) <= F.lit(1.7976931348623157e308)
+    uniq = (pts.where(finite("x") & finite("y")).groupBy("x", "y").agg(F.count(F.lit(1)).alias("w"), F.min("_key").alias("_rep"))
             .withColumn("cx", F.floor(F.col("x") / side)).withColumn("cy", F.floor(F.col("y") / side))
             .withColumn("cell", _cell_id()))
     uniq = uniq.checkpoint(eager=True)
-    cells = uniq.groupBy("cell", "cx", "cy").agg(
-        F.sum("w").alias("n"), F.min("x").alias("lox"), F.max("x").alias("hix"),
-        F.min("y").alias("loy"), F.max("y").alias("hiy"))
-    cells = cells.checkpoint(eager=True)
+    bounds = [F.min("x").alias("lox"), F.max("x").alias("hix"), F.min("y").alias("loy"), F.max("y").alias("hiy")]
+    cells = uniq.groupBy("cell", "cx", "cy").agg(F.sum("w").alias("n"), *bounds).checkpoint(eager=True)
 
     # --- 2. core points ------------------------------------------------------------------
-    # second-level grid: SUB×SUB sub-cells per cell with counts and bounding boxes
-    sub_side = side / SUB
-    subs = (uniq.withColumn("sx", F.least(F.floor((F.col("x") - F.col("cx") * side) / sub_side), F.lit(SUB - 1)))
-            .withColumn("sy", F.least(F.floor((F.col("y") - F.col("cy") * side) / sub_side), F.lit(SUB - 1)))
-            .groupBy("cell", "sx", "sy").agg(F.sum("w").alias("sn"), F.min("x").alias("slox"),
-                                             F.max("x").alias("shix"), F.min("y").alias("sloy"),
-                                             F.max("y").alias("shiy")))
-    subs = subs.checkpoint(eager=True)
+    around = cells.select(F.col("cx").alias("ncx"), F.col("cy").alias("ncy"), F.col("cell").alias("o_cell"), F.col("n").alias("o_n"), *[F.col(c).alias(f"o_{c}") for c in BOX])
     sparse = uniq.join(cells.select("cell", "n").filter(F.col("n") < min_samples), "cell").drop("n")
-    nb = cells.select(F.col("cx").alias("ncx"), F.col("cy").alias("ncy"), F.col("cell").alias("ncell"),
-                      F.col("n").alias("nn"), "lox", "hix", "loy", "hiy")
-    cand = (_with_offsets(sparse)
-            .withColumn("ncx", F.col("cx") + F.col("dx")).withColumn("ncy", F.col("cy") + F.col("dy"))
-            .join(nb, ["ncx", "ncy"]))
-    px, py = F.col("x"), F.col("y")
-    cand = (cand.withColumn("_max", _box_max_d2(px, py, F.col("lox"), F.col("hix"), F.col("loy"), F.col("hiy")))
-            .withColumn("_min", _box_min_d2(px, py, F.col("lox"), F.col("hix"), F.col("loy"), F.col("hiy"))))
-    full = cand.filter(F.col("_max") <= e2).groupBy("x", "y").agg(F.sum("nn").alias("_full"))
-    partial = cand.filter((F.col("_max") > e2) & (F.col("_min") <= e2)).select("x", "y", "ncell")
-    # partial cells: classify their sub-cells the same way
-    sub_nb = subs.select(F.col("cell").alias("ncell"), "sx", "sy", "sn", "slox", "shix", "sloy", "shiy")
-    psub = (partial.join(sub_nb, "ncell")
-            .withColumn("_smax", _box_max_d2(px, py, F.col("slox"), F.col("shix"), F.col("sloy"), F.col("shiy")))
-            .withColumn("_smin", _box_min_d2(px, py, F.col("slox"), F.col("shix"), F.col("sloy"), F.col("shiy"))))
-    sub_full = psub.filter(F.col("_smax") <= e2).groupBy("x", "y").agg(F.sum("sn").alias("_sfull"))
-    bound = (sparse.select("x", "y", "w").join(full, ["x", "y"], "left").join(sub_full, ["x", "y"], "left")
-             .select("x", "y", (F.coalesce("_full", F.lit(0)) + F.coalesce("_sfull", F.lit(0))).alias("_lb")))
-    # exact pairs only where the full-coverage lower bound falls short of min_samples
-    short = bound.filter(F.col("_lb") < min_samples).select("x", "y")
-    open_subs = (psub.filter((F.col("_smax") > e2) & (F.col("_smin") <= e2))
-                 .join(short, ["x", "y"]).select("x", "y", "ncell", "sx", "sy"))
-    others = (uniq.withColumn("sx", F.least(F.floor((F.col("x") - F.col("cx") * side) / sub_side), F.lit(SUB - 1)))
-              .withColumn("sy", F.least(F.floor((F.col("y") - F.col("cy") * side) / sub_side), F.lit(SUB - 1)))
-              .select(F.col("cell").alias("ncell"), "sx", "sy", F.col("x").alias("qx"), F.col("y").alias("qy"),
-                      F.col("w").alias("qw")))
-    part_cnt = (open_subs.join(others, ["ncell", "sx", "sy"])
-                .filter(_d2(F.col("x"), F.col("y"), F.col("qx"), F.col("qy")) <= e2)
-                .groupBy("x", "y").agg(F.sum("qw").alias("_part")))
-    sparse_core = (bound.join(part_cnt, ["x", "y"], "left")
-                   .select("x", "y", ((F.col("_lb") + F.coalesce("_part", F.lit(0))) >= min_samples).alias("_sc")))
+    sparse_core = _count_near(sparse, around, _Trees(uniq, side), e2, min_samples).withColumn("_sc", F.lit(True))
     labelled = (uniq.join(cells.select("cell", "n"), "cell")
                 .join(sparse_core, ["x", "y"], "left")
                 .withColumn("is_core", (F.col("n") >= min_samples) | F.coalesce(F.col("_sc"), F.lit(False)))
-                .drop("_sc"))
-    labelled = labelled.checkpoint(eager=True)
-    core = labelled.filter("is_core").select("cell", "cx", "cy", "x", "y")
+                .drop("_sc", "n").checkpoint(eager=True))
+    core = labelled.filter("is_core")
+    trees = _Trees(core, side)
 
     # --- 3. links between core cells ---------------------------------------------------------
-    pt = lambda c: F.struct(F.col("x").alias("x"), F.col("y").alias("y"))
+    pt = F.struct(F.col("x").alias("x"), F.col("y").alias("y"))
     ccell = core.groupBy("cell", "cx", "cy").agg(
-        F.min("x").alias("lox"), F.max("x").alias("hix"), F.min("y").alias("loy"), F.max("y").alias("hiy"),
-        F.array(F.min_by(pt(0), "x"), F.max_by(pt(0), "x"), F.min_by(pt(0), "y"), F.max_by(pt(0), "y"),
-                F.min_by(pt(0), F.col("x") + F.col("y")), F.max_by(pt(0), F.col("x") + F.col("y")),
-                F.min_by(pt(0), F.col("x") - F.col("y")), F.max_by(pt(0), F.col("x") - F.col("y"))).alias("reps"))
+        *bounds, F.min("_rep").alias("_rep"),
+        F.array(F.min_by(pt, "x"), F.max_by(pt, "x"), F.min_by(pt, "y"), F.max_by(pt, "y"),
+                F.min_by(pt, F.col("x") + F.col("y")), F.max_by(pt, F.col("x") + F.col("y")),
+                F.min_by(pt, F.col("x") - F.col("y")), F.max_by(pt, F.col("x") - F.col("y"))).alias("reps"))
     ccell = ccell.checkpoint(eager=True)
-    a = ccell.select(*[F.col(c).alias("a_" + c) for c in ccell.columns])
-    b = ccell.select(*[F.col(c).alias("b_" + c) for c in ccell.columns])
-    pairs = (_with_offsets(a, half=True)
-             .join(b, (F.col("b_cx") == F.col("a_cx") + F.col("dx")) & (F.col("b_cy") == F.col("a_cy") + F.col("dy"))))
-    rep_hit = F.exists("a_reps", lambda p: F.exists("b_reps", lambda q: _d2(p["x"], p["y"], q["x"], q["y"]) <= e2))
-    bdx = F.greatest(F.col("a_lox") - F.col("b_hix"), F.col("b_lox") - F.col("a_hix"), F.lit(0.0))
-    bdy = F.greatest(F.col("a_loy") - F.col("b_hiy"), F.col("b_loy") - F.col("a_hiy"), F.lit(0.0))
-    pairs = pairs.select(F.col("a_cell").alias("ca"), F.col("b_cell").alias("cb"),
-                         rep_hit.alias("_hit"), (bdx * bdx + bdy * bdy > e2).alias("_far"),
-                         "a_lox", "a_hix", "a_loy", "a_hiy", "b_lox", "b_hix", "b_loy", "b_hiy")
+    other = ccell.drop("_rep").select(*[F.col(c).alias("o_" + c) for c in ccell.columns if c != "_rep"])
+    pairs = (_with_offsets(ccell.drop("_rep"), half=True)
+             .join(other, (F.col("o_cx") == F.col("cx") + F.col("dx")) & (F.col("o_cy") == F.col("cy") + F.col("dy")))
+             .where(_near2() <= e2)
+             .select(F.col("cell").alias("ca"), F.col("o_cell").alias("cb"), "cell", "o_cell", *BOX, *[f"o_{c}" for c in BOX],
+                     F.exists("reps", lambda p: F.exists("o_reps", lambda q: _d2(p["x"], p["y"], q["x"], q["y"]) <= e2)).alias("_hit")))
     pairs = pairs.checkpoint(eager=True)
-    sure = pairs.filter("_hit").select("ca", "cb")
-    open_ = pairs.filter(~F.col("_hit") & ~F.col("_far"))
-    ca_pts = (open_.join(core.select(F.col("cell").alias("ca"), F.col("x").alias("ax"), F.col("y").alias("ay")), "ca")
-              .filter(_box_min_d2(F.col("ax"), F.col("ay"), F.col("b_lox"), F.col("b_hix"), F.col("b_loy"),
-                                  F.col("b_hiy")) <= e2)
-              .select("ca", "cb", "ax", "ay"))
-    cb_pts = (open_.select("ca", "cb", "a_lox", "a_hix", "a_loy", "a_hiy")
-              .join(core.select(F.col("cell").alias("cb"), F.col("x").alias("bx"), F.col("y").alias("by")), "cb")
-              .filter(_box_min_d2(F.col("bx"), F.col("by"), F.col("a_lox"), F.col("a_hix"), F.col("a_loy"),
-                                  F.col("a_hiy")) <= e2)
-              .select("ca", "cb", "bx", "by"))
-    exact = (ca_pts.join(cb_pts, ["ca", "cb"])
-             .filter(_d2(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) <= e2)
-             .select("ca", "cb").distinct())
-    links = sure.unionByName(exact).distinct()
+    links = pairs.filter("_hit").select("ca", "cb").unionByName(_linked(pairs.filter(~F.col("_hit")).drop("_hit"), trees, e2))
     edges = links.select(F.col("ca").alias("src"), F.col("cb").alias("dst")).unionByName(
         links.select(F.col("cb").alias("src"), F.col("ca").alias("dst"))).checkpoint(eager=True)
 
     # --- 4. connected components --------------------------------------------------------------
-    comp = connected_components(ccell.select(F.col("cell").alias("node")), edges)
-
-    # --- 5. labels: core by cell, border by nearest reachable core cell ---------------------------
-    core_lab = labelled.filter("is_core").join(comp.withColumnRenamed("node", "cell"), "cell") \
-        .select("x", "y", "comp")
-    noncore = labelled.filter(~F.col("is_core")).select("x", "y", "cx", "cy")
-    cc = ccell.join(comp.withColumnRenamed("node", "cell"), "cell").select(
-        F.col("cx").alias("ncx"), F.col("cy").alias("ncy"), F.col("cell").alias("ncell"), "comp",
-        "lox", "hix", "loy", "hiy", "reps")
-    bc = (_with_offsets(noncore)
-          .withColumn("ncx", F.col("cx") + F.col("dx")).withColumn("ncy", F.col("cy") + F.col("dy"))
-          .join(cc, ["ncx", "ncy"]))
-    bhit = F.exists("reps", lambda q: _d2(F.col("x"), F.col("y"), q["x"], q["y"]) <= e2)
-    bc = bc.select("x", "y", "ncell", "comp",
-                   (bhit | (_box_max_d2(px, py, F.col("lox"), F.col("hix"), F.col("loy"), F.col("hiy")) <= e2))
-                   .alias("_yes"),
-                   (_box_min_d2(px, py, F.col("lox"), F.col("hix"), F.col("loy"), F.col("hiy")) > e2).alias("_no"))
-    yes = bc.filter("_yes").select("x", "y", "comp")
-    maybe = bc.filter(~F.col("_yes") & ~F.col("_no")).select("x", "y", "ncell", "comp")
-    # second level: a core sub-cell wholly inside the disc answers yes without pairs
-    core_sub = (core.withColumn("sx", F.least(F.floor((F.col("x") - F.col("cx") * side) / sub_side), F.lit(SUB - 1)))
-                .withColumn("sy", F.least(F.floor((F.col("y") - F.col("cy") * side) / sub_side), F.lit(SUB - 1))))
-    csub = core_sub.groupBy(F.col("cell").alias("ncell"), "sx", "sy").agg(
-        F.min("x").alias("slox"), F.max("x").alias("shix"), F.min("y").alias("sloy"), F.max("y").alias("shiy"))
-    msub = (maybe.join(csub, "ncell")
-            .withColumn("_smax", _box_max_d2(px, py, F.col("slox"), F.col("shix"), F.col("sloy"), F.col("shiy")))
-            .withColumn("_smin", _box_min_d2(px, py, F.col("slox"), F.col("shix"), F.col("sloy"), F.col("shiy"))))
-    yes_sub = msub.filter(F.col("_smax") <= e2).select("x", "y", "ncell", "comp").distinct()
-    undecided = (msub.filter((F.col("_smax") > e2) & (F.col("_smin") <= e2)).select("x", "y", "ncell", "sx", "sy", "comp")
-                 .join(yes_sub.select("x", "y", "ncell"), ["x", "y", "ncell"], "left_anti"))
-    cpts = core_sub.select(F.col("cell").alias("ncell"), "sx", "sy", F.col("x").alias("qx"), F.col("y").alias("qy"))
-    yes2 = (undecided.join(cpts, ["ncell", "sx", "sy"])
-            .filter(_d2(F.col("x"), F.col("y"), F.col("qx"), F.col("qy")) <= e2)
-            .select("x", "y", "comp"))
-    yes2 = yes2.unionByName(yes_sub.select("x", "y", "comp"))
-    border = yes.unionByName(yes2).groupBy("x", "y").agg(F.min("comp").alias("comp"))
-    all_lab = core_lab.unionByName(border)
+    comp = connected_components(ccell.select(F.col("cell").alias("node")), edges).withColumnRenamed("node", "cell")
+    of_cell = ccell.join(comp, "cell").checkpoint(eager=True)
+
+    # --- 5. labels: core points by their cell, border points by the cell of least component within reach ----
+    noncore = labelled.filter(~F.col("is_core"))
+    reach = of_cell.select(F.col("cx").alias("ncx"), F.col("cy").alias("ncy"), F.col("cell").alias("o_cell"), "comp", F.lit(0).cast("bigint").alias("o_n"),
+                           *[F.col(c).alias(f"o_{c}") for c in BOX])
+    beside = (_with_offsets(noncore).withColumn("ncx", F.col("cx") + F.col("dx")).withColumn("ncy", F.col("cy") + F.col("dy"))
+              .select("x", "y", "ncx", "ncy", "_rep", *_as_box()).join(reach, ["ncx", "ncy"]).drop("ncx", "ncy").withColumn("ncell", F.col("o_cell")))
+    near = _any_near(beside, ["x", "y", "_rep", "ncell", "comp"], trees, e2)
+    border = near.groupBy("x", "y").agg(F.min(F.struct("comp", F.col("ncell").alias("cell"))).alias("m"), F.min("_rep").alias("_rep")) \
+        .select("x", "y", "_rep", "m.comp", F.col("m.cell").alias("label_cell")).checkpoint(eager=True)
     # number components 0.. by their smallest member key, with the distributed running sum
     from churnforge.operators.stats import running_sum
-    firsts = (labelled.join(all_lab, ["x", "y"]).groupBy("comp").agg(F.min("_rep").alias("_first"))
+    firsts = (of_cell.select("comp", "_rep").unionByName(border.select("comp", "_rep")).groupBy("comp").agg(F.min("_rep").alias("_first"))
               .withColumn("_one", F.lit(1)))
     numbered = running_sum(firsts, "_first", ["_one"]).select("comp", (F.col("cum__one") - 1).alias("_id"))
-    final = (labelled.join(all_lab, ["x", "y"], "left").join(numbered, "comp", "left")
+    names = of_cell.select("cell", "comp").join(numbered, "comp").select(F.col("cell").alias("label_cell"), "_id")
+    final = (labelled.join(border.select("x", "y", F.col("label_cell").alias("_b")), ["x", "y"], "left")
+             .withColumn("label_cell", F.when(F.col("is_core"), F.col("cell")).otherwise(F.col("_b")))
+             .join(names, "label_cell", "left")
              .select("x", "y", "is_core", F.coalesce(F.col("_id"), F.lit(-1)).cast("int").alias(label)))
-    return (pts.join(final, ["x", "y"])
-            .select(F.col("_key").alias(key), F.col("x").alias(x), F.col("y").alias(y), label, "is_core"))
+    return (pts.join(final, ["x", "y"], "left")
+            .select(F.col("_key").alias(key), F.col("x").alias(x), F.col("y").alias(y), F.coalesce(F.col(label), F.lit(-1)).alias(label),
+                    F.coalesce("is_core", F.lit(False)).alias("is_core")))
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
