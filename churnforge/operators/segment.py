@@ -1,7 +1,7 @@
 """Customer segmentation: standardise → PCA(2) → k-means, cluster-quality
 indices, elbow curve, loadings and covariance.
 
-PCA and k-means are MLlib fits (distributed covariance / Lloyd iterations);
+PCA is an MLlib fit (distributed covariance), k-means the shared passes of ``kmeans``;
 the fitted components and centres are parameter-sized, so projection and
 nearest-centre assignment are plain column expressions (dot products with
 literals) inside whole-stage codegen — no UDF, no per-row Python.
@@ -12,7 +12,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.stat import Correlation
@@ -20,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnforge.operators import features as FE
+from churnforge.operators.kmeans import fit_runs
 from churnforge.operators.stats import with_params
 
 
@@ -119,46 +119,20 @@ def kmeans_assign(df: DataFrame, centres: np.ndarray, cols: list[str], out: str
 
 def fit_kmeans(points: DataFrame, cols: list[str], k: int = 3, n_init: int = 10, seed: int = 42,
                max_iter: int = 300) -> KMeansFit:
-    """Best of ``n_init`` MLlib k-means|| runs by training cost; ids relabelled by cluster size."""
-    vec = VectorAssembler(inputCols=cols, outputCol="_v").transform(points.select(*[_q(c) for c in cols]))
-    vec = vec.select("_v").persist()
-    from churnforge.plans.concurrency import parallel_map
-
-    def run(i):
-        model = KMeans(k=k, seed=seed + i, featuresCol="_v", maxIter=max_iter, tol=1e-4).fit(vec)
-        return model, model.summary.trainingCost
-    try:
-        fits = parallel_map(run, range(n_init))
-    finally:
-        vec.unpersist()
-    best = min(fits, key=lambda mc: mc[1])
-    centres = np.array([c for c in best[0].clusterCenters()])
-    sizes = {r["c"]: r["n"] for r in points.select(assign_expr(centres, cols).alias("c"))
-             .groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
-    order = sorted(range(len(centres)), key=lambda j: (-sizes.get(j, 0), tuple(centres[j])))
-    return KMeansFit(centres[order], float(best[1]), list(cols))
-
-
-def elbow(points: DataFrame, cols: list[str], ks=range(1, 10), seed: int = 42) -> DataFrame:
-    """Inertia per k; k = 1 is n·Σ var_pop (MLlib rejects k = 1)."""
-    from pyspark.sql import SparkSession
-    spark = SparkSession.getActiveSession()
-    vec = VectorAssembler(inputCols=cols, outputCol="_v").transform(points.select(*[_q(c) for c in cols]))
-    vec = vec.select("_v").persist()
-    from churnforge.plans.concurrency import parallel_map
-
-    def run(k):
-        if k == 1:
-            row = points.agg(F.count(F.lit(1)).alias("n"),
-                             *[F.var_pop(_q(c)).alias(f"v{i}") for i, c in enumerate(cols)]).first()
-            return (1, float(row["n"] * sum(row[f"v{i}"] for i in range(len(cols)))))
-        model = KMeans(k=k, seed=seed, featuresCol="_v", maxIter=300, tol=1e-4).fit(vec)
-        return (k, float(model.summary.trainingCost))
-    try:
-        rows = parallel_map(run, list(ks))
-    finally:
-        vec.unpersist()
-    return spark.createDataFrame(rows, "k int, Inertia double")
+    """Best of ``n_init`` starts by cost, all advanced by the same passes; ids relabelled by cluster size."""
+    runs = fit_runs(points, cols, [(k, seed + i) for i in range(n_init)], max_iter)
+    if not runs:
+        raise ValueError("no row has all coordinates")
+    best = min(runs, key=lambda r: r.cost)
+    order = sorted(range(k), key=lambda j: (-best.sizes[j], tuple(best.centres[j])))
+    return KMeansFit(best.centres[order], best.cost, list(cols))
+
+
+def elbow(points: DataFrame, cols: list[str], ks=range(1, 10), seed: int = 42, n_init: int = 3) -> DataFrame:
+    """Inertia per k, the best of ``n_init`` starts; all k and starts share their passes."""
+    runs = fit_runs(points, cols, [(k, seed + i) for k in ks for i in range(n_init if k > 1 else 1)])
+    rows = [(k, min(r.cost for r in runs if r.k == k)) for k in ks] if runs else []
+    return points.sparkSession.createDataFrame(rows, "k int, Inertia double")
 
 
 def inertia_k1(points: DataFrame, cols: list[str]) -> DataFrame:

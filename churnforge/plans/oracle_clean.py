@@ -201,6 +201,10 @@ ORACLE = {
     + "\nSELECT score AS Quality_Score, CAST(n_issues AS INT) AS Issues FROM sc",
     "quality_issues_clean_table": SUB_BL_CTES + detector_sql("sbl", SUB_KINDS, MONEY, "Churn") + f"SELECT {ISSUE_COLS} FROM issues",
     "scan_csv": RAW_CTES + f"SELECT {rnd(['MonthlyCharges'])} FROM raw",
+    "scan_csv_line_breaks": "SELECT page_id, nullif(url, '') AS url, nullif(html, '') AS html FROM pages",
+    # 19 tokens, then two texts that are none, then the value itself
+    "na_tokens_marked": RAW_CTES + """SELECT customerID, CASE WHEN tenure % 22 < 19 THEN NULL WHEN tenure % 22 = 19 THEN ' ' WHEN tenure % 22 = 20 THEN 'none'
+        ELSE Contract END AS Contract FROM raw""",
     "na_tokens": RAW_CTES + f"SELECT {rnd(['MonthlyCharges'])} FROM raw",
     "quality_issues_orders": "WITH od AS (SELECT * FROM orders) " + detector_sql(
         "od", ORDERS_KINDS, [], None) + f"SELECT {ISSUE_COLS} FROM issues",

@@ -12,6 +12,7 @@ from churnforge.plans.catalog import query
 from churnforge.session import scratch_path
 from churnforge.sources import files as IO
 from churnforge.sources import fixtures
+from churnforge.sources.tables import read_table
 
 
 @query("scan_csv")
@@ -22,6 +23,24 @@ def q_scan_csv(spark, sf):
     return IO.read_dataset(spark, path)
 
 
+@query("scan_csv_line_breaks")
+def q_scan_csv_line_breaks(spark, sf):
+    """Round trip of a table whose fields hold line breaks, quotes and commas: raw web pages as CSV."""
+    path = scratch_path(spark, "pages") + ".csv"
+    IO.sink_csv(read_table(spark, sf, "pages"), path)
+    return IO.read_dataset(spark, path, line_breaks=True)
+
+
+@query("na_tokens_marked")
+def q_na_tokens_marked(spark, sf):
+    """Every missing-value token in its turn, by tenure, in place of the contract; other values stay."""
+    df = fixtures.subscribers_raw(spark, sf)
+    turn = F.array(*[F.lit(t) for t in IO.NA_TOKENS], F.lit(" "), F.lit("none"))
+    place = F.col("tenure").cast("int") % (len(IO.NA_TOKENS) + 3)
+    marked = F.when(place < len(IO.NA_TOKENS) + 2, F.get(turn, place)).otherwise(F.col("Contract"))
+    return IO.na_tokens(df.withColumn("Contract", marked)).select("customerID", "Contract")
+
+
 @query("na_tokens")
 def q_na_tokens(spark, sf):
     return IO.na_tokens(fixtures.subscribers_raw(spark, sf))

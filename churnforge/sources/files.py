@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from churnforge.functions import constants as K
 from churnforge.functions import exprs as X
+from churnforge.sources.csv_records import read_records
 
 # --- fixed values: text read as missing by the usual CSV loaders (blank-only text is NOT one) ---
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -72,13 +73,14 @@ def read_dataset(spark: SparkSession, path: str, line_breaks: bool = False) -> D
     are read as CSV like the reference's mislabelled-file fallback; else ValueError.
 
     Quotes inside a quoted field are doubled. ``line_breaks`` allows them inside
-    quoted fields; a file is then read by one task, so it is for sources that need it
-    (a directory of part files still spreads over its files).
+    quoted fields; files are still read by many tasks (``csv_records``), in two passes.
     """
     ext = os.path.splitext(path.rstrip("/"))[1].lower()
     if ext not in K.SUPPORTED_EXTENSIONS:
         raise ValueError(f"cannot read {path!r}: expected one of {sorted(K.SUPPORTED_EXTENSIONS)}")
-    raw = (spark.read.option("header", True).option("inferSchema", False).option("escape", '"').option("multiLine", line_breaks)
+    if line_breaks:
+        return infer_types(na_tokens(read_records(spark, path)))
+    raw = (spark.read.option("header", True).option("inferSchema", False).option("escape", '"')
            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
            .option("nullValue", None).option("emptyValue", "").csv(path))
     return infer_types(na_tokens(raw))
