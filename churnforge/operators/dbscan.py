@@ -21,7 +21,7 @@ mutual neighbours:
    with a null, NaN or infinite coordinate.
 
 A box is the bounds of its points, so a box of one place is decided exactly and every
-descent ends. Trees grow ``STEP`` levels at a time and only below cells that are still
+descent ends. A box of at most ``FEW`` places is opened to them. Trees grow ``STEP`` levels at a time and only below cells that are still
 open; no pairs of points are formed. Points meet labels by their cell, never by their
 component; cells, whose number the extent of the data bounds and not its rows, meet components.
 """
@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 SHIFT = 4294967296  # cell id = cx · 2^32 + cy
 STEP = 3            # levels that a descent goes down at a time: at most 8 × 8 boxes below a box
 DEEPEST = 48        # at this level a box is a point up to the rounding of doubles
+FEW = 64            # a box of so few places is opened to its places at once
 
 
 def _cell_id(cx: str = "cx", cy: str = "cy") -> F.Column:
@@ -97,21 +98,38 @@ class _Trees:
         inside = F.floor((F.col(c) - F.col(base) * F.lit(self.side)) / F.lit(self.side) * F.lit(float(scale)))
         return F.greatest(F.lit(0), F.least(inside, F.lit(scale - 1))).cast("bigint")
 
-    def boxes(self, cells: DataFrame, level: int) -> DataFrame:
-        """o_cell, box numbers qx, qy of the level, their parents px, py, weight o_n and bounds o_lox to o_hiy."""
-        at = self.points.join(cells.select(F.col("o_cell").alias("cell")).distinct(), "cell", "left_semi")
-        if level < DEEPEST:
-            at = at.select("*", self._at("x", "cx", level).alias("qx"), self._at("y", "cy", level).alias("qy"))
-        else:  # one box for each place
-            at = at.select("*", F.col("x").alias("qx"), F.col("y").alias("qy"))
+    def _below(self, pairs: DataFrame) -> DataFrame:
+        """Points of the cells that pairs ask for."""
+        return self.points.join(pairs.select(F.col("o_cell").alias("cell")).distinct(), "cell", "left_semi")
+
+    def boxes(self, pairs: DataFrame, level: int) -> DataFrame:
+        """o_cell, box numbers qx, qy of the level, their parents px, py, weight o_n, places o_m and bounds o_lox to o_hiy."""
+        at = self._below(pairs).select("*", self._at("x", "cx", level).alias("qx"), self._at("y", "cy", level).alias("qy"))
         up = level - STEP
         return at.groupBy(F.col("cell").alias("o_cell"), "qx", "qy").agg(
-            F.sum("w").alias("o_n"), F.min("x").alias("o_lox"), F.max("x").alias("o_hix"), F.min("y").alias("o_loy"), F.max("y").alias("o_hiy"),
-            F.min(self._at("x", "cx", up)).alias("px"), F.min(self._at("y", "cy", up)).alias("py"))
+            F.sum("w").alias("o_n"), F.count(F.lit(1)).alias("o_m"), F.min("x").alias("o_lox"), F.max("x").alias("o_hix"), F.min("y").alias("o_loy"),
+            F.max("y").alias("o_hiy"), F.min(self._at("x", "cx", up)).alias("px"), F.min(self._at("y", "cy", up)).alias("py"))
+
+    def places(self, pairs: DataFrame, up: int) -> DataFrame:
+        """The same columns for single places, whose parents are boxes of the level ``up``."""
+        none = F.lit(0).cast("bigint")
+        return self._below(pairs).select(
+            F.col("cell").alias("o_cell"), none.alias("qx"), none.alias("qy"), F.col("w").alias("o_n"), F.lit(1).cast("bigint").alias("o_m"),
+            *[c.alias(f"o_{b}") for c, b in zip((F.col("x"), F.col("x"), F.col("y"), F.col("y")), BOX)],
+            self._at("x", "cx", up).alias("px"), self._at("y", "cy", up).alias("py"))
 
     def open(self, pairs: DataFrame, level: int) -> DataFrame:
-        """Pairs with the box (o_cell, px, py) replaced by each of its boxes of the next level, named (o_cell, qx, qy)."""
-        return pairs.drop("o_n", *[f"o_{c}" for c in BOX]).join(self.boxes(pairs, level), ["o_cell", "px", "py"]).drop("px", "py")
+        """Pairs with the box (o_cell, px, py) replaced by each of its boxes of the next level.
+
+        A box of at most ``FEW`` places is replaced by its places at once; a place stays as it is.
+        """
+        few = F.lit(True) if level >= DEEPEST else F.col("o_m") <= FEW
+        bare = lambda p: p.drop("o_n", "o_m", *[f"o_{c}" for c in BOX])
+        small, large = pairs.where((F.col("o_m") > 1) & few), pairs.where((F.col("o_m") > 1) & ~few)
+        out = bare(small).join(self.places(small, level - STEP), ["o_cell", "px", "py"]).drop("px", "py")
+        if level < DEEPEST:
+            out = out.unionByName(bare(large).join(self.boxes(large, level), ["o_cell", "px", "py"]).drop("px", "py"))
+        return _next(out).unionByName(pairs.where(F.col("o_m") == 1))
 
 
 def _roots(pairs: DataFrame) -> DataFrame:
@@ -135,10 +153,10 @@ def _count_near(points: DataFrame, cells: DataFrame, trees: _Trees, e2: float, e
         known = known.checkpoint(eager=True)
         rich = known.where(F.col("k") >= enough).select("x", "y")
         open_ = pairs.where(_far2() > e2).join(rich, ["x", "y"], "left_anti")
-        if open_.isEmpty() or level >= DEEPEST:
+        if open_.isEmpty():
             return rich
         level += STEP
-        pairs = _next(trees.open(open_, level)).where(_near2() <= e2).checkpoint(eager=True)
+        pairs = trees.open(open_, level).where(_near2() <= e2).checkpoint(eager=True)
 
 
 def _any_near(pairs: DataFrame, keys: list[str], trees: _Trees, e2: float) -> DataFrame:
@@ -148,10 +166,10 @@ def _any_near(pairs: DataFrame, keys: list[str], trees: _Trees, e2: float) -> Da
         hit = pairs.where(_far2() <= e2).select(*keys).distinct().checkpoint(eager=True)
         found.append(hit)
         open_ = pairs.where(_far2() > e2).join(hit, keys, "left_anti")
-        if open_.isEmpty() or level >= DEEPEST:
+        if open_.isEmpty():
             break
         level += STEP
-        pairs = _next(trees.open(open_, level)).where(_near2() <= e2).checkpoint(eager=True)
+        pairs = trees.open(open_, level).where(_near2() <= e2).checkpoint(eager=True)
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -161,7 +179,7 @@ def _any_near(pairs: DataFrame, keys: list[str], trees: _Trees, e2: float) -> Da
 def _linked(pairs: DataFrame, trees: _Trees, e2: float) -> DataFrame:
     """(ca, cb) of the cell pairs with a pair of points within eps; both trees are opened, in turns."""
     keys, found, levels = ["ca", "cb"], [], [0, 0]
-    own, other = ["cell", "ax", "ay", *BOX], ["o_cell", "px", "py", *[f"o_{c}" for c in BOX]]
+    own, other = ["cell", "ax", "ay", "n", "m", *BOX], ["o_cell", "px", "py", "o_n", "o_m", *[f"o_{c}" for c in BOX]]
     pairs = _roots(pairs).withColumn("ax", F.lit(0).cast("bigint")).withColumn("ay", F.lit(0).cast("bigint"))
     turn = 0
     while True:
@@ -169,10 +187,10 @@ def _linked(pairs: DataFrame, trees: _Trees, e2: float) -> DataFrame:
         hit = pairs.where(_far2() <= e2).select(*keys).distinct().checkpoint(eager=True)
         found.append(hit)
         open_ = pairs.where(_far2() > e2).join(hit, keys, "left_anti")
-        if min(levels) >= DEEPEST or open_.isEmpty():
+        if open_.isEmpty():
             break
         levels[turn] += STEP
-        pairs = _next(trees.open(open_, levels[turn]).drop("o_n"))
+        pairs = trees.open(open_, levels[turn])
         # the sides change places, so that the next turn opens the other one
         pairs = pairs.select(*keys, *[F.col(b).alias(a) for a, b in zip(own, other)], *[F.col(a).alias(b) for a, b in zip(own, other)])
         turn = 1 - turn
@@ -194,10 +212,10 @@ def dbscan(df: DataFrame, x: str = "PC1", y: str = "PC2", key: str = "customerID
             .withColumn("cell", _cell_id()))
     uniq = uniq.checkpoint(eager=True)
     bounds = [F.min("x").alias("lox"), F.max("x").alias("hix"), F.min("y").alias("loy"), F.max("y").alias("hiy")]
-    cells = uniq.groupBy("cell", "cx", "cy").agg(F.sum("w").alias("n"), *bounds).checkpoint(eager=True)
+    cells = uniq.groupBy("cell", "cx", "cy").agg(F.sum("w").alias("n"), F.count(F.lit(1)).alias("m"), *bounds).checkpoint(eager=True)
 
     # --- 2. core points ------------------------------------------------------------------
-    around = cells.select(F.col("cx").alias("ncx"), F.col("cy").alias("ncy"), F.col("cell").alias("o_cell"), F.col("n").alias("o_n"), *[F.col(c).alias(f"o_{c}") for c in BOX])
+    around = cells.select(F.col("cx").alias("ncx"), F.col("cy").alias("ncy"), F.col("cell").alias("o_cell"), F.col("n").alias("o_n"), F.col("m").alias("o_m"), *[F.col(c).alias(f"o_{c}") for c in BOX])
     sparse = uniq.join(cells.select("cell", "n").filter(F.col("n") < min_samples), "cell").drop("n")
     sparse_core = _count_near(sparse, around, _Trees(uniq, side), e2, min_samples).withColumn("_sc", F.lit(True))
     labelled = (uniq.join(cells.select("cell", "n"), "cell")
@@ -210,7 +228,7 @@ def dbscan(df: DataFrame, x: str = "PC1", y: str = "PC2", key: str = "customerID
     # --- 3. links between core cells ---------------------------------------------------------
     pt = F.struct(F.col("x").alias("x"), F.col("y").alias("y"))
     ccell = core.groupBy("cell", "cx", "cy").agg(
-        *bounds, F.min("_rep").alias("_rep"),
+        *bounds, F.min("_rep").alias("_rep"), F.sum("w").alias("n"), F.count(F.lit(1)).alias("m"),
         F.array(F.min_by(pt, "x"), F.max_by(pt, "x"), F.min_by(pt, "y"), F.max_by(pt, "y"),
                 F.min_by(pt, F.col("x") + F.col("y")), F.max_by(pt, F.col("x") + F.col("y")),
                 F.min_by(pt, F.col("x") - F.col("y")), F.max_by(pt, F.col("x") - F.col("y"))).alias("reps"))
@@ -219,7 +237,7 @@ def dbscan(df: DataFrame, x: str = "PC1", y: str = "PC2", key: str = "customerID
     pairs = (_with_offsets(ccell.drop("_rep"), half=True)
              .join(other, (F.col("o_cx") == F.col("cx") + F.col("dx")) & (F.col("o_cy") == F.col("cy") + F.col("dy")))
              .where(_near2() <= e2)
-             .select(F.col("cell").alias("ca"), F.col("o_cell").alias("cb"), "cell", "o_cell", *BOX, *[f"o_{c}" for c in BOX],
+             .select(F.col("cell").alias("ca"), F.col("o_cell").alias("cb"), "cell", "o_cell", "n", "m", "o_n", "o_m", *BOX, *[f"o_{c}" for c in BOX],
                      F.exists("reps", lambda p: F.exists("o_reps", lambda q: _d2(p["x"], p["y"], q["x"], q["y"]) <= e2)).alias("_hit")))
     pairs = pairs.checkpoint(eager=True)
     links = pairs.filter("_hit").select("ca", "cb").unionByName(_linked(pairs.filter(~F.col("_hit")).drop("_hit"), trees, e2))
@@ -232,7 +250,7 @@ def dbscan(df: DataFrame, x: str = "PC1", y: str = "PC2", key: str = "customerID
 
     # --- 5. labels: core points by their cell, border points by the cell of least component within reach ----
     noncore = labelled.filter(~F.col("is_core"))
-    reach = of_cell.select(F.col("cx").alias("ncx"), F.col("cy").alias("ncy"), F.col("cell").alias("o_cell"), "comp", F.lit(0).cast("bigint").alias("o_n"),
+    reach = of_cell.select(F.col("cx").alias("ncx"), F.col("cy").alias("ncy"), F.col("cell").alias("o_cell"), "comp", F.col("n").alias("o_n"), F.col("m").alias("o_m"),
                            *[F.col(c).alias(f"o_{c}") for c in BOX])
     beside = (_with_offsets(noncore).withColumn("ncx", F.col("cx") + F.col("dx")).withColumn("ncy", F.col("cy") + F.col("dy"))
               .select("x", "y", "ncx", "ncy", "_rep", *_as_box()).join(reach, ["ncx", "ncy"]).drop("ncx", "ncy").withColumn("ncell", F.col("o_cell")))

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from churnforge.operators.stats import spread
+
 SAMPLE = 10_000
 CHUNK = 1 << 21  # point-centre distances held at a time
 
@@ -108,7 +110,7 @@ def fit_runs(df: DataFrame, cols: list[str], starts: list[tuple[int, int]], max_
     sound = named
     for j in range(len(cols)):
         sound = sound.where(F.abs(f"x{j}") <= most)
-    points = sound.drop("h")
+    points = spread(sound.drop("h"))
     sample = np.array([tuple(r) for r in sound.orderBy("h", *points.columns).limit(SAMPLE).drop("h").collect()], float)
     if not len(sample):
         return []

@@ -128,7 +128,7 @@ def fit_kmeans(points: DataFrame, cols: list[str], k: int = 3, n_init: int = 10,
     return KMeansFit(best.centres[order], best.cost, list(cols))
 
 
-def elbow(points: DataFrame, cols: list[str], ks=range(1, 10), seed: int = 42, n_init: int = 3) -> DataFrame:
+def elbow(points: DataFrame, cols: list[str], ks=range(1, 10), seed: int = 42, n_init: int = 1) -> DataFrame:
     """Inertia per k, the best of ``n_init`` starts; all k and starts share their passes."""
     runs = fit_runs(points, cols, [(k, seed + i) for k in ks for i in range(n_init if k > 1 else 1)])
     rows = [(k, min(r.cost for r in runs if r.k == k)) for k in ks] if runs else []

@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from churnforge.operators.stats import spread
+
 BASE = 6          # levels of the first quadtree: at most 4**6 cells a label
 DEEPER = 3        # levels added where a cell is divided further
 TARGETS = 4       # points are scored in groups of the cells of this level
@@ -277,7 +279,7 @@ def silhouette_euclidean(df: DataFrame, cols: list[str], label: str, tolerance:
     named = df.select(x.alias("x"), y.alias("y"), F.col(f"`{label}`").cast("string").alias("_l"))
     big = F.lit(1.7976931348623157e308)
     sound = named.where(F.col("_l").isNotNull() & (F.abs("x") <= big) & (F.abs("y") <= big))
-    points = sound.select("x", "y", F.xxhash64("_l").alias("label")).checkpoint(eager=True)
+    points = spread(sound.select("x", "y", F.xxhash64("_l").alias("label")).checkpoint(eager=True))
     box = points.agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
     schema = "Silhouette_Euclidean double, Error_Bound double"
     if not box["n"]:

@@ -206,6 +206,12 @@ def quantile_map(df: DataFrame, cols: list[str], probs: list[float]) -> dict[tup
     return {(r["column"], r["prob"]): r["quantile"] for r in exact_quantiles(df, cols, probs).collect()}
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A stored narrow table over at least as many partitions as there are cores: work on its rows, not its bytes, takes the time."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores).checkpoint(eager=True)
+
+
 def hash_unit(key: Column, seed: int = 42) -> Column:
     """Deterministic value in [0, 100) from a key: stable splits and samples."""
     h = F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))

@@ -1,6 +1,7 @@
 """Grid DBSCAN equals brute-force DBSCAN (core set, noise set, core partition)."""
 
 import numpy as np
+import pytest
 
 from brute import dbscan_brute
 from conftest import SF_SMALL
@@ -42,8 +43,9 @@ def _points(P):
     return pd.DataFrame({"customerID": [f"k{i:05d}" for i in range(len(P))], "PC1": P[:, 0], "PC2": P[:, 1]})
 
 
-def test_most_points_in_one_cell(spark):
+def test_most_points_in_one_cell(spark, monkeypatch):
     """80 % of the points in one cell: sparse and border points beside it, a second dense cell just in and just out of reach."""
+    monkeypatch.setattr(DB, "FEW", 4)
     rng = np.random.default_rng(3)
     side = 0.2 / np.sqrt(2)
     dense = rng.uniform(0.001, side - 0.001, (640, 2))
@@ -51,11 +53,12 @@ def test_most_points_in_one_cell(spark):
     for gap in (0.1999, 0.2001):
         beside = np.c_[dense[:, 0].max() + gap + rng.uniform(0, 0.02, 50), np.full(50, dense[np.argmax(dense[:, 0]), 1])]
         _check(spark, _points(np.vstack([dense, ring, beside])), 0.2, 3)
-        _check(spark, _points(np.vstack([dense, beside])), 0.2, 3)
 
 
-def test_two_dense_neighbours(spark):
+@pytest.mark.parametrize("few", [1, 64])
+def test_two_dense_neighbours(spark, monkeypatch, few):
     """Two cells of many points whose facing sides are curved about the distance eps: only a few pairs link them, or none."""
+    monkeypatch.setattr(DB, "FEW", few)
     rng = np.random.default_rng(8)
     angle = rng.uniform(-0.6, 0.6, 300)
     left = np.c_[0.05 * np.cos(angle), 0.05 * np.sin(angle)] - [0.05, 0.0] + 0.07
