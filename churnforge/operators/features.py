@@ -64,11 +64,12 @@ def one_hot_sparse(df: DataFrame, vocabulary: DataFrame, key: str, cols: list[st
     """(key, indices): the sorted numbers of a row's categories, by an equi-join with the vocabulary table.
 
     The sparse form of a one-hot row for any number of categories; null and unseen values have no number.
+    One row for each row of ``df``, also where keys are missing or repeated.
     """
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), _q(c).cast("string").alias("value")) for c in cols])
-    long = df.select(_q(key), F.explode(pairs).alias("kv")).select(key, "kv.*")
-    joined = long.join(vocabulary, ["column", "value"], "left")
-    return joined.groupBy(key).agg(F.array_sort(F.collect_list("index")).alias("indices"))
+    numbered = df.select(_q(key).alias("_key"), pairs.alias("_pairs"), F.monotonically_increasing_id().alias("_row"))
+    joined = numbered.select("_row", "_key", F.explode("_pairs").alias("kv")).select("_row", "_key", "kv.*").join(vocabulary, ["column", "value"], "left")
+    return joined.groupBy("_row", "_key").agg(F.array_sort(F.collect_list("index")).alias("indices")).select(F.col("_key").alias(key), "indices")
 
 
 def one_hot(df: DataFrame, vocab: dict[str, list[str]], drop_first: bool) -> DataFrame:

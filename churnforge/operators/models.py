@@ -266,9 +266,40 @@ def learning_curve(data: TrainingData, folds: int = 3, sizes: tuple = (0.2, 0.4,
             .orderBy("Fraction"))
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
-
-
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+@dataclass
+class ChurnModel:
+    """All that scoring needs: the fitted vocabulary and feature order, the scaling, and the pipeline model."""
+    encoding: FE.ChurnEncoding
+    scaling: FE.Scaling
+    model: PipelineModel
+
+    def score(self, raw: DataFrame, key: str = KEY, threshold: float = 0.5) -> DataFrame:
+        """Probability and class for every raw row; a table without the target column gets no target either."""
+        has_target = LABEL in raw.columns
+        rows = raw if has_target else raw.withColumn(LABEL, F.lit(None).cast("string"))
+        feats, _ = FE.churn_features(rows, self.encoding, key=key)
+        return predict(self.model, self.scaling.apply(feats), threshold=threshold, keep=(key, LABEL) if has_target else (key,))
+
+    def save(self, path: str) -> None:
+        """One folder: the pipeline, and a table each for vocabulary, feature order and scaling."""
+        from pyspark.sql import SparkSession
+        spark = SparkSession.getActiveSession()
+        self.model.write().overwrite().save(f"{path}/model")
+        words = [(c, i, v) for c, vs in self.encoding.vocabulary.items() for i, v in enumerate(vs or [None])]
+        tables = {"vocabulary": (words, "column string, place int, value string"),
+                  "features": (list(enumerate(self.encoding.feature_columns)), "place int, feature string"),
+                  "scaling": ([(c, self.scaling.mean[c], self.scaling.std[c]) for c in self.scaling.mean], "column string, mean double, std double")}
+        for name, (rows, schema) in tables.items():
+            spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{path}/{name}")
+
+    @staticmethod
+    def load(path: str) -> "ChurnModel":
+        from pyspark.sql import SparkSession
+        spark = SparkSession.getActiveSession()
+        vocabulary: dict[str, list[str]] = {}
+        for r in spark.read.parquet(f"{path}/vocabulary").orderBy("column", "place").collect():  # as many rows as there are features
+            vocabulary.setdefault(r["column"], []).extend([r["value"]] if r["value"] is not None else [])
+        features = [r["feature"] for r in spark.read.parquet(f"{path}/features").orderBy("place").collect()]
+        scaling = {r["column"]: (r["mean"], r["std"]) for r in spark.read.parquet(f"{path}/scaling").collect()}
+        return ChurnModel(FE.ChurnEncoding(vocabulary, features), FE.Scaling({c: m for c, (m, _) in scaling.items()}, {c: s for c, (_, s) in scaling.items()}),
+                          PipelineModel.load(f"{path}/model"))

@@ -93,11 +93,13 @@ def q_learning_curve(spark, sf):
 
 @query("save_load_model")
 def q_save_load(spark, sf):
+    """Model, scaling and vocabulary saved and loaded again, which then score the raw rows of the test part."""
     data = _data(spark, sf)
     model, _ = M.fit_model(data, M.model_specs(data.n_train)[0])
     path = scratch_path(spark, "lr-model")
-    M.save_model(model, path)
-    return M.predict(M.load_model(path), data.test)
+    M.ChurnModel(data.encoding, data.scaling, model).save(path)
+    raw = FE.split_80_20(fixtures.subscribers(spark, sf)).filter(F.col("is_test") == 1).drop("is_test")
+    return M.ChurnModel.load(path).score(raw)
 
 
 # --- evaluation on the fixed-score fixture (test split) --------------------------------------
