@@ -88,8 +88,8 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recurring lines dropped from all documents; lines of one and two tokens stay, as OP7_SQL states."""
-    rest = template_tree.drop_recurring_lines(table(spark, sf_dir, "documents"), least_tokens=3)
+    """Recurring lines dropped from all documents."""
+    rest = template_tree.drop_recurring_lines(table(spark, sf_dir, "documents"))
     return rest.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
@@ -98,18 +98,22 @@ WITH lines AS (
   SELECT doc_id, text, i - 1 AS pos, list_filter(string_split_regex(string_split(text, chr(10))[i], '[ \\t\\r\\f\\v]+'), lambda t: t <> '') AS tokens
   FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)),
 leaved AS (
-  SELECT *, len(tokens) || ' ' || array_to_string(list_transform(tokens[1:3], lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END), ' ') AS leaf
-  FROM lines WHERE len(tokens) >= 3),
+  SELECT *, len(tokens) || ' ' || array_to_string(list_transform(tokens[1:3], lambda t: CASE WHEN regexp_matches(t, '[0-9]') AND len(tokens) >= 3 THEN '<*>' ELSE t END), ' ') AS leaf
+  FROM lines WHERE len(tokens) >= 1),
 held AS (SELECT * FROM leaved WHERE leaf IN (SELECT leaf FROM leaved GROUP BY leaf HAVING count(DISTINCT text) >= 10)),
 places AS (SELECT leaf, place, token, count(*) AS n FROM (
   SELECT leaf, unnest(range(1, len(tokens) + 1)) AS place, unnest(tokens) AS token FROM held) GROUP BY ALL),
 fixed AS (SELECT leaf, place || ' ' || token AS spot FROM places JOIN (SELECT leaf, count(*) AS lines FROM held GROUP BY leaf) USING (leaf) WHERE n >= 0.2 * lines),
 tree AS (SELECT leaf, list(spot) AS fixed FROM fixed GROUP BY leaf),
 general AS (
-  SELECT doc_id, text, pos, tokens, list_transform(range(1, len(tokens) + 1), lambda i: CASE WHEN list_contains(fixed, i || ' ' || tokens[i]) THEN tokens[i] ELSE '<*>' END) AS general
-  FROM held JOIN tree USING (leaf)),
+  SELECT doc_id, text, pos, tokens, list_transform(range(1, len(tokens) + 1), lambda i: CASE WHEN list_contains(coalesce(fixed, []), i || ' ' || tokens[i]) THEN tokens[i] ELSE '<*>' END) AS general
+  FROM held LEFT JOIN tree USING (leaf)),
+-- 1: constant, 0: a field with a digit, -1: a field that is a word
+voted AS (
+  SELECT *, list_transform(range(1, len(tokens) + 1), lambda i: CASE WHEN general[i] <> '<*>' THEN 1 WHEN regexp_matches(tokens[i], '[0-9]') THEN 0 ELSE -1 END) AS votes FROM general),
 parsed AS (
-  SELECT doc_id, text, pos, array_to_string(CASE WHEN len(list_filter(general, lambda t: t <> '<*>')) >= 0.5 * len(general) THEN general ELSE tokens END, ' ') AS template FROM general),
+  SELECT doc_id, text, pos, array_to_string(CASE WHEN len(list_filter(general, lambda t: t <> '<*>')) >= 0.5 * len(general)
+    AND (NOT list_contains(votes, -1) OR coalesce(list_sum(votes[4:]), 0) > 0) THEN general ELSE tokens END, ' ') AS template FROM voted),
 recurring AS (
   SELECT template, min({'doc_id': doc_id, 'pos': pos}) AS first FROM parsed GROUP BY template HAVING count(DISTINCT text) >= 10),
 lost AS (

@@ -14,7 +14,7 @@ counts are partial aggregates, so a line that a third of all documents share cos
 
 Defined results: lines are separated by ``\\n``, tokens by white space; lines without a token always
 stay; lines of fewer than ``DEPTH`` tokens have no fields, also not with digits, and recur by all
-their tokens (``least_tokens`` leaves shorter lines out: the registered SQL names 3); a null text has no lines and stays
+their tokens (``least_tokens`` leaves shorter lines out); a null text has no lines and stays
 null; an emptied document keeps its row with the empty text; rows that share doc_id
 and text are one document and lose the same lines; among equal doc_ids the smaller text hash
 comes first, null doc_ids come last; other columns pass through unchanged (columns

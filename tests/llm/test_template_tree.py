@@ -51,6 +51,26 @@ def test_short_lines_recur_by_all_their_tokens(spark, docs_of):
     assert all(r.n_dropped == 0 for r in template_tree.drop_recurring_lines(docs_of(rows), least_tokens=3).collect())
 
 
+def test_sql_on_short_lines_and_lines_alike_in_their_lead(spark, docs_of):
+    import duckdb
+    from pyspark.sql import functions as F
+
+    from churnforge.llm.queries import OP7_SQL
+
+    names = ["Rome", "Greece", "Persia", "Egypt", "Crete", "Troy", "Sparta", "Thebes", "Corinth", "Argos", "Delphi", "Athens", "Sicily", "Cyprus"]
+    rows = [(k, f"The history of {n}\nRead more\nNumber of visits: {k * 17}\n{k} of 14\n\n Subscribe \t\nPage {k}\nWe went on a long way to {n}\n{k} {k + 1} {k % 3}")
+            for k, n in enumerate(names)]
+    rows += [(100 + k, f"{k} {k * 7} {k * 11}\n7 8 9\nown {n} line {k}") for k, n in enumerate(names)] + [(200, None), (201, ""), (202, "Read less")]
+    docs = docs_of(rows)
+    con = duckdb.connect()
+    con.register("documents", docs.select("doc_id", "text").toPandas())
+    want = con.execute(OP7_SQL)
+    names = [d[0] for d in want.description]
+    rest = template_tree.drop_recurring_lines(docs)
+    got = rest.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")).select(*names).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall()) and sum(r.n_dropped for r in got) > 60
+
+
 def test_copies_count_as_one_document(spark, docs_of):
     rows = [(k, "first line of copies\nsecond line of copies") for k in range(40)]
     assert all(r.n_dropped == 0 for r in template_tree.drop_recurring_lines(docs_of(rows)).collect())
