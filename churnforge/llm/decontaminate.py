@@ -12,7 +12,9 @@ question (all sentences but the last) and its answer (the last) both have ``leas
 of their five-word shingles in the passage.
 
 The index of up to ``ITEMS`` items goes to every task; more are indexed in such
-parts, one pass over the documents each.
+parts, one pass over the documents each. Number of items, mean and greatest length and the items that
+hold a term are counted by Spark over all items first, so scores, passages and results are the
+same in any number of parts. The driver holds one part at a time.
 
 Defined results: null texts have no words; items without a word are never
 leaked; a part of fewer than five words is one shingle; an item of one sentence
@@ -26,14 +28,14 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from churnforge.llm.common import ragged, slices, texts_of
+from churnforge.llm.common import ragged, slices, stored, texts_of
 
 K1, B = 1.2, 0.75
 BLOCK = 4
@@ -65,19 +67,31 @@ def shingles(words: list) -> set[tuple]:
     return set(zip(*(words[i:] for i in range(WIDTH)))) if len(words) >= WIDTH else {tuple(words)} if words else set()
 
 
+class Totals(NamedTuple):
+    """What BM25 and the passages need of all items, whatever part they are in."""
+    items: int  # with a word
+    mean: float  # words of an item
+    longest: int
+
+
+def totals_of(items: list[tuple[int, str]]) -> tuple[Totals, dict[str, int]]:
+    """(totals, items that hold each word) of items that are all there are."""
+    words = [w for _, t in items if t and (w := clean_words(t))]
+    sizes = [len(w) for w in words]
+    return Totals(len(words), sum(sizes) / max(1, len(words)), max(sizes, default=0)), Counter(w for own in words for w in set(own))
+
+
 class Index:
-    """BM25 weights of the items, as shares of each item's own score, by term and by block."""
+    """BM25 weights of a part of the items, as shares of each item's own score, by term and by block."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        kept = sorted(((i, clean_words(t), halves(t)) for i, t in items if t), key=lambda x: (len(x[1]), x[0]))
+    def __init__(self, items: list[tuple[int, str]], totals: Totals, holds: dict[str, int]):
+        kept = sorted(((i, clean_words(t), halves(t)) for i, t in items if t), key=lambda x: (len(x[1]), x[0] is None, x[0] or 0))
         kept = [x for x in kept if x[1]]
         self.ids = [i for i, _, _ in kept]
         self.vocabulary = sorted({w for _, words, _ in kept for w in words})
         number = {w: k for k, w in enumerate(self.vocabulary)}
         self.parts = [tuple(shingles([number[w] for w in part]) for part in parts) for _, _, parts in kept]
-        self.longest = max((len(w) for _, w, _ in kept), default=0)
-        n, mean = len(kept), sum(len(w) for _, w, _ in kept) / max(1, len(kept))
-        holds = Counter(w for _, words, _ in kept for w in set(words))
+        self.longest, n, mean = totals.longest, totals.items, totals.mean
         term, item, weight = [], [], []
         for k, (_, words, _) in enumerate(kept):
             own = {number[w]: math.log(1 + (n - holds[w] + 0.5) / (holds[w] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / mean))
@@ -90,8 +104,8 @@ class Index:
         order = np.lexsort((item, term))
         self.item, self.weight = np.array(item, np.int64)[order], np.array(weight)[order]
         self.at = np.r_[0, np.cumsum(np.bincount(np.array(term, np.int64), minlength=len(number)))]
-        self.block = max(BLOCK, -(-n // BLOCKS))
-        self.bound = np.zeros((len(number) + 1, -(-n // self.block)), np.float32)  # the last row is for other words
+        self.block = max(BLOCK, -(-len(kept) // BLOCKS))
+        self.bound = np.zeros((len(number) + 1, -(-len(kept) // self.block)), np.float32)  # the last row is for other words
         np.maximum.at(self.bound, (np.array(term, np.int64), np.array(item, np.int64) // self.block), np.array(weight, np.float32))
 
     def score(self, terms: np.ndarray, block: int, least: float) -> list[tuple[int, float]]:
@@ -154,9 +168,32 @@ def leaks_of(index: Index, terms: np.ndarray, lens: np.ndarray, least_score: flo
         yield k, item, score, q, s, -first
 
 
+def indexes(benchmark: DataFrame) -> Iterator[Index]:
+    """The indexes of all items, at most about ``ITEMS`` in each; one stands in memory at a time."""
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                own = [clean_words(t) for t in texts_of(part).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array([len(w) for w in own], pa.int64()), pa.array([sorted(set(w)) for w in own], pa.list_(pa.string()))],
+                    names=[*part.schema.names, "n_words", "terms"])
+
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
+    parts = max(1, -(-items.count() // ITEMS))
+    dealt = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
+    split = stored(dealt.mapInArrow(words, "item_id long, text string, part long, n_words long, terms array<string>").where("n_words > 0"), "test-items")
+    row = split.agg(F.count("*").alias("n"), F.sum("n_words").alias("words"), F.max("n_words").alias("longest")).first()
+    totals = Totals(row["n"], (row["words"] or 0) / max(1, row["n"]), row["longest"] or 0)
+    terms = split.select("part", F.explode("terms").alias("term")).groupBy("part", "term").agg(F.count("*").alias("n"))
+    holds = stored(terms.join(terms.groupBy("term").agg(F.sum("n").alias("items")), "term").select("part", "term", "items"), "test-terms")
+    for k in range(parts):
+        own = split.where(F.col("part") == k).select("item_id", "text").collect()
+        yield Index([(r["item_id"], r["text"]) for r in own], totals, {r["term"]: r["items"] for r in holds.where(F.col("part") == k).collect()})
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, least_score: float = 0.6, least_overlap: float = 0.8) -> DataFrame:
     """One row per document and leaked item: doc_id, item_id, score, question_overlap, answer_overlap, first_word."""
-    def search(index: Index):
+    def search(index: Index) -> DataFrame:
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             vocabulary = pa.array(index.vocabulary, pa.string())
             for batch in batches:
@@ -171,13 +208,40 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least_score: float = 0.6, least
 
         return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long")
 
-    items = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
-    parts = max(1, -(-items.count() // ITEMS))
-    found = []
-    for k in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()
-        found.append(search(Index([(r.item_id, r.text) for r in rows])))
-    return reduce(DataFrame.unionByName, found)
+    found, before = None, None
+    for index in indexes(benchmark):
+        if before is not None:  # more than one part: each is written before the next is built
+            found = _also(found, stored(before, "leaks"))
+        before = search(index)
+    return _also(found, before)
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, least_score: float = 0.6, least_overlap: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` whose text holds no item, with all their columns.
+
+    Every row is judged by its own text in a map-only pass, so null and shared doc_ids make no difference.
+    """
+    def clean(rows: DataFrame, index: Index) -> DataFrame:
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            vocabulary = pa.array(index.vocabulary, pa.string())
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    keep = np.ones(part.num_rows, bool)
+                    if index.ids:
+                        keep[[k for k, *_ in leaks_of(index, *term_runs(texts_of(part), vocabulary), least_score, least_overlap)]] = False
+                    yield part.filter(pa.array(keep))
+
+        return rows.mapInArrow(each, rows.schema)
+
+    before = None
+    for index in indexes(benchmark):
+        docs = clean(docs if before is None else stored(before, "clean-of-part"), index)
+        before = docs
+    return docs
+
+
+def _also(found: DataFrame | None, more: DataFrame) -> DataFrame:
+    return more if found is None else found.unionByName(more)
 
 
 NAMES = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word"]

@@ -32,7 +32,7 @@ def test_bounds_hold_and_scores_match_a_plain_sum(monkeypatch):
     rng = random.Random(2)
     words = ["w%d" % k for k in range(200)]
     items = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(5, 40)))) for k in range(100)]
-    index = decontaminate.Index(items)
+    index = decontaminate.Index(items, *decontaminate.totals_of(items))
     import numpy as np
     for _ in range(30):
         terms = np.unique(rng.choices(range(len(index.vocabulary)), k=60))
@@ -45,8 +45,26 @@ def test_bounds_hold_and_scores_match_a_plain_sum(monkeypatch):
             assert set(got) == set(np.flatnonzero(plain >= least - 1e-9).tolist())
 
 
-def test_index_in_parts(spark, docs_of, monkeypatch):
-    bench = spark.createDataFrame([(k, f"alpha{k} beta{k} gamma{k} delta{k} epsilon{k} zeta{k}.") for k in range(9)], "item_id long, text string")
-    rows = [(k, f"x y z alpha{k} beta{k} gamma{k} delta{k} epsilon{k} zeta{k} and more") for k in range(9)]
+def test_index_in_parts_gives_the_same_rows(spark, docs_of, odd_rows, monkeypatch):
+    rng = random.Random(4)
+    say = lambda n: " ".join("w%d" % rng.randrange(300) for _ in range(n)) + "."
+    items = [(k, say(rng.randint(4, 30)) + " " + say(rng.randint(1, 8))) for k in range(9)] + [(20, None), (21, "..."), (None, say(12))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(k, say(rng.randint(0, 90)) + " " + t + " " + say(40)) for k, t in items if t] + list(odd_rows)
+    whole = sorted(map(repr, decontaminate.leaks(docs_of(rows), bench).collect()))
+    assert len(whole) >= 10
+    clean = sorted(map(repr, decontaminate.without_leaks(docs_of(rows), bench).collect()))
     monkeypatch.setattr(decontaminate, "ITEMS", 4)
-    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs_of(rows), bench).collect()} == {(k, k) for k in range(9)}
+    assert sorted(map(repr, decontaminate.leaks(docs_of(rows), bench).collect())) == whole
+    assert sorted(map(repr, decontaminate.without_leaks(docs_of(rows), bench).collect())) == clean
+
+
+def test_rows_are_judged_apart(spark, docs_of):
+    bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta.")], "item_id long, text string")
+    bad, good = "so alpha beta gamma delta epsilon zeta eta and more", "nothing of that kind"
+    rows = [(1, bad), (1, good), (None, bad), (None, good), (2, None), (3, ""), (4, good), (4, good)]
+    got = decontaminate.without_leaks(docs_of(rows), bench)
+    assert got.columns == docs_of(rows).columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == sorted((i or 0, t or "") for i, t in rows if t != bad)
+    assert decontaminate.without_leaks(docs_of(rows), bench.limit(0)).count() == len(rows)
+    assert decontaminate.without_leaks(docs_of(rows).limit(0), bench).count() == 0
