@@ -8,8 +8,9 @@ word its label probabilities, so code-switched text is labelled word by word; a
 document's language is the one with the largest mean probability.
 
 Training uses a bounded sample of labelled rows (``per_language`` texts of at most
-``SAMPLE_BYTES``, chosen by a hash of doc_id): pieces of texts in different languages
-are joined to sequences, so switches are seen. The model is a table of fixed size
+``SAMPLE_BYTES``, chosen by a hash of doc_id). Of each text at most ``pieces`` runs of 3 to ``STRIDE`` words, at seeded
+places all over it, are joined with those of other languages to sequences, so switches are seen. The gradient of the
+transitions is that of the likelihood: pair probabilities come from the forward and backward messages. The model is a table of fixed size
 and goes to the tasks inside the function. Scoring reads whole texts; long ones are cut into
 blocks whose transfer matrices are multiplied through, which is exact.
 
@@ -32,6 +33,7 @@ from churnforge.llm.common import ragged, slices, texts_of
 ORDERS = (2, 3, 4)
 BUCKETS = 1 << 16
 BLOCK = 64
+STRIDE = 24  # a text is cut into stretches of so many words; a piece is a run at the head of one
 SAMPLE_BYTES = 65_536
 UNKNOWN = "und"
 
@@ -94,8 +96,8 @@ class Model:
             out[has] += np.add.reduceat(self.gram[grams], (np.cumsum(n) - n)[has]) / n[has, None]
         return out
 
-    def marginals(self, emissions: np.ndarray, codes: np.ndarray, lens: np.ndarray) -> np.ndarray:
-        """Label probabilities of every word by forward-backward, text after text (exact over block borders)."""
+    def messages(self, emissions: np.ndarray, codes: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(forward, backward) message of every word, each up to a factor, text after text (exact over block borders)."""
         k, n = len(self.languages), len(codes)
         blocks = -(-lens // BLOCK)
         total = int(blocks.sum())
@@ -120,18 +122,44 @@ class Model:
             here = first[at] + blocks[at] - 1 - r
             v = np.einsum("bij,bj->bi", transfer[here + 1], behind[here + 1])
             behind[here] = v / v.sum(1, keepdims=True)
-        out = np.empty((n, k))
+        forward, backward = np.empty((n, k)), np.empty((n, k))
         for t, live in enumerate(steps):
             v = (ahead[live] @ a) * e[codes[start[live] + t]]
             ahead[live] = v = v / v.sum(1, keepdims=True)
-            out[start[live] + t] = v
+            forward[start[live] + t] = v
         for t in range(most - 1, -1, -1):
             live = steps[t]
-            out[start[live] + t] *= behind[live]
+            backward[start[live] + t] = behind[live]
             v = (e[codes[start[live] + t]] * behind[live]) @ a.T
             behind[live] = v / v.sum(1, keepdims=True)
+        return forward, backward
+
+    def marginals(self, emissions: np.ndarray, codes: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """Label probabilities of every word."""
+        out, backward = self.messages(emissions, codes, lens)
+        out *= backward
         return out / np.maximum(out.sum(1, keepdims=True), 1e-300)
 
+    def gradient(self, emissions: np.ndarray, codes: np.ndarray, lens: np.ndarray, gold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slopes of the labels' log-likelihood: by the emission of every word, and by the transitions."""
+        k = len(self.languages)
+        forward, backward = self.messages(emissions, codes, lens)
+        p = forward * backward
+        by_word = np.eye(k)[gold] - p / np.maximum(p.sum(1, keepdims=True), 1e-300)
+        a = np.exp(self.move.astype(np.float64))
+        first = (np.cumsum(lens) - lens)[lens > 0]
+        later = np.ones(len(codes), bool)
+        later[first] = False
+        later = np.flatnonzero(later)
+        e = np.exp(emissions - emissions.max(1, keepdims=True)) if len(emissions) else emissions
+        ahead, behind = forward[later - 1], e[codes[later]] * backward[later]
+        # a pair has the share ahead(i) a(i, j) behind(j) / ahead a behind
+        total = np.maximum(np.einsum("ni,ij,nj->n", ahead, a, behind, optimize=True), 1e-300)
+        expected = a * ((ahead / total[:, None]).T @ behind)
+        seen = np.bincount(gold[later - 1] * k + gold[later], minlength=k * k).reshape(k, k)
+        # before the first word stands a uniform state
+        return by_word, seen - expected + a / a.sum(0) * by_word[first].sum(0)
+
 
 def held_out(doc_id: Column | str) -> Column:
     """The quarter of documents that no model may learn from."""
@@ -153,8 +181,8 @@ def labelled_sample(docs: DataFrame, label: str, per_label: int) -> list[tuple[s
     return sorted((r[label], r["text"]) for r in rows)
 
 
-def train(sample: list[tuple[str, str]], rounds: int = 30, words: int = 128, rate: float = 0.5) -> Model | None:
-    """Fit the field by Adagrad on sequences of pieces of the sampled texts."""
+def train(sample: list[tuple[str, str]], rounds: int = 30, words: int = 128, rate: float = 0.5, pieces_of_text: int = 12) -> Model | None:
+    """Fit the field by Adagrad on sequences of pieces of the sampled texts: from each ``pieces_of_text`` at most, at seeded places all over it."""
     languages = sorted({label for label, _ in sample})
     if not languages:
         return None
@@ -164,8 +192,9 @@ def train(sample: list[tuple[str, str]], rounds: int = 30, words: int = 128, rat
     starts = np.cumsum(lens) - lens
     pieces = []
     for i, (label, _) in enumerate(sample):
-        for at in range(0, min(int(lens[i]), 12 * 24), 24):
-            n = int(rng.integers(3, 25))
+        stretches = -(-int(lens[i]) // STRIDE)
+        for at in STRIDE * np.sort(rng.choice(stretches, min(stretches, pieces_of_text), replace=False)):
+            n = int(rng.integers(3, STRIDE + 1))
             own = codes[starts[i] + at:min(starts[i] + at + n, starts[i] + lens[i])]
             pieces.append((own, np.full(len(own), languages.index(label))))
     order = rng.permutation(len(pieces))
@@ -174,39 +203,25 @@ def train(sample: list[tuple[str, str]], rounds: int = 30, words: int = 128, rat
     seq, gold = (np.concatenate([pieces[i][j] for i in order]) for j in (0, 1))
     lens = np.full(-(-len(seq) // words), words)
     lens[-1] = len(seq) - words * (len(lens) - 1)
-    inner = np.ones(len(seq), bool)
-    inner[np.cumsum(lens) - lens] = False  # the first word of a sequence has no predecessor
     feats = features(distinct)
     grams, n, lexicon = feats
     per_gram = np.repeat(np.arange(len(n)), n)
     share = np.bincount(gold, minlength=k)
     weight = (len(gold) / (k * np.maximum(share, 1)))[gold]
     squares = [np.full_like(w, 1e-6) for w in (model.gram, model.word, model.move)]
-    target = np.eye(k)[gold]
-    pairs = np.zeros((k, k))
-    np.add.at(pairs, (gold[:-1][inner[1:]], gold[1:][inner[1:]]), 1)
     for _ in range(rounds):
-        em = model.emissions(feats)
-        p = model.marginals(em, seq, lens)
-        diff = (target - p) * weight[:, None]
+        by_place, moves = model.gradient(model.emissions(feats), seq, lens, gold)
+        diff = by_place * weight[:, None]
         by_word = np.stack([np.bincount(seq, diff[:, j], len(distinct)) for j in range(k)], 1) / len(seq)
         gradients = [np.stack([np.bincount(grams, (by_word[:, j] / np.maximum(n, 1))[per_gram], len(model.gram)) for j in range(k)], 1),
                      np.stack([np.bincount(lexicon, by_word[:, j], BUCKETS) for j in range(k)], 1),
-                     (pairs - _expected_pairs(model, em, seq, p, inner)) / len(seq)]
+                     moves / len(seq)]
         for w, s, g in zip((model.gram, model.word, model.move), squares, gradients):
             s += g * g
             w += rate * g / np.sqrt(s) - 1e-4 * w
     return model
 
 
-def _expected_pairs(model: Model, em: np.ndarray, seq: np.ndarray, p: np.ndarray, inner: np.ndarray) -> np.ndarray:
-    """Expected label pairs; the pair probability is taken from its two words' marginals and the transition."""
-    a = np.exp(model.move.astype(np.float64))
-    left, right = p[:-1][inner[1:]], p[1:][inner[1:]]
-    joint = left[:, :, None] * a[None] * right[:, None, :]
-    return (joint / np.maximum(joint.sum((1, 2), keepdims=True), 1e-300)).sum(0)
-
-
 def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score, n_words, shares (by language), and the columns in ``keep``."""
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,6 +29,48 @@ def test_marginals_match_enumeration():
         at += n
 
 
+def test_gradient_matches_finite_differences(monkeypatch):
+    monkeypatch.setattr(lang_crf, "BLOCK", 3)  # words of one text in several blocks
+    rng = np.random.default_rng(5)
+    model = lang_crf.Model(["a", "b", "c"])
+    model.move = rng.normal(size=(3, 3))
+    em, lens = rng.normal(size=(6, 3)), np.array([8, 0, 1, 5])
+    codes, gold = rng.integers(0, 6, 14), rng.integers(0, 3, 14)
+
+    def likelihood() -> float:
+        at, total = 0, 0.0
+        for n in lens:
+            a = np.exp(model.move)
+            v, own = np.full(3, 1 / 3), np.full(3, 1 / 3)
+            for c, y in zip(codes[at:at + n], gold[at:at + n]):
+                v, own = (v @ a) * np.exp(em[c]), (own @ a) * np.exp(em[c]) * np.eye(3)[y]
+            total += np.log(own.sum() / v.sum())
+            at += n
+        return total
+
+    by_word, moves = model.gradient(em, codes, lens, gold)
+    by_code = np.stack([np.bincount(codes, by_word[:, j], 6) for j in range(3)], 1)
+    for table, got in ((em, by_code), (model.move, moves)):
+        for at in np.ndindex(table.shape):
+            was, step = table[at], 1e-5
+            table[at] = was + step
+            up = likelihood()
+            table[at] = was - step
+            down = likelihood()
+            table[at] = was
+            assert abs((up - down) / (2 * step) - got[at]) < 1e-6
+
+
+def test_pieces_reach_the_end_of_long_texts():
+    head = "aa bb cc dd " * 200
+    sample = [("x", head + "ququ qaqa qiqi " * 400)] * 3 + [("y", head + "vovo vava vivi " * 400)] * 3
+    model = lang_crf.train(sample)
+    import pyarrow as pa
+    distinct, codes, lens = lang_crf.words_of(pa.array(["ququ qaqa qiqi", "vovo vava vivi"]))
+    p = model.marginals(model.emissions(lang_crf.features(distinct)), codes, lens)
+    assert p.argmax(1).tolist() == [0] * 3 + [1] * 3
+
+
 def test_blocks_do_not_change_marginals(monkeypatch):
     rng = np.random.default_rng(2)
     model = lang_crf.Model(["a", "b"])
