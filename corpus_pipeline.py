@@ -2,6 +2,12 @@
 
 Every stage but the last returns the columns of ``documents``; a stage's decision
 takes effect in what it passes on.
+
+Defined results: null, empty and letterless texts are ``und`` and go in the first stage; rows
+that share a doc_id, or have none, are judged by their own text in every stage but the near
+duplicates, whose groups are named by doc_id: there a row without one stays, and an id goes only where none of
+its rows is to stay. Repeated rows stay together, since they have one doc_id. Empty tables give no rows; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,14 +39,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group of near duplicates: the smallest doc_id."""
     small_batches(spark)
     # doc_ids of a group are compared, so a document is known by its id; a null id is never in a group
-    gone = minhash.near_duplicates(docs, width=5, percent=80).where(~F.col("kept")).select("doc_id").distinct()
+    stays = minhash.near_duplicates(docs, width=5, percent=80).groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    gone = stays.where(~F.col("kept")).select("doc_id")
     return docs.select(*COLUMNS).join(stored(gone, "near-copies"), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def clean_of_tests(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark."""
-    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(stored(found, "leaking"), "doc_id", "left_anti").select(*COLUMNS)
+    return decontaminate.without_leaks(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
