@@ -96,8 +96,11 @@ class Model:
             out[has] += np.add.reduceat(self.gram[grams], (np.cumsum(n) - n)[has]) / n[has, None]
         return out
 
-    def messages(self, emissions: np.ndarray, codes: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(forward, backward) message of every word, each up to a factor, text after text (exact over block borders)."""
+    def messages(self, emissions: np.ndarray, codes: np.ndarray, lens: np.ndarray, joined: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(forward, backward) message of every word, each up to a factor, text after text (exact over block borders).
+
+        With ``joined`` both are one array that holds their products, which saves half of the memory.
+        """
         k, n = len(self.languages), len(codes)
         blocks = -(-lens // BLOCK)
         total = int(blocks.sum())
@@ -122,23 +125,25 @@ class Model:
             here = first[at] + blocks[at] - 1 - r
             v = np.einsum("bij,bj->bi", transfer[here + 1], behind[here + 1])
             behind[here] = v / v.sum(1, keepdims=True)
-        forward, backward = np.empty((n, k)), np.empty((n, k))
+        forward = np.empty((n, k))
+        backward = forward if joined else np.empty((n, k))
         for t, live in enumerate(steps):
             v = (ahead[live] @ a) * e[codes[start[live] + t]]
             ahead[live] = v = v / v.sum(1, keepdims=True)
             forward[start[live] + t] = v
         for t in range(most - 1, -1, -1):
             live = steps[t]
-            backward[start[live] + t] = behind[live]
+            at = start[live] + t
+            backward[at] = forward[at] * behind[live] if joined else behind[live]
             v = (e[codes[start[live] + t]] * behind[live]) @ a.T
             behind[live] = v / v.sum(1, keepdims=True)
         return forward, backward
 
     def marginals(self, emissions: np.ndarray, codes: np.ndarray, lens: np.ndarray) -> np.ndarray:
         """Label probabilities of every word."""
-        out, backward = self.messages(emissions, codes, lens)
-        out *= backward
-        return out / np.maximum(out.sum(1, keepdims=True), 1e-300)
+        out, _ = self.messages(emissions, codes, lens, joined=True)
+        out /= np.maximum(out.sum(1, keepdims=True), 1e-300)
+        return out
 
     def gradient(self, emissions: np.ndarray, codes: np.ndarray, lens: np.ndarray, gold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Slopes of the labels' log-likelihood: by the emission of every word, and by the transitions."""
@@ -226,7 +231,7 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) ->
     """One row per document: doc_id, held_out, lang_pred, score, n_words, shares (by language), and the columns in ``keep``."""
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", (4 << 20) * 16 // max(4, len(model.languages) if model else 0) ** 2 + 1):
+            for part in slices(batch, "text", (2 << 20) * 16 // max(4, len(model.languages) if model else 0) ** 2 + 1):
                 rows = part.num_rows
                 pred, best, n_words, shares = np.full(rows, -1), np.zeros(rows), np.zeros(rows, np.int64), [None] * rows
                 if model:
