@@ -17,11 +17,16 @@ from pyspark.sql import functions as F
 from churnforge.functions import constants as K
 from churnforge.functions import exprs as X
 from churnforge.operators import clean as C
+from churnforge.operators.gram import correlations, pair_moments
 
 ISSUE_SCHEMA = ("Severity string, Issue string, Explanation string, Business_Impact string, "
                 "Recommended_Solution string, Columns array<string>")
 
 
+# Up to so many numeric columns, moments of all pairs ride in one aggregate of the whole table.
+FEW_COLUMNS = 12
+
+
 def _fmt_int(n: int) -> str:
     return f"{n:,}"
 
@@ -39,44 +44,29 @@ def _fmt_pct1(v: float) -> str:
 
 def pairwise_correlations(df: DataFrame, cols: list[str]) -> list[tuple[str, str, float | None]]:
     """Pearson r for every pair i<j (column order), pairwise-complete rows; null if undefined."""
-    if len(cols) < 2:
-        return []
-    pairs = [(a, b) for j, b in enumerate(cols) for a in cols[:j]]
-    aggs = []
-    for k, (a, b) in enumerate(pairs):
-        x = X.nan_to_null(F.col(f"`{a}`").cast("double"))
-        y = X.nan_to_null(F.col(f"`{b}`").cast("double"))
-        both = x.isNotNull() & y.isNotNull()
-        xa, ya = F.when(both, x), F.when(both, y)
-        aggs += [F.covar_pop(xa, ya).alias(f"c{k}"), F.var_pop(xa).alias(f"vx{k}"), F.var_pop(ya).alias(f"vy{k}")]
-    row = df.agg(*aggs).first()
-    out = []
-    for k, (a, b) in enumerate(pairs):
-        c, vx, vy = row[f"c{k}"], row[f"vx{k}"], row[f"vy{k}"]
-        r = None
-        if c is not None and vx and vy and vx > 0 and vy > 0:
-            r = c / (vx * vy) ** 0.5
-        out.append((a, b, r))
-    return out
+    place = {c: k for k, c in enumerate(cols)}
+    rows = [(r["a"], r["b"], r["r"]) for r in correlation_frame(df, cols).collect()]
+    return sorted(rows, key=lambda r: (place[r[1]], place[r[0]]))
 
 
 def correlation_frame(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Long (a, b, r) for all pairs, computed in one aggregate; null r when undefined."""
+    """Long (a, b, r) for all pairs, null r when undefined: one aggregate of moments for few columns, one Gram pass for many."""
     spark = df.sparkSession
     if len(cols) < 2:
         return spark.createDataFrame([], "a string, b string, r double")
-    pairs = [(a, b) for j, b in enumerate(cols) for a in cols[:j]]
+    if len(cols) > FEW_COLUMNS:
+        return correlations(df, cols)
     aggs = []
-    for k, (a, b) in enumerate(pairs):
-        x = X.nan_to_null(F.col(f"`{a}`").cast("double"))
-        y = X.nan_to_null(F.col(f"`{b}`").cast("double"))
-        both = x.isNotNull() & y.isNotNull()
-        xa, ya = F.when(both, x), F.when(both, y)
-        r = F.try_divide(F.covar_pop(xa, ya), F.sqrt(F.var_pop(xa) * F.var_pop(ya)))
-        aggs.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("r")))
+    for a, b in _pairs(cols):
+        cov, vx, vy = pair_moments(*(X.nan_to_null(F.col(f"`{c}`").cast("double")) for c in (a, b)))
+        aggs.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.try_divide(cov, F.sqrt(vx * vy)).alias("r")))
     return df.agg(F.array(*aggs).alias("_p")).select(F.inline("_p"))
 
 
+def _pairs(cols: list[str]) -> list[tuple[str, str]]:
+    return [(a, b) for j, b in enumerate(cols) for a in cols[:j]]
+
+
 def detect_quality(df: DataFrame, target: str = "Churn") -> tuple[list[dict], int]:
     """Issues (list of dicts, reference order) and the score."""
     return _detect(C.blank_to_null(df), target)
@@ -108,13 +98,10 @@ def _detect(inspected: DataFrame, target: str) -> tuple[list[dict], int]:
                  F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
         if c in texts:
             aggs.append(F.avg(F.when(X.parse_number(v).isNotNull(), 1.0).otherwise(0.0)).alias(f"ps{i}"))
-    pairs = [(a, b) for j, b in enumerate(nums) for a in nums[:j]] if len(nums) >= 2 else []
+    pairs = _pairs(nums) if len(nums) <= FEW_COLUMNS else []
     for k, (a, b) in enumerate(pairs):
-        x = X.nan_to_null(ready_expr[a].cast("double"))
-        y = X.nan_to_null(ready_expr[b].cast("double"))
-        both = x.isNotNull() & y.isNotNull()
-        xa, ya = F.when(both, x), F.when(both, y)
-        aggs += [F.covar_pop(xa, ya).alias(f"c{k}"), F.var_pop(xa).alias(f"vx{k}"), F.var_pop(ya).alias(f"vy{k}")]
+        moments = pair_moments(*(X.nan_to_null(ready_expr[c].cast("double")) for c in (a, b)))
+        aggs += [m.alias(f"{name}{k}") for name, m in zip(("c", "vx", "vy"), moments)]
     row = inspected.agg(*aggs).first()
     n_rows = row["_rows"]
 
@@ -130,6 +117,7 @@ def _detect(inspected: DataFrame, target: str) -> tuple[list[dict], int]:
         "dc_text": lambda: C.distinct_counts(inspected, texts),
         "outliers": outliers_job,
         "share": lambda: minority_share(inspected, target) if target in cols else None,
+        "correlations": lambda: [] if pairs else pairwise_correlations(ready.select(*[F.col(f"`{c}`") for c in nums]), nums),
     }
     names = list(jobs)
     got = dict(zip(names, parallel_map(lambda k: jobs[k](), names)))
@@ -152,13 +140,11 @@ def _detect(inspected: DataFrame, target: str) -> tuple[list[dict], int]:
     high = [c for c in texts if dc_text[c] > limit]
     if high:
         add("high_cardinality", high, cols=", ".join(high[:6]))
-    strong = []
+    related = list(got["correlations"])
     for k, (a, b) in enumerate(pairs):
         c, vx, vy = row[f"c{k}"], row[f"vx{k}"], row[f"vy{k}"]
-        if c is not None and vx and vy and vx > 0 and vy > 0:
-            r = c / (vx * vy) ** 0.5
-            if abs(r) >= K.CORRELATION_LIMIT:
-                strong.append(f"{a} / {b} ({_fmt2(abs(r))})")
+        related.append((a, b, c / (vx * vy) ** 0.5 if c is not None and vx and vy and vx > 0 and vy > 0 else None))
+    strong = [f"{a} / {b} ({_fmt2(abs(r))})" for a, b, r in related if r is not None and abs(r) >= K.CORRELATION_LIMIT]
     if strong:
         add("correlated", strong, pairs=", ".join(strong[:4]))
     counts = got["outliers"]

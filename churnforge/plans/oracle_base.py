@@ -54,6 +54,21 @@ scored0 AS (SELECT s.*, round(1e0/(1e0+exp(-z)),6) AS Churn_Probability,
 scored AS (SELECT *, CASE WHEN Churn_Probability > 0.5e0 THEN 1 ELSE 0 END AS Predicted_Churn FROM scored0)
 """
 
+MEASURES = {"quantity": "CAST(l_quantity AS DOUBLE)", "price": "price", "discount": "discount", "tax": "tax", "net": "net",
+            "gross": "net * (1e0 + tax)", "saved": "price * discount", "duty": "net * tax"}
+
+
+def measure_columns(flags: str) -> list[str]:
+    return list(MEASURES) + [f"{m}_{f}" for f in flags for m in MEASURES]
+
+
+def measures_ctes(flags: str) -> str:
+    columns = [f"{e} AS {m}" for m, e in MEASURES.items()] + [
+        f"CASE WHEN l_returnflag = '{f}' THEN {e} END AS {m}_{f}" for f in flags for m, e in MEASURES.items()]
+    return ("WITH lp AS (SELECT *, CAST(l_extendedprice AS DOUBLE) AS price, CAST(l_discount AS DOUBLE) AS discount, CAST(l_tax AS DOUBLE) AS tax, "
+            "CAST(l_extendedprice AS DOUBLE) * (1e0 - CAST(l_discount AS DOUBLE)) AS net FROM lineitem), "
+            f"lm AS (SELECT {', '.join(columns)} FROM lp) ")
+
 
 def subscribers_sql() -> str:
     return SUBSCRIBERS_CTES + "SELECT * FROM f"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from churnforge.plans.oracle_base import RAW_CTES, SUBSCRIBERS_CTES
+from churnforge.plans.oracle_base import RAW_CTES, SUBSCRIBERS_CTES, measure_columns, measures_ctes
 from churnforge.plans.oracle_business import parse_sql
 
 RAW_TEXT = ["customerID", "gender", "Partner", "Contract", "TotalCharges", "Source", "Churn"]
@@ -263,3 +263,6 @@ LINEITEM_KINDS = [("l_orderkey", "int"), ("l_partkey", "int"), ("l_suppkey", "in
                   ("l_returnflag", "text"), ("l_linestatus", "text"), ("l_shipdate", "other")]
 ORACLE["quality_issues_lineitem"] = ("WITH li AS (SELECT * FROM lineitem) " + detector_sql("li", LINEITEM_KINDS, [], None)
                                      + f"SELECT {ISSUE_COLS} FROM issues")
+
+ORACLE["q_correlated_measures"] = (measures_ctes("R") + detector_sql("lm", [(c, "double") for c in measure_columns("R")], [], None)
+                                   + f"SELECT {ISSUE_COLS} FROM issues WHERE Issue = '{_RULE_TITLES['q_correlated']}'")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from churnforge.plans.oracle_base import RAW_CTES, SUBSCRIBERS_CTES
+from churnforge.plans.oracle_base import RAW_CTES, SUBSCRIBERS_CTES, measure_columns, measures_ctes
 from churnforge.plans.oracle_business import TARGET_SQL, parse_sql
 from churnforge.plans.oracle_clean import LINEITEM_KINDS, ORDERS_KINDS, RAW_KINDS, blank
 
@@ -83,6 +83,17 @@ def corr_sql(prefix: str, src: str, cols: list[tuple[str, str]]) -> str:
     return prefix + " UNION ALL ".join(parts)
 
 
+def corr_wide_sql(prefix: str, src: str, cols: list[str]) -> str:
+    """All pairs in one scan."""
+    structs, stats = [], []
+    for j, b in enumerate(cols):
+        for i, a in enumerate(cols[:j]):
+            xa, ya = f"CASE WHEN {b} IS NOT NULL THEN {a} END", f"CASE WHEN {a} IS NOT NULL THEN {b} END"
+            stats.append(f"covar_pop({xa}, {ya}) AS c{i}_{j}, sqrt(var_pop({xa}) * var_pop({ya})) AS s{i}_{j}")
+            structs.append(f"{{'a': '{a}', 'b': '{b}', 'r': CASE WHEN s{i}_{j} = 0 THEN NULL ELSE round(c{i}_{j} / s{i}_{j}, 6) END}}")
+    return prefix + f", cs AS (SELECT {', '.join(stats)} FROM {src}), cl AS (SELECT unnest([{', '.join(structs)}]) AS p FROM cs) SELECT p.a AS a, p.b AS b, p.r AS r FROM cl"
+
+
 def hist_sql(prefix: str, src: str, cols: list[str], bins: int) -> str:
     parts = []
     for c in cols:
@@ -142,6 +153,7 @@ ORACLE = {
     "missing_by_column_events": missing_sql("WITH ev AS (SELECT * FROM events) ", "ev", EVENTS_KINDS),
     "corr_matrix": corr_sql(SUBSCRIBERS_CTES, "f", SUB_CORR),
     "corr_matrix_lineitem": corr_sql("WITH li AS (SELECT * FROM lineitem) ", "li", [(c, c) for c in LINEITEM_NUM]),
+    "corr_matrix_measures": corr_wide_sql(measures_ctes("RAN"), "lm", measure_columns("RAN")),
     "histograms": hist_sql(RAW_CTES, "raw", ["SeniorCitizen", "tenure", "MonthlyCharges"], 30),
     "histograms_orders": hist_sql("WITH od AS (SELECT * FROM orders) ", "od", ORDERS_NUM, 30),
     "box_stats": box_sql(RAW_CTES, "raw", ["SeniorCitizen", "tenure", "MonthlyCharges"]),

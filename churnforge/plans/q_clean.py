@@ -151,3 +151,10 @@ def q_quality_issues_lineitem(spark, sf):
     """The detector on lineitem (correlated money/quantity columns, flags, a timestamp)."""
     from churnforge.sources.tables import read_table
     return _issues(read_table(spark, sf, "lineitem"), target="Churn")
+
+
+@query("q_correlated_measures")
+def q_correlated_measures(spark, sf):
+    """The correlation rule on a table where it fires for many pairs."""
+    from pyspark.sql import functions as F
+    return _issues(fixtures.line_measures(spark, sf, "R")).filter(F.col("Issue") == _RULES["q_correlated"])

@@ -53,6 +53,12 @@ def q_corr_matrix_lineitem(spark, sf):
     return P.corr_matrix(read_table(spark, sf, "lineitem"))
 
 
+@query("corr_matrix_measures")
+def q_corr_matrix_measures(spark, sf):
+    """32 columns, 24 of them with missing values: 496 pairs in one Gram pass."""
+    return P.corr_matrix(fixtures.line_measures(spark, sf))
+
+
 @query("describe_all_orders")
 def q_describe_all_orders(spark, sf):
     return P.describe_all(read_table(spark, sf, "orders"))

@@ -122,3 +122,16 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("Cluster", _case((F.col("InternetService") == "No", F.lit(0)),
                                          (F.col("tenure") < 36, F.lit(1)), default=F.lit(2)))
             .withColumn("Predicted_Churn", F.when(F.col("Churn_Probability") > 0.5, 1).otherwise(0)))
+
+
+MEASURES = ("quantity", "price", "discount", "tax", "net", "gross", "saved", "duty")
+
+
+def line_measures(spark: SparkSession, sf_dir: str, flags: str = "RAN") -> DataFrame:
+    """Eight measures of every order line, and each again for the lines of one return flag alone (null elsewhere)."""
+    li = read_table(spark, sf_dir, "lineitem")
+    price, discount, tax = (F.col(c).cast("double") for c in ("l_extendedprice", "l_discount", "l_tax"))
+    net = price * (F.lit(1.0) - discount)
+    values = dict(zip(MEASURES, (F.col("l_quantity").cast("double"), price, discount, tax, net, net * (F.lit(1.0) + tax), price * discount, net * tax)))
+    only = [F.when(F.col("l_returnflag") == flag, v).alias(f"{name}_{flag}") for flag in flags for name, v in values.items()]
+    return li.select(*[v.alias(name) for name, v in values.items()], *only)
