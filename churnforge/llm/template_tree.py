@@ -32,12 +32,14 @@ CONSTANT = 0.2
 SIMILAR = 0.5
 FIELD = "<*>"
 SPACE = r"[ \t\r\f\x0B]+"
-BROADCAST_ROWS = 1_000_000  # rows of a few numbers that are sent to every task; more are joined by a shuffle
+BROADCAST_BYTES = 64 << 20  # a table is sent to every task up to this size there; a larger one is joined by a shuffle
+ROW_BYTES = 32  # a row in a task's hash table, beside its arrays
 
 
-def small(df: DataFrame) -> DataFrame:
-    """A stored table with the broadcast hint, if it is counted to be small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def small(df: DataFrame, entries: Column | int = 0) -> DataFrame:
+    """A stored table with the broadcast hint, if its rows and their ``entries`` (numbers in arrays) are counted to be small."""
+    size = df.agg(F.coalesce(F.sum(F.lit(ROW_BYTES) + 8 * (entries if isinstance(entries, Column) else F.lit(entries))), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def _tokens(line: Column) -> Column:
@@ -84,7 +86,7 @@ def boilerplate(docs: DataFrame, least_docs: int, least_tokens: int) -> DataFram
 
 def drop_recurring_lines(docs: DataFrame, least_docs: int = 10, least_tokens: int = 1) -> DataFrame:
     """``docs`` with recurring lines taken out of ``text``, and n_lines and n_dropped beside its columns."""
-    lost = small(stored(boilerplate(docs.select("doc_id", "text"), least_docs, least_tokens), "lost-lines"))
+    lost = small(stored(boilerplate(docs.select("doc_id", "text"), least_docs, least_tokens), "lost-lines"), F.size("drop"))
     text_hash, drop, text = F.xxhash64(docs["text"]), lost["drop"], docs["text"]
     joined = docs.join(lost, (text_hash == lost["text_hash"]) & docs["doc_id"].eqNullSafe(lost["doc_id"]), "left")
     lines = F.split(text, "\n")
