@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from churnforge.functions import constants as K
 from churnforge.operators import evaluate as E
 from churnforge.operators import features as FE
+from churnforge.operators import newton
 from churnforge.operators.stats import union_all
 
 LABEL = "Churn"
@@ -224,46 +225,12 @@ def feature_importance(model: PipelineModel, feature_columns: list[str], top: in
 
 
 def learning_curve(data: TrainingData, folds: int = 3, sizes: tuple = (0.2, 0.4, 0.6, 0.8, 1.0), key: str = KEY) -> DataFrame:
-    """Mean train / validation F1 of the balanced LR over folds and growing train sizes.
+    """Mean train / validation F1 of the balanced LR over stratified folds and growing train sizes (see ``newton``).
 
-    Folds and the nested size subsets come from key hashes, which are
-    independent of the label, so each subset keeps the class mix (stratified
-    in expectation) and no group is ever ranked inside one task. The fits run
-    side by side. A subset with a single class cannot be fitted: ``Error`` says
-    how many folds of a size that befell, and the means are over the others.
+    A subset with a single class cannot be fitted: ``Error`` says how many folds of a size that befell, and
+    the means are over the others. ``Passes`` is the most Newton passes that a fit of the size took.
     """
-    from churnforge.operators.stats import hash_unit
-    from churnforge.plans.concurrency import parallel_map
-    train = data.train.withColumn("_fold", (hash_unit(F.col(key), 7) % folds).cast("int")) \
-        .withColumn("_u", hash_unit(F.col(key), 11)).checkpoint(eager=True)
-    spark = train.sparkSession
-
-    def one(job):
-        f, s = job
-        sub = train.filter((F.col("_fold") != f) & (F.col("_u") < int(round(s * 100))))
-        va = train.filter(F.col("_fold") == f)
-        counts = FE.class_counts(sub, LABEL)
-        n_sub = sum(counts.values())
-        if len(counts) < 2:
-            return (float(s), f, n_sub, None, None)
-        wexpr = F.lit(0.0)
-        for c, n in counts.items():
-            wexpr = F.when(F.col(LABEL) == c, F.lit(n_sub / (len(counts) * n))).otherwise(wexpr)
-        sub = sub.withColumn("weight", wexpr)
-        d = TrainingData(data.encoding, data.scaling, sub, va, data.all_rows, n_sub, data.scale_pos_weight)
-        model, _ = fit_model(d, model_specs(n_sub)[0])
-        both = predict(model, sub, "train", keep=(key, LABEL)).unionByName(predict(model, va, "validation", keep=(key, LABEL)))
-        f1 = {r["Model"]: r["F1_Score"] for r in E.classification_metrics(both, group=["Model"]).collect()}
-        return (float(s), f, n_sub, f1.get("train"), f1.get("validation"))
-
-    rows = parallel_map(one, [(f, s) for f in range(folds) for s in sizes])
-    df = spark.createDataFrame(rows, "Fraction double, fold int, n bigint, Training_F1 double, Validation_F1 double")
-    failed = F.count_if(F.col("Training_F1").isNull())
-    return (df.groupBy("Fraction")
-            .agg(F.avg("n").alias("Training_Size"), F.avg("Training_F1").alias("Training_F1"),
-                 F.avg("Validation_F1").alias("Validation_F1"),
-                 F.when(failed > 0, F.format_string("%d of %d folds have one class", failed, F.count(F.lit(1)))).alias("Error"))
-            .orderBy("Fraction"))
+    return newton.learning_curve(data.train, data.feature_columns, LABEL, key, folds, sizes)
 
 
 @dataclass
