@@ -23,8 +23,9 @@ ISSUE_SCHEMA = ("Severity string, Issue string, Explanation string, Business_Imp
                 "Recommended_Solution string, Columns array<string>")
 
 
-# Up to so many numeric columns, moments of all pairs ride in one aggregate of the whole table.
-FEW_COLUMNS = 12
+# Up to so many numeric columns, moments of all pairs ride in one aggregate of the whole table. The code that Spark makes
+# for an aggregate grows with the pairs; beyond a few the JVM no longer compiles it, and every row is interpreted.
+FEW_COLUMNS = 3
 
 
 def _fmt_int(n: int) -> str:
@@ -110,10 +111,10 @@ def _detect(inspected: DataFrame, target: str) -> tuple[list[dict], int]:
     idx = {c: i for i, c in enumerate(cols)}
 
     def outliers_job():
-        dc_num = C.distinct_counts(ready, nums)
-        return outlier_counts(ready, [c for c in nums if dc_num[c] > K.OUTLIER_MIN_DISTINCT])
+        many = C.more_distinct(ready, nums, K.OUTLIER_MIN_DISTINCT)
+        return outlier_counts(ready, [c for c in nums if c in many])
     jobs = {
-        "distinct_rows": lambda: inspected.dropDuplicates().count(),
+        "distinct_rows": lambda: C.distinct_rows(inspected),
         "dc_text": lambda: C.distinct_counts(inspected, texts),
         "outliers": outliers_job,
         "share": lambda: minority_share(inspected, target) if target in cols else None,
