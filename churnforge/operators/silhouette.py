@@ -40,7 +40,7 @@ BASE = 6          # levels of the first quadtree: at most 4**6 cells a label
 DEEPER = 3        # levels added where a cell is divided further
 TARGETS = 4       # points are scored in groups of the cells of this level
 MOST_CELLS = 1 << 20
-CHUNK = 1 << 20   # point-cell distances held at a time
+CHUNK = 1 << 16   # point-cell distances held at a time; half a MB an array, so that they stay in a core's cache
 GROUP_ROWS = 200_000
 ROUNDS = 8
 FIELDS = ("label", "ix", "iy", "n", "cx", "cy", "xx", "xy", "yy", "lox", "hix", "loy", "hiy", "kid", "kids")

@@ -70,3 +70,13 @@ def test_odd_tables(spark):
     assert clean == dirty
     with pytest.raises(ValueError):
         SIL.silhouette_euclidean(spark.createDataFrame(rows, schema), ["x"], "l")
+
+
+def test_distances_held_at_a_time_fit_a_cache_and_change_nothing(spark, monkeypatch):
+    assert SIL.CHUNK * 8 <= 1 << 20
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame(pd.DataFrame({"x": rng.normal(size=3000), "y": rng.normal(size=3000), "l": rng.integers(0, 3, 3000)})).repartition(2)
+    small = SIL.silhouette_euclidean(df, ["x", "y"], "l").first()
+    monkeypatch.setattr(SIL, "CHUNK", 1 << 20)
+    large = SIL.silhouette_euclidean(df, ["x", "y"], "l").first()
+    assert abs(small[0] - large[0]) < 1e-12 and abs(small[1] - large[1]) < 1e-12
