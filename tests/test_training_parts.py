@@ -7,7 +7,8 @@ from churnforge.operators import models as M
 from churnforge.sources import fixtures
 
 
-def test_one_split_is_dealt_out(spark):
+def test_one_split_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(M, "LEAST_ROWS", 100)
     raw = fixtures.subscribers(spark, SF_SMALL)
     cores = spark.sparkContext.defaultParallelism
     data = M.prepare_training(raw.coalesce(1))
@@ -25,7 +26,13 @@ def test_even_parts_stay_as_they_are(spark):
     assert data.all_rows.rdd.getNumPartitions() == 16
 
 
-def test_keyless_and_repeated_rows_stay(spark):
+def test_a_few_rows_stay_in_one_part(spark):
+    data = M.prepare_training(fixtures.subscribers(spark, SF_SMALL).coalesce(1))
+    assert data.all_rows.rdd.getNumPartitions() == 1
+
+
+def test_keyless_and_repeated_rows_stay(spark, monkeypatch):
+    monkeypatch.setattr(M, "LEAST_ROWS", 50)
     raw = fixtures.subscribers(spark, SF_SMALL).limit(200).coalesce(1).withColumn(
         "customerID", F.when(F.col("tenure") > 30, F.col("customerID")))
     data = M.prepare_training(raw.unionAll(raw))
