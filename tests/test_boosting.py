@@ -114,3 +114,16 @@ def test_short_fits_are_done_before_the_long_ones_start(spark, monkeypatch):
     first_long = min(log.index(("start", n)) for n in long)
     assert all(log.index(("end", s.name)) < first_long for s in specs if s.name not in long)
     assert set(res.errors) == {s.name for s in specs}
+
+
+def test_long_fits_side_by_side_do_not_fail(spark, monkeypatch):
+    """Checkpoints are let go in threads that know of no active session."""
+    from types import SimpleNamespace
+    df = _table(spark).selectExpr(*NAMES, "y as Churn", "w as weight", "1.0 as pos_weight", "string(a) as customerID")
+    monkeypatch.setattr(BO, "EVERY", 2)
+    specs = [s for s in M.model_specs(700) if isinstance(s.estimator, BO.BoostedTrees)]
+    for s in specs:
+        s.estimator._set(maxIter=6, maxDepth=2)
+    data = SimpleNamespace(train=df, test=df, feature_columns=NAMES)
+    res = M.compare_models(data, specs)
+    assert res.errors == {} and len(res.models) == 2
